@@ -6,8 +6,8 @@ Two plans give the same rows:
   text is tested where it is scanned: one hash lookup per token for single
   words, one substring test per phrase.  No join and no shuffle.
 * A larger dictionary is joined by equality.  A text yields its tokens and the
-  distinct letter groups around its spaces; a phrase can only match where its
-  own first space has the same letters around it.  The dictionary side is
+  letters around each of its spaces; a phrase can only match where its own
+  first space has the same letters around it.  The dictionary side is
   broadcast in slices of checked size, so the text never moves.
 """
 
@@ -27,7 +27,7 @@ from .sizing import broadcast_slices, rows_if_at_most
 # per phrase costs more than the equality join.
 INLINE_PHRASES = 100
 INLINE_WORDS = 2_000
-ANCHOR_SIDE = 2
+ANCHOR_SIDE = 3
 
 
 def is_phrase(term: Column) -> Column:
@@ -116,56 +116,94 @@ def _literal_hits(
     return hits.join(F.broadcast(terms), "term").select(*keep, *terms.columns, "hits")
 
 
-def _anchor_sides(term: Column) -> tuple[Column, Column]:
-    """How many characters around a phrase's first space make its anchor."""
-    space = F.instr(term, " ")
-    return (
-        F.least(F.lit(ANCHOR_SIDE), space - 1),
-        F.least(F.lit(ANCHOR_SIDE), F.length(term) - space),
+def _head(term: Column) -> Column:
+    return F.substring_index(term, " ", 1)
+
+
+def _tail(term: Column) -> Column:
+    """What follows the first space."""
+    return F.substring(term, F.length(_head(term)) + 2, F.length(term))
+
+
+def _anchor(head: Column, tail: Column, before: Column, after: Column) -> Column:
+    """The letters around a space: the end of ``head``, the start of ``tail``."""
+    return F.concat(F.right(head, before), F.lit(" "), F.left(tail, after))
+
+
+def _windows(content: Column, size: int) -> Column:
+    """For each token of a text, that token and up to ``size - 1`` more."""
+    return F.regexp_extract_all(
+        content, F.lit(f"(?<![^ ])(?=([^ ]*(?: [^ ]*){{0,{size - 1}}}))"), F.lit(1)
     )
 
 
-def _anchor(term: Column) -> Column:
-    before, after = _anchor_sides(term)
-    return F.substring(term, F.instr(term, " ") - before, before + after + 1)
+def _in_place(head: Column, tail: Column, term: Column) -> Column:
+    """The phrase where it was met, with one more character on either side."""
+    return F.concat(
+        F.right(head, F.length(_head(term)) + 1),
+        F.lit(" "),
+        F.left(tail, F.length(_tail(term)) + 1),
+    )
 
 
-def _text_anchors(content: Column, shapes: list[tuple[int, int]]) -> Column:
-    """The distinct letter groups around the spaces of a text."""
-    groups = [
-        F.regexp_extract_all(content, F.lit(f"(?s)(?=(.{{{before}}} .{{{after}}}))"), F.lit(1))
-        for before, after in shapes
-    ]
-    return F.array_distinct(F.concat(*groups))
+def _can_overlap(term: Column) -> Column:
+    """True for a phrase that begins the way it ends, if by one letter only."""
+    lengths = F.sequence(F.lit(1), F.length(term) - 1)
+    return is_phrase(term) & F.exists(lengths, lambda n: F.left(term, n) == F.right(term, n))
+
+
+def _first_match(content: Column, term: Column) -> Column:
+    """Index of the token that holds the start of the first match's space."""
+    before = F.left(content, F.instr(content, term) + F.instr(term, " ") - 2)
+    return F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
 
 
 def _joined_hits(articles: DataFrame, terms: DataFrame, keep: Sequence[str], bounded: bool) -> DataFrame:
-    phrase = is_phrase(F.col("term"))
-    before, after = _anchor_sides(F.col("term"))
+    term, content, window = F.col("term"), F.col("content"), F.col("_window")
+    before = F.least(F.lit(ANCHOR_SIDE), F.length(_head(term)))
+    after = F.least(F.lit(ANCHOR_SIDE), F.length(_tail(term)))
     # The dictionary is measured and then read per slice: write it once.
     lookup = cut_lineage(
-        terms.where(F.col("term") != "").select(
-            *terms.columns,
-            phrase.alias("_phrase"),
-            F.when(phrase, _anchor(F.col("term"))).otherwise(F.col("term")).alias("_unit"),
-            before.alias("_before"),
-            after.alias("_after"),
+        terms.where(term != "")
+        .withColumn("_phrase", is_phrase(term))
+        .withColumn("_before", F.when(F.col("_phrase"), before))
+        .withColumn("_after", F.when(F.col("_phrase"), after))
+        .withColumn("_overlaps", _can_overlap(term))
+        .withColumn(
+            "_unit",
+            F.when(F.col("_phrase"), _anchor(_head(term), _tail(term), before, after)).otherwise(term),
         )
     )
-    # At most nine anchor shapes exist, so this collect is bounded.
-    shapes = [
-        (row["_before"], row["_after"])
-        for row in lookup.where("_phrase").select("_before", "_after").distinct().collect()
-    ]
-    content = F.col("content")
-    units = F.concat(tokens(content), _text_anchors(content, sorted(shapes))) if shapes else tokens(content)
-    scanned = articles.select(*keep, "content", F.explode(units).alias("_unit"))
-    count = _phrase_count(bounded)
-    hits = F.when(F.col("_phrase"), count(content, F.col("term"))).otherwise(F.lit(1).cast("long"))
+    # The shapes of the anchors and the longest phrase: at most
+    # (ANCHOR_SIDE + 1) ** 2 rows, whatever the dictionary.
+    spaces = F.length("term") - F.length(F.replace("term", F.lit(" "), F.lit("")))
+    shapes = (
+        lookup.where("_phrase").groupBy("_before", "_after").agg(F.max(spaces + 1).alias("size")).collect()
+    )
+    longest = max((shape["size"] for shape in shapes), default=1)
+    head, tail = _head(window), _tail(window)
+    anchors = [_anchor(head, tail, F.lit(s["_before"]), F.lit(s["_after"])) for s in shapes]
+    units = F.array_distinct(F.array(head, *anchors))
+    scanned = articles.select(
+        *keep, "content", F.posexplode(_windows(content, longest)).alias("_at", "_window")
+    ).select("*", F.explode(units).alias("_unit"))
+    # A phrase is found where its words meet the window and counts one.  Where
+    # a match may overlap the next, the whole text is counted instead, once,
+    # at the first match.
+    meets = F.endswith(head, _head(term)) & F.startswith(tail, _tail(term))
+    counts_here = ~F.col("_overlaps") | (_first_match(content, term) == F.col("_at"))
+    found = F.when(F.col("_phrase"), meets & counts_here).otherwise(head == term)
+    one = F.lit(1).cast("long")
+    here = count_bounded_phrase(_in_place(head, tail, term), term) if bounded else one
+    hits = (
+        F.when(F.col("_overlaps"), _phrase_count(bounded)(content, term))
+        .when(F.col("_phrase"), here)
+        .otherwise(one)
+    )
     parts = [
-        scanned.join(F.broadcast(part.drop("_before", "_after")), "_unit").select(
-            *keep, *terms.columns, hits.alias("hits")
-        )
+        scanned.join(F.broadcast(part.drop("_before", "_after")), "_unit")
+        .where(found)
+        .select(*keep, *terms.columns, hits.alias("hits"))
         for part in broadcast_slices(lookup, "term")
     ]
     return reduce(DataFrame.unionByName, parts).where(F.col("hits") > 0)
