@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 # a word.  ASCII punctuation keeps ' - and @ for the later steps.
 PUNCTUATION = r"""[!"#$%&()*+,./:;<=>?\[\\\]^_`{|}~—“”]+"""
 WHITESPACE = r"[\s\u001c-\u001f\u0085\p{Z}]+"
-WORD = r"^\p{L}+(-\p{L}+)*$"
+WORD = r"^\p{L}++(?:-\p{L}++)*+$"
 
 
 def default_stop_words() -> list[str]:

@@ -23,9 +23,9 @@ from ..functions.counting import count_bounded_phrase, count_phrase, tokens
 from ..session import cut_lineage
 from .sizing import broadcast_slices, rows_if_at_most
 
-# Measured on local cores: beyond about this many phrases one substring test
+# Measured on local cores: beyond about this many phrases, one substring test
 # per phrase costs more than the equality join.
-INLINE_PHRASES = 100
+INLINE_PHRASES = 300
 INLINE_WORDS = 2_000
 ANCHOR_SIDE = 3
 
