@@ -48,7 +48,8 @@ def category_hits(articles: DataFrame, dictionary: DataFrame) -> DataFrame:
     """
     terms = dictionary.select(F.col("keyword").alias("term"), "category")
     hits = term_hits(articles, terms, keep=["url"])
-    return hits.groupBy("url", "category").agg(F.sum("hits").alias("hits"))
+    summed = hits.groupBy("url", "category").agg(F.sum("hits").alias("hits"))
+    return summed.where(F.col("hits") > 0)
 
 
 def label_articles(articles: DataFrame, dictionary: DataFrame, zero_hit: str = "first") -> DataFrame:

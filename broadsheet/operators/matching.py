@@ -84,13 +84,13 @@ def term_hits(
     keep: Sequence[str] = (),
     bounded: bool = False,
 ) -> DataFrame:
-    """Rows ``(*keep, *terms.columns, hits)`` with ``hits`` > 0.
+    """Rows ``(*keep, *terms.columns, hits)`` to be summed by the caller.
 
     ``terms`` has a ``term`` column and may carry others, such as the
-    category.  A word gives one row per occurrence and a phrase one row per
-    text.  ``bounded`` counts phrases at word boundaries only.  Callers sum
-    ``hits``; the partial sum runs before any shuffle, so a term found
-    everywhere costs no more than a rare one.
+    category.  A term may come in several rows of one text, and with zero
+    hits where a phrase occurs but is not ``bounded`` by word ends.  The
+    partial sum runs before any shuffle, so a term found everywhere costs no
+    more than a rare one.
     """
     listed = inline_terms(terms)
     if listed is not None:
@@ -107,9 +107,7 @@ def _literal_hits(
         known_tokens(content, words),
         lambda t: F.struct(t.alias("term"), F.lit(1).cast("long").alias("hits")),
     )
-    hits = articles.select(
-        *keep, F.inline(F.concat(once, known_phrases(content, phrases, bounded)))
-    ).where(F.col("hits") > 0)
+    hits = articles.select(*keep, F.inline(F.concat(once, known_phrases(content, phrases, bounded))))
     if terms.columns == ["term"]:
         return hits
     # The row count of this side was checked when the terms were listed.
@@ -137,12 +135,12 @@ def _windows(content: Column, size: int) -> Column:
     )
 
 
-def _in_place(head: Column, tail: Column, term: Column) -> Column:
+def _in_place(head: Column, tail: Column) -> Column:
     """The phrase where it was met, with one more character on either side."""
     return F.concat(
-        F.right(head, F.length(_head(term)) + 1),
+        F.right(head, F.length("_term_head") + 1),
         F.lit(" "),
-        F.left(tail, F.length(_tail(term)) + 1),
+        F.left(tail, F.length("_term_tail") + 1),
     )
 
 
@@ -159,21 +157,7 @@ def _first_match(content: Column, term: Column) -> Column:
 
 
 def _joined_hits(articles: DataFrame, terms: DataFrame, keep: Sequence[str], bounded: bool) -> DataFrame:
-    term, content, window = F.col("term"), F.col("content"), F.col("_window")
-    before = F.least(F.lit(ANCHOR_SIDE), F.length(_head(term)))
-    after = F.least(F.lit(ANCHOR_SIDE), F.length(_tail(term)))
-    # The dictionary is measured and then read per slice: write it once.
-    lookup = cut_lineage(
-        terms.where(term != "")
-        .withColumn("_phrase", is_phrase(term))
-        .withColumn("_before", F.when(F.col("_phrase"), before))
-        .withColumn("_after", F.when(F.col("_phrase"), after))
-        .withColumn("_overlaps", _can_overlap(term))
-        .withColumn(
-            "_unit",
-            F.when(F.col("_phrase"), _anchor(_head(term), _tail(term), before, after)).otherwise(term),
-        )
-    )
+    lookup = _lookup(terms)
     # The shapes of the anchors and the longest phrase: at most
     # (ANCHOR_SIDE + 1) ** 2 rows, whatever the dictionary.
     spaces = F.length("term") - F.length(F.replace("term", F.lit(" "), F.lit("")))
@@ -181,20 +165,29 @@ def _joined_hits(articles: DataFrame, terms: DataFrame, keep: Sequence[str], bou
         lookup.where("_phrase").groupBy("_before", "_after").agg(F.max(spaces + 1).alias("size")).collect()
     )
     longest = max((shape["size"] for shape in shapes), default=1)
-    head, tail = _head(window), _tail(window)
-    anchors = [_anchor(head, tail, F.lit(s["_before"]), F.lit(s["_after"])) for s in shapes]
-    units = F.array_distinct(F.array(head, *anchors))
-    scanned = articles.select(
-        *keep, "content", F.posexplode(_windows(content, longest)).alias("_at", "_window")
-    ).select("*", F.explode(units).alias("_unit"))
+    term, content, window = F.col("term"), F.col("content"), F.col("_window")
+    head, tail = F.col("_head"), F.col("_tail")
+    # Anchors of different shapes differ, so no unit comes twice; a window too
+    # short for a shape gives NULL, which joins nothing.
+    anchors = [
+        F.when(
+            (F.length(head) >= s["_before"]) & (F.length(tail) >= s["_after"]),
+            _anchor(head, tail, F.lit(s["_before"]), F.lit(s["_after"])),
+        )
+        for s in shapes
+    ]
+    scanned = (
+        articles.select(*keep, "content", F.posexplode(_windows(content, longest)).alias("_at", "_window"))
+        .select(*keep, "content", "_at", _head(window).alias("_head"), _tail(window).alias("_tail"))
+        .select("*", F.explode(F.array(head, *anchors)).alias("_unit"))
+    )
     # A phrase is found where its words meet the window and counts one.  Where
     # a match may overlap the next, the whole text is counted instead, once,
     # at the first match.
-    meets = F.endswith(head, _head(term)) & F.startswith(tail, _tail(term))
+    meets = F.endswith(head, F.col("_term_head")) & F.startswith(tail, F.col("_term_tail"))
     counts_here = ~F.col("_overlaps") | (_first_match(content, term) == F.col("_at"))
-    found = F.when(F.col("_phrase"), meets & counts_here).otherwise(head == term)
     one = F.lit(1).cast("long")
-    here = count_bounded_phrase(_in_place(head, tail, term), term) if bounded else one
+    here = count_bounded_phrase(_in_place(head, tail), term) if bounded else one
     hits = (
         F.when(F.col("_overlaps"), _phrase_count(bounded)(content, term))
         .when(F.col("_phrase"), here)
@@ -202,8 +195,29 @@ def _joined_hits(articles: DataFrame, terms: DataFrame, keep: Sequence[str], bou
     )
     parts = [
         scanned.join(F.broadcast(part.drop("_before", "_after")), "_unit")
-        .where(found)
+        .where(~F.col("_phrase") | (meets & counts_here))
         .select(*keep, *terms.columns, hits.alias("hits"))
         for part in broadcast_slices(lookup, "term")
     ]
-    return reduce(DataFrame.unionByName, parts).where(F.col("hits") > 0)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _lookup(terms: DataFrame) -> DataFrame:
+    """The dictionary by the unit each term is looked up with.
+
+    It is measured and then read once per slice, so it is written once.
+    """
+    term, phrase = F.col("term"), F.col("_phrase")
+    before = F.least(F.lit(ANCHOR_SIDE), F.length("_term_head"))
+    after = F.least(F.lit(ANCHOR_SIDE), F.length("_term_tail"))
+    parted = (
+        terms.where(term != "")
+        .withColumn("_phrase", is_phrase(term))
+        .withColumn("_term_head", _head(term))
+        .withColumn("_term_tail", _tail(term))
+        .withColumn("_overlaps", _can_overlap(term))
+        .withColumn("_before", F.when(phrase, before))
+        .withColumn("_after", F.when(phrase, after))
+    )
+    anchor = _anchor(F.col("_term_head"), F.col("_term_tail"), F.col("_before"), F.col("_after"))
+    return cut_lineage(parted.withColumn("_unit", F.when(phrase, anchor).otherwise(term)))

@@ -25,7 +25,8 @@ def term_count(articles: DataFrame, terms: DataFrame, bounded: bool = False) ->
     Tokens meet the dictionary before they are counted, so only dictionary
     terms are shuffled and not the vocabulary of the corpus.
     """
-    return term_hits(articles, terms, bounded=bounded).groupBy("term").agg(F.sum("hits").alias("count"))
+    counted = term_hits(articles, terms, bounded=bounded).groupBy("term").agg(F.sum("hits").alias("count"))
+    return counted.where(F.col("count") > 0)
 
 
 def phrase_count(articles: DataFrame, terms: DataFrame) -> DataFrame:
