@@ -157,6 +157,15 @@ def _class_hit(pattern: re.Pattern, attributes: dict[str, str]) -> bool:
 
 _compiled = lru_cache(maxsize=1024)(re.compile)
 
+
+def parse_once(udf):
+    """Keep the optimizer from pushing a filter on the result below the parse.
+
+    Such a filter would run the parse a second time.
+    """
+    return udf.asNondeterministic()
+
+
 TAG_TYPE = pa.list_(
     pa.struct(
         [
@@ -187,6 +196,7 @@ def _tags_of(html: str | None) -> list[dict]:
     ]
 
 
+@parse_once
 @arrow_udf(from_arrow_type(TAG_TYPE))
 def page_tags(html: pa.Array) -> pa.Array:
     """Tags with an href, a class or an aria-label, in document order."""
@@ -199,6 +209,7 @@ def _hrefs_of(html: str | None) -> list[str]:
     return [attributes["href"] for attributes in read if "href" in attributes]
 
 
+@parse_once
 @arrow_udf(ArrayType(StringType()))
 def page_hrefs(html: pa.Array) -> pa.Array:
     """The href of every tag that has one, in document order."""
@@ -264,6 +275,7 @@ def _content_of(html: str | None, rule: str | None) -> dict | None:
     }
 
 
+@parse_once
 @arrow_udf(from_arrow_type(CONTAINER_TYPE))
 def article_container(html: pa.Array, rule: pa.Array) -> pa.Array:
     """The article container of each page; NULL where the rule finds none.

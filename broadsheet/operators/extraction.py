@@ -23,6 +23,19 @@ NOT_FETCHED = "fetch error"
 STORED, REJECTED, FETCH_ERROR = "stored", "rejected", "fetch_error"
 
 
+def first_pages(pages: DataFrame) -> DataFrame:
+    """The page with the lowest ``page_id`` of each url.
+
+    Repeats are found over urls and ids alone.  Only the ids to leave out
+    meet the pages, where they are read, so no html is shuffled.
+    """
+    ids = pages.select("url", "page_id")
+    repeated = ids.groupBy("url").agg(F.min("page_id").alias("_first"), F.count("*").alias("_copies"))
+    repeated = broadcast_if_small(repeated.where(F.col("_copies") > 1).select("url", "_first"), "url")
+    later = ids.join(repeated, "url").where(F.col("page_id") > F.col("_first")).select("page_id")
+    return pages.join(broadcast_if_small(later, "page_id"), "page_id", "left_anti")
+
+
 def with_site_rules(pages: DataFrame, sites: DataFrame) -> DataFrame:
     """Pages with ``div_filter, p_attr_exclusion, has_rule`` of their site.
 
@@ -113,12 +126,6 @@ def clean_outcomes(extracted: DataFrame, scrape_date: Column, stop_words: Sequen
     )
 
 
-def one_per_url(outcomes: DataFrame) -> DataFrame:
-    """The outcome of the first page of each url."""
-    first = F.min_by(F.struct("status", "reason", "scrape_date", "content"), "page_id")
-    return outcomes.groupBy("url").agg(first.alias("o")).select("url", "o.*")
-
-
 def outcome_counts(outcomes: DataFrame) -> DataFrame:
     """One row ``stored, omitted``; failed fetches and rejects are omitted."""
     stored = F.col("status") == STORED

@@ -25,19 +25,24 @@ def rows_if_at_most(df: DataFrame, limit: int) -> list[Row] | None:
 def _measure(df: DataFrame, key: str) -> tuple[int, int]:
     size = df.agg(
         F.count("*").alias("rows"),
-        F.coalesce(F.sum(F.octet_length(key)), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum(F.octet_length(F.col(key).cast("string"))), F.lit(0)).alias("bytes"),
     ).first()
     return size["rows"], size["bytes"]
 
 
+def is_small(df: DataFrame, key: str) -> bool:
+    """Whether ``df`` was measured to fit the bounds of one broadcast."""
+    rows, size = _measure(df, key)
+    return rows <= SLICE_ROWS and size <= SLICE_BYTES
+
+
 def broadcast_if_small(df: DataFrame, key: str) -> DataFrame:
     """``df`` with a broadcast hint when it was measured to be small.
 
     A larger table is joined by shuffle, where adaptive execution splits the
     partitions of hot keys.
     """
-    rows, size = _measure(df, key)
-    return F.broadcast(df) if rows <= SLICE_ROWS and size <= SLICE_BYTES else df
+    return F.broadcast(df) if is_small(df, key) else df
 
 
 def broadcast_slices(df: DataFrame, key: str) -> Iterator[DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
-from ..functions.markup import page_hrefs, page_tags
+from ..functions.markup import page_hrefs, page_tags, parse_once
 from ..operators.frontier import new_links
 from ..operators.links import canonical_links, next_pages
 from ..operators.sizing import broadcast_if_small
@@ -25,6 +25,7 @@ def _pattern_error(patterns: list[str | None]) -> str | None:
     return None
 
 
+@parse_once
 @arrow_udf(StringType())
 def _first_error(patterns: pa.Array) -> pa.Array:
     return pa.array([_pattern_error(row or []) for row in patterns.to_pylist()], pa.string())
@@ -51,7 +52,8 @@ def found_links(pages: DataFrame, listings: DataFrame, rules: DataFrame) -> Data
     landed = pages.select("url", "html").join(
         broadcast_if_small(listings.select("domain", "page", "url"), "url"), "url"
     )
-    hrefs = landed.select("domain", "page", F.explode(page_hrefs("html")).alias("href"))
+    parsed = landed.select("domain", "page", page_hrefs("html").alias("hrefs"))
+    hrefs = parsed.select("domain", "page", F.explode("hrefs").alias("href"))
     return canonical_links(hrefs, sound_rules(rules))
 
 

@@ -15,10 +15,11 @@ from ..operators.extraction import (
     STORED,
     clean_outcomes,
     extract_articles,
-    one_per_url,
+    first_pages,
     outcome_counts,
 )
 from ..operators.frontier import count_attempts, dequeue, purge
+from ..operators.sizing import is_small
 from ..session import cut_lineage
 from ..sources.tables import append_rows
 
@@ -28,22 +29,39 @@ def page_outcomes(
 ) -> DataFrame:
     """``url, status, reason, scrape_date, content``, one row per landed url.
 
-    Extraction and cleaning run inside the scan; the shuffle by url that
-    settles repeated pages moves cleaned text, not html.
+    Extraction and cleaning run inside the scan of the pages; neither html
+    nor text is shuffled.
     """
-    extracted = extract_articles(pages, sites)
-    return one_per_url(clean_outcomes(extracted, scrape_date, stop_words))
+    extracted = extract_articles(first_pages(pages), sites)
+    return clean_outcomes(extracted, scrape_date, stop_words).drop("page_id")
 
 
-def frontier_outcomes(queue: DataFrame, page_results: DataFrame, scrape_date: Column) -> DataFrame:
-    """One outcome per queued url; urls without a landed page failed to fetch."""
-    return queue.select("url").join(page_results, "url", "left").select(
+def frontier_outcomes(
+    queue: DataFrame,
+    pages: DataFrame,
+    sites: DataFrame,
+    scrape_date: Column,
+    stop_words: Sequence[str] | None = None,
+) -> DataFrame:
+    """One outcome per queued url; urls without a landed page failed to fetch.
+
+    A queue of checked small size picks its pages where they are read.  A
+    larger one picks from the outcomes, which carry text and no html.
+    """
+    wanted = queue.select("url").distinct()
+    if is_small(wanted, "url"):
+        picked = pages.join(F.broadcast(wanted), "url", "left_semi")
+        settled = page_outcomes(picked, sites, scrape_date, stop_words)
+    else:
+        settled = page_outcomes(pages, sites, scrape_date, stop_words).join(wanted, "url", "left_semi")
+    missing = wanted.join(pages.select("url"), "url", "left_anti").select(
         "url",
-        F.coalesce("status", F.lit(FETCH_ERROR)).alias("status"),
-        F.when(F.col("status").isNull(), NOT_FETCHED).otherwise(F.col("reason")).alias("reason"),
-        F.coalesce("scrape_date", scrape_date).alias("scrape_date"),
-        "content",
+        F.lit(FETCH_ERROR).alias("status"),
+        F.lit(NOT_FETCHED).alias("reason"),
+        scrape_date.alias("scrape_date"),
+        F.lit(None).cast("string").alias("content"),
     )
+    return settled.unionByName(missing)
 
 
 def stored_rows(outcomes: DataFrame) -> DataFrame:
@@ -85,9 +103,7 @@ def ingest(
     moment = F.localtimestamp() if run_at is None else run_at
     day = moment.cast("date")
     queue = purge(frontier, articles, excluded)
-    outcomes = cut_lineage(
-        frontier_outcomes(queue, page_outcomes(pages, sites, day, stop_words), day)
-    )
+    outcomes = cut_lineage(frontier_outcomes(queue, pages, sites, day, stop_words))
     return IngestResult(
         articles=stored_rows(outcomes),
         excluded=excluded_rows(outcomes),

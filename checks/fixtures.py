@@ -289,3 +289,18 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_urls(spark, sf_dir).select(host(F.col("url")).alias("host"))
+
+
+def class_pager(html: Column) -> Column:
+    """Each menu link as a pager by class; the last one counts."""
+    return F.replace(html, F.lit('<li><a href="/'), F.lit('<li><a class="pager next" href="?page='))
+
+
+def labelled_pager(html: Column) -> Column:
+    """Each menu link as a pager by aria-label; the first one counts."""
+    return F.replace(html, F.lit('<li><a href="/'), F.lit('<li><a aria-label="pager" href="?page='))
+
+
+def heading_pager(html: Column) -> Column:
+    """The heading as a tag of the pager class with a query attribute."""
+    return F.replace(html, F.lit("<h1>"), F.lit('<h1 class="pager" data-id="7" data-next="/x?from=h1">'))

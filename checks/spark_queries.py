@@ -468,9 +468,16 @@ def frontier_stale(spark, sf_dir):
 
 @_register
 def next_pages(spark, sf_dir):
-    """Rows only: next-page links by an aria-label or class the pages may have."""
-    rules = fx.link_rules(spark, sf_dir).withColumn("pagin_filter", F.lit("ad"))
-    return discover.listing_next_pages(landed.pages(spark, sf_dir), fx.listings(spark, sf_dir), rules)
+    """The pages' menu entries turned into pagers of the three known kinds."""
+    rules = fx.link_rules(spark, sf_dir).withColumn("pagin_filter", F.lit("pager"))
+    paged = landed.pages(spark, sf_dir).select(
+        "url",
+        F.when(F.startswith("url", F.lit("https://m.")), fx.labelled_pager(F.col("html")))
+        .when(F.startswith("url", F.lit("https://blog.")), fx.heading_pager(F.col("html")))
+        .otherwise(fx.class_pager(F.col("html")))
+        .alias("html"),
+    )
+    return discover.listing_next_pages(paged, fx.listings(spark, sf_dir), rules)
 
 
 @_register

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.operators import extraction
+from broadsheet.operators import extraction, sizing
 from broadsheet.plans import ingest
 from broadsheet.session import cut_lineage
 from broadsheet.sources import tables
@@ -91,7 +91,9 @@ def world(spark):
     return pages, frontier, stored, sites
 
 
-def test_ingest_settles_the_frontier(spark, world, rows, tmp_path):
+@pytest.mark.parametrize("slice_rows", [0, 1000])
+def test_ingest_settles_the_frontier(spark, world, rows, tmp_path, monkeypatch, slice_rows):
+    monkeypatch.setattr(sizing, "SLICE_ROWS", slice_rows)
     pages, frontier, stored, sites = world
     result = ingest.ingest(
         frontier, pages, sites, stored, stored.where("false"),
