@@ -7,14 +7,21 @@ expressions over the arrays that leave these functions.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+import sys
 from html import unescape
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import ArrayType, StringType
 
+from .patterns import parse_once
+
+# Send these functions to the executors with the job, so that they need not
+# have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # How tags close each other in lenient HTML.  An opening tag
 # closes the open tags listed for it; an end tag does not reach past an open
 # tag of higher rank.
@@ -155,16 +162,6 @@ def _class_hit(pattern: re.Pattern, attributes: dict[str, str]) -> bool:
     )
 
 
-_compiled = lru_cache(maxsize=1024)(re.compile)
-
-
-def parse_once(udf):
-    """Keep the optimizer from pushing a filter on the result below the parse.
-
-    Such a filter would run the parse a second time.
-    """
-    return udf.asNondeterministic()
-
 
 TAG_TYPE = pa.list_(
     pa.struct(
@@ -241,7 +238,7 @@ def _container(page: _Outline, rule: str | None) -> int | None:
     tags = list(zip(page.names, page.attributes))
     if rule is None:
         return next((i for i, (name, _) in enumerate(tags) if name == "article"), None)
-    pattern = _compiled(rule)
+    pattern = re.compile(rule)
     for wanted in ("div", "article"):
         for i, (name, attributes) in enumerate(tags):
             if name == wanted and _class_hit(pattern, attributes):

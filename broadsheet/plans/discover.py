@@ -2,41 +2,22 @@
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import StringType
 
-from ..functions.markup import page_hrefs, page_tags, parse_once
+from ..functions.markup import page_hrefs, page_tags
+from ..functions.patterns import first_error
 from ..operators.frontier import new_links
 from ..operators.links import canonical_links, next_pages
 from ..operators.sizing import broadcast_if_small
 
 
-def _pattern_error(patterns: list[str | None]) -> str | None:
-    for pattern in patterns:
-        try:
-            re.compile(pattern or "")
-        except re.error as error:
-            return f"bad pattern {pattern!r}: {error}"
-    return None
-
-
-@parse_once
-@arrow_udf(StringType())
-def _first_error(patterns: pa.Array) -> pa.Array:
-    return pa.array([_pattern_error(row or []) for row in patterns.to_pylist()], pa.string())
-
-
 def judged_rules(rules: DataFrame) -> DataFrame:
     """Site rules with ``error``: what is wrong with a pattern, or NULL."""
     patterns = F.concat(
         F.array("url_filter"), F.coalesce("url_exclusion", F.array().cast("array<string>"))
     )
-    return rules.withColumn("error", _first_error(patterns))
+    return rules.withColumn("error", first_error(patterns))
 
 
 def sound_rules(rules: DataFrame) -> DataFrame:

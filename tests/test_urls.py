@@ -121,3 +121,11 @@ def test_found_links_and_errors(spark, rows):
     none = known.where("false")
     assert rows(discover.discover(pages, listings, rules, none, known, none)) == []
     assert rows(discover.discover(pages, listings, rules, none, none, none)) == [("https://a.com/1",)]
+
+
+def test_udf_code_travels_with_the_job():
+    """Executors have no copy of the package; the UDF modules go by value."""
+    from pyspark import cloudpickle
+
+    sent = cloudpickle.cloudpickle.list_registry_pickle_by_value()
+    assert {"broadsheet.functions.markup", "broadsheet.functions.patterns"} <= sent
