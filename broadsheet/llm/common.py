@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+from pyspark import cloudpickle
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,9 +14,13 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: White space of the word rules: space and the five controls from tab to return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that are Python objects at one time.
+SLICE_ROWS = 500
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -46,14 +52,19 @@ def lower_words(text: str | None) -> list[bytes]:
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
-    """``df.mapInArrow`` over plain dicts of column lists, one per Arrow batch."""
+    """``df.mapInArrow`` over plain dicts of column lists, of at most SLICE_ROWS rows each."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in function(batch.to_pydict() for batch in batches):
+        slices = (
+            batch.slice(start, SLICE_ROWS).to_pydict()
+            for batch in batches
+            for start in range(0, batch.num_rows, SLICE_ROWS)
+        )
+        for columns in function(slices):
             yield pa.RecordBatch.from_arrays(
                 [
                     v if isinstance(v, pa.Array) else pa.array(v, type=field.type)

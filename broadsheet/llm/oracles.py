@@ -59,3 +59,17 @@ WITH parts AS (
 )
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM best WHERE place = 1
 """
+
+ORACLES["op8_exact_dedup"] = r"""
+WITH bare AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS content
+  FROM documents
+)
+SELECT doc_id,
+       first_value(doc_id) OVER (PARTITION BY content ORDER BY points DESC, doc_id) AS keep_id,
+       count(*) OVER (PARTITION BY content)::BIGINT AS group_size,
+       doc_id = first_value(doc_id) OVER (PARTITION BY content ORDER BY points DESC, doc_id) AS kept,
+       sha256(content) AS text_sha256
+FROM bare
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, url_filter
+from . import exact_dedup, mixing, packing, url_filter
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +43,27 @@ def op7_url_filter(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages", "page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@_register
+def op8_exact_dedup(spark, sf_dir):
+    """The row that stays for every document."""
+    return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def tokenizer_files() -> dict:
+    """Where the public vocabulary is installed."""
+    import public_tokenizers
+
+    return {
+        "tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"),
+        "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        "pattern": public_tokenizers.PATTERN,
+    }
+
+
+@_register
+def op9_best_fit_packing(spark, sf_dir):
+    """Places of all pieces in sequences of 2048 tokens."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack_documents(docs, **tokenizer_files()).drop("row")
