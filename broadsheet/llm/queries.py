@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, url_filter
+from . import exact_dedup, fingerprints, mixing, packing, url_filter
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,9 @@ def op9_best_fit_packing(spark, sf_dir):
     """Places of all pieces in sequences of 2048 tokens."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return packing.pack_documents(docs, **tokenizer_files()).drop("row")
+
+
+@_register
+def op10_fingerprints(spark, sf_dir):
+    """Fingerprints of every text, its edited text, and their likeness."""
+    return fingerprints.edited_likeness(read_table(spark, sf_dir, "documents", "doc_id", "text"))
