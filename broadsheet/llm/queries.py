@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, mixing, packing, url_filter
-from .common import read_table
+from . import exact_dedup, fingerprints, language, mixing, packing, url_filter
+from .common import document_remainder, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,3 +73,13 @@ def op9_best_fit_packing(spark, sf_dir):
 def op10_fingerprints(spark, sf_dir):
     """Fingerprints of every text, its edited text, and their likeness."""
     return fingerprints.edited_likeness(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@_register
+def op2_language(spark, sf_dir):
+    """Predicted language of every text; learned where crc32(doc_id) mod 3 is not 1."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    remainder = document_remainder("doc_id", 3)
+    langs, model = language.train(docs, remainder != 1)
+    rows = docs.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "text")
+    return language.predict(rows, langs, model)
