@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, language, mixing, packing, url_filter
+from . import exact_dedup, fingerprints, html_extraction, language, mixing, packing, url_filter
 from .common import document_remainder, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,9 @@ def op2_language(spark, sf_dir):
     langs, model = language.train(docs, remainder != 1)
     rows = docs.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "text")
     return language.predict(rows, langs, model)
+
+
+@_register
+def op4_html_extraction(spark, sf_dir):
+    """Main text of every page."""
+    return html_extraction.extract_main_text(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
