@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, html_extraction, language, mixing, packing, url_filter
+from . import exact_dedup, fingerprints, html_extraction, language, mixing, near_dedup, packing, url_filter
 from .common import document_remainder, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +89,9 @@ def op2_language(spark, sf_dir):
 def op4_html_extraction(spark, sf_dir):
     """Main text of every page."""
     return html_extraction.extract_main_text(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@_register
+def op6_near_dedup(spark, sf_dir):
+    """Near-duplicate group of every document."""
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
