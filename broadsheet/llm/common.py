@@ -51,8 +51,10 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
-    """``df.mapInArrow`` over plain dicts of column lists, of at most SLICE_ROWS rows each."""
+def map_batches(
+    df: DataFrame, function: Callable[[Iterator[dict]], Iterable[dict]], schema: str, rows: int = SLICE_ROWS
+) -> DataFrame:
+    """``df.mapInArrow`` over plain dicts of column lists, of at most ``rows`` rows each."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -60,9 +62,9 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[dict]], Iterable[dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices = (
-            batch.slice(start, SLICE_ROWS).to_pydict()
+            batch.slice(start, rows).to_pydict()
             for batch in batches
-            for start in range(0, batch.num_rows, SLICE_ROWS)
+            for start in range(0, batch.num_rows, rows)
         )
         for columns in function(slices):
             yield pa.RecordBatch.from_arrays(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, html_extraction, language, mixing, near_dedup, packing, url_filter
+from . import exact_dedup, fingerprints, hmm_score, html_extraction, language, mixing, near_dedup, packing, url_filter
 from .common import document_remainder, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,12 @@ def op4_html_extraction(spark, sf_dir):
 def op6_near_dedup(spark, sf_dir):
     """Near-duplicate group of every document."""
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@_register
+def op5_lm_score(spark, sf_dir):
+    """Scores of all texts; learned where crc32(doc_id) mod 7 is not 2."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    remainder = document_remainder("doc_id", 7)
+    rows = docs.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "text")
+    return hmm_score.score(rows, F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
