@@ -1,8 +1,8 @@
 """Hidden Markov language model: Baum-Welch over all training texts, exact scores by forward recursion.
 
-The alphabet is bounded: words that make up at least one in ``HEAD_SHARE``
-training tokens are symbols of their own (there cannot be more than
-``HEAD_SHARE`` of them), all other words share ``ENDINGS`` symbols by their last
+The alphabet is bounded: words that occur ``HEAD_COUNT`` times and make up at
+least one in ``HEAD_SHARE`` training tokens are symbols of their own (there
+cannot be more than ``HEAD_SHARE`` of them), all other words share ``ENDINGS`` symbols by their last
 letters.  Hidden states emit symbols; a word of a shared symbol then has the
 probability of its own count within the symbol, one place kept for words never
 seen.  So every text has a proper probability, and
@@ -45,14 +45,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STATES = 8
 PASSES = 2
 HEAD_SHARE = 500_000
+HEAD_COUNT = 10
 ENDINGS = 1024
 ENDING_BYTES = 3
 #: The end of a text; no word can be this.
 END = b"\n"
 #: Texts the starting point is made from, about; and symbols it looks at.
 SEED_TEXTS, SEED_SYMBOLS, SEED_ROUNDS = 1_500, 1_024, 20
-#: Weight of the overall symbol shares in each state, in tokens.
-PRIOR = 200.0
+#: Weight of the overall symbol shares in each state: in tokens, and as a share of the state's own.
+PRIOR, MIXED_IN = 200.0, 0.03
 STAY = 0.97
 #: Distinct words a partition counts before it passes them on.
 COUNT_WORDS = 300_000
@@ -98,9 +99,6 @@ class Vocabulary:
     def size(self) -> int:
         return len(self.head) + ENDINGS
 
-    def symbol_counts(self) -> np.ndarray:
-        return np.concatenate([self.head_counts, self.ending_tokens]).astype(np.float64)
-
     def symbols(self, words: list[bytes]) -> list[int]:
         """Symbols of a text's words and its end."""
         get, rare = self.head.get, len(self.head)
@@ -111,10 +109,15 @@ class Vocabulary:
         return found
 
 
+def is_frequent(tokens: int) -> Column:
+    """Whether a row of the word counts is a symbol of its own."""
+    return (F.col("c") * HEAD_SHARE >= F.lit(tokens)) & (F.col("c") >= HEAD_COUNT)
+
+
 def read_vocabulary(counts: DataFrame) -> Vocabulary:
     """Totals, frequent words, and sums of the rare ones by ending: all of bounded size."""
     tokens, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = F.col("c") * HEAD_SHARE >= F.lit(tokens)
+    frequent = is_frequent(tokens)
     rows = counts.where(frequent & (F.col("word") != F.lit(END))).collect()  # at most HEAD_SHARE words
     rows = sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda r: (-r[1], r[0]))
     end = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
@@ -143,7 +146,8 @@ class Model:
 
 
 def overall_shares(vocabulary: Vocabulary) -> np.ndarray:
-    counts = vocabulary.symbol_counts() + 1.0
+    """Shares of the symbols when every word, and one unseen word per ending, counts once more."""
+    counts = np.concatenate([vocabulary.head_counts, vocabulary.ending_tokens + vocabulary.ending_words]) + 1.0
     return counts / counts.sum()
 
 
@@ -302,7 +306,7 @@ def baum_welch_pass(docs: DataFrame, text: str, vocabulary, model: Model, shares
             start[:] = values
         else:
             move[symbol + states] = values
-    emit += PRIOR * shares[:, None]
+    emit += (PRIOR + MIXED_IN * emit.sum(axis=0)) * shares[:, None]
     stay = PRIOR * model.move / len(move)
     return Model(
         (start + 1.0) / (start.sum() + states),
@@ -405,9 +409,9 @@ def score(
         ),
         "lm-scored",
     )
-    # No rare word is a hot key: each makes up less than one in HEAD_SHARE tokens.
+    # No rare word is a hot key: it occurs a few times, or makes up less than one in HEAD_SHARE tokens.
     rare = scored.select("row", F.explode("rare").alias("_rare")).select("row", "_rare.word", "_rare.n")
-    seen = counts.where(F.col("c") * HEAD_SHARE < F.lit(tokens)).where(F.col("word") != F.lit(END))
+    seen = counts.where(~is_frequent(tokens) & (F.col("word") != F.lit(END)))
     added = (
         rare.join(seen, "word")
         .groupBy("row")
