@@ -73,3 +73,49 @@ SELECT doc_id,
        sha256(content) AS text_sha256
 FROM bare
 """
+
+ORACLES["op3_line_dedup"] = r"""
+WITH raw AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents
+), numbered AS (
+  SELECT doc_id, i, trim(regexp_replace(parts[i], '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS clean
+  FROM raw, unnest(range(1, len(parts) + 1)) AS r(i)
+), masked AS (
+  SELECT doc_id, i,
+         list_transform(string_split(clean, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+  FROM numbered WHERE clean <> ''
+), lines AS (
+  SELECT doc_id, i, tokens, len(tokens) AS n, tokens[1:3] AS lead FROM masked WHERE len(tokens) >= 6
+), variants AS (
+  SELECT tokens, n, lead, count(DISTINCT doc_id) AS documents, min(doc_id) AS owner FROM lines GROUP BY ALL
+), leaves AS (
+  SELECT n, lead, count(*) AS variants FROM variants GROUP BY ALL HAVING count(*) > 1
+), taken AS (
+  SELECT v.tokens, v.n, v.lead, l.variants, p, v.tokens[p] AS token
+  FROM variants v JOIN leaves l ON v.n = l.n AND v.lead = l.lead, unnest(range(1, v.n + 1)) AS r(p)
+), common AS (
+  SELECT n, lead, p, token FROM taken GROUP BY n, lead, variants, p, token
+  HAVING count(*) >= 2 AND count(*) >= variants * 0.2
+), generalised AS (
+  SELECT t.tokens, t.n, t.lead,
+         list(CASE WHEN c.p IS NULL THEN NULL ELSE t.token END ORDER BY t.p) AS template
+  FROM taken t LEFT JOIN common c ON t.n = c.n AND t.lead = c.lead AND t.p = c.p AND t.token = c.token
+  GROUP BY t.tokens, t.n, t.lead
+  HAVING count(c.p) < t.n AND count(c.p) >= t.n * 0.75
+), recurring AS (
+  SELECT g.n, g.lead, g.template, min(l.doc_id) AS owner
+  FROM generalised g JOIN lines l ON g.tokens = l.tokens
+  GROUP BY g.n, g.lead, g.template HAVING count(DISTINCT l.doc_id) >= 5
+), owners AS (
+  SELECT v.tokens, coalesce(r.owner, CASE WHEN v.documents >= 2 THEN v.owner END) AS owner
+  FROM variants v LEFT JOIN generalised g ON v.tokens = g.tokens
+  LEFT JOIN recurring r ON g.n = r.n AND g.lead = r.lead AND g.template = r.template
+), dropped AS (
+  SELECT l.doc_id, list(l.i) AS gone FROM lines l JOIN owners o ON l.tokens = o.tokens
+  WHERE o.owner <> l.doc_id GROUP BY l.doc_id
+)
+SELECT r.doc_id, coalesce(len(r.parts), 0)::BIGINT AS n_lines, coalesce(len(d.gone), 0)::BIGINT AS n_dropped,
+       CASE WHEN d.gone IS NULL THEN r.text ELSE coalesce(array_to_string(
+         [r.parts[i] FOR i IN range(1, len(r.parts) + 1) IF NOT list_contains(d.gone, i)], chr(10)), '') END AS text
+FROM raw r LEFT JOIN dropped d ON r.doc_id = d.doc_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, hmm_score, html_extraction, language, mixing, near_dedup, packing, url_filter
+from . import exact_dedup, fingerprints, hmm_score, html_extraction, language, line_dedup, mixing, near_dedup, packing, url_filter
 from .common import document_remainder, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,10 @@ def op5_lm_score(spark, sf_dir):
     remainder = document_remainder("doc_id", 7)
     rows = docs.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "text")
     return hmm_score.score(rows, F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
+
+
+@_register
+def op3_line_dedup(spark, sf_dir):
+    """Every document without the lines that an earlier one has."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return line_dedup.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
