@@ -71,15 +71,15 @@ def source_targets(
     everything = Window.partitionBy()
     staged = weighted.select(
         "*",
+        F.row_number().over(by_ratio).alias("_order"),
         (F.sum("source_size").over(everything) * share).alias("_wanted"),
         F.coalesce(F.sum("_cap").over(before), F.lit(0.0)).alias("_capped"),
         (F.sum("_weight").over(everything) - F.coalesce(F.sum("_weight").over(before), F.lit(0.0))).alias("_free"),
     )
     level = (F.col("_wanted") - F.col("_capped")) / F.col("_free")
-    # The first source whose cap lies at or above the level of those left sets it.
-    leveled = staged.withColumn("_level", F.when(level <= F.col("_cap") / F.col("_weight"), level)).withColumn(
-        "_level", F.min("_level").over(everything)
-    )
+    # The first source in that order whose cap lies at or above the level sets it for all.
+    reached = F.when(level <= F.col("_cap") / F.col("_weight"), F.struct(F.col("_order"), level.alias("level")))
+    leveled = staged.withColumn("_level", F.min(reached).over(everything)["level"])
     return leveled.select(
         "source",
         "source_size",

@@ -19,11 +19,12 @@ WITH sized AS (
 ), staged AS (
   SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS wanted,
          coalesce(sum(cap) OVER b, 0.0::DOUBLE) AS capped,
-         sum(weight) OVER () - coalesce(sum(weight) OVER b, 0.0::DOUBLE) AS free
+         sum(weight) OVER () - coalesce(sum(weight) OVER b, 0.0::DOUBLE) AS free,
+         row_number() OVER (ORDER BY cap / weight, place) AS rank
   FROM weighted
   WINDOW b AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), level AS (
-  SELECT min((wanted - capped) / free) FILTER (WHERE (wanted - capped) / free <= cap / weight) AS level FROM staged
+  SELECT arg_min((wanted - capped) / free, rank) FILTER (WHERE (wanted - capped) / free <= cap / weight) AS level FROM staged
 ), targets AS (
   SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, weight * level) END AS target
   FROM staged, level
