@@ -38,6 +38,8 @@ SAMPLE_PER_LANGUAGE = 1_000
 #: Code points of one text that are turned into n-grams at a time; the sums of all pieces count.
 PIECE_CHARS = 1 << 18
 UNDETERMINED = "und"
+#: Texts of a lower score count as unidentified when rows are filtered.
+LEAST_SCORE = 0.2
 #: Families by language code.  Languages that are not listed form one family, "other".
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is"),
@@ -177,14 +179,15 @@ def vote(labels: Sequence[str], kind: str, model: Model, x: np.ndarray) -> tuple
     return best, 1.0 / (1.0 + np.exp(-3.0 * least[np.arange(rows), best]))
 
 
-def predict(docs: DataFrame, langs: list[str], model: Model, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, langs: list[str], model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; columns of that name are replaced.
 
-    Only the text is sent to Python with what else the caller selected.
+    The text comes back only with ``keep_text``.  The work is done in the scan
+    stage; nothing is shuffled.
     """
     families = sorted({family_of(lang) for lang in langs})
     members = [sorted(lang for lang in langs if family_of(lang) == family) for family in families]
-    kept = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != text)]
     # The model goes out once for each executor.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -205,5 +208,15 @@ def predict(docs: DataFrame, langs: list[str], model: Model, text: str = "text")
                             scores[there[at]] = float(p * q)
             yield {**{c: columns[c] for c in kept}, "lang_pred": predicted, "score": scores}
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return map_batches(docs.select(*kept, text), run, f"{schema}{', ' if schema else ''}lang_pred string, score double")
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    needed = kept if keep_text else [*kept, text]
+    return map_batches(docs.select(*needed), run, f"{schema}lang_pred string, score double")
+
+
+def keep_identified(
+    docs: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
+) -> DataFrame:
+    """The rows of ``docs`` whose language was found: not ``und``, and not below ``LEAST_SCORE``."""
+    langs, model = train(docs, learn_from, doc_id, text, lang)
+    judged = predict(docs, langs, model, text, keep_text=True)
+    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
