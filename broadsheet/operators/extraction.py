@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.markup import article_container
 from ..functions.text import clean_text, strip
 from ..functions.urls import domain, site_domain
+from ..session import cut_lineage
 from .sizing import broadcast_if_small
 
 # The shortest article worth keeping, and the reject reasons.
@@ -23,17 +24,33 @@ NOT_FETCHED = "fetch error"
 STORED, REJECTED, FETCH_ERROR = "stored", "rejected", "fetch_error"
 
 
-def first_pages(pages: DataFrame) -> DataFrame:
-    """The page with the lowest ``page_id`` of each url.
+def first_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The page that settles each url, and the urls whose page is there in exact copies.
 
-    Repeats are found over urls and ids alone.  Only the ids to leave out
-    meet the pages, where they are read, so no html is shuffled.
+    A page with html comes before one without, then the lowest ``page_id``
+    counts, then a hash of the html.  Ids may start anew in every landed
+    file, so a page is known by url and id together.  Repeats are found over
+    urls, ids and hashes; only the choices meet the pages, where they are
+    read, so no html is shuffled.  The first result still holds every copy
+    of the urls in the second.
     """
-    ids = pages.select("url", "page_id")
-    repeated = ids.groupBy("url").agg(F.min("page_id").alias("_first"), F.count("*").alias("_copies"))
-    repeated = broadcast_if_small(repeated.where(F.col("_copies") > 1).select("url", "_first"), "url")
-    later = ids.join(repeated, "url").where(F.col("page_id") > F.col("_first")).select("page_id")
-    return pages.join(broadcast_if_small(later, "page_id"), "page_id", "left_anti")
+    this = F.struct(F.col("html").isNull().alias("unread"), F.col("page_id").alias("id"), F.xxhash64("html").alias("hash"))
+    ids = pages.select("url", this.alias("_this"))
+    repeated = (
+        ids.groupBy("url", "_this")
+        .agg(F.count("*").alias("_copies"))
+        .groupBy("url")
+        .agg(F.min(F.struct("_this", "_copies")).alias("_best"), F.sum("_copies").alias("_rows"))
+        .where(F.col("_rows") > 1)
+        .select(F.col("url").alias("_url"), "_best._this", "_best._copies")
+    )
+    choices = cut_lineage(repeated)
+    chosen = (
+        pages.join(broadcast_if_small(choices, "_url"), F.col("url").eqNullSafe(F.col("_url")), "left")
+        .where(F.col("_this").isNull() | (F.col("_this") == this))
+        .select(*pages.columns)
+    )
+    return chosen, choices.where(F.col("_copies") > 1).select(F.col("_url").alias("url"))
 
 
 def with_site_rules(pages: DataFrame, sites: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import domain, same_host
 from ..session import cut_lineage
-from .keys import without_known
+from .keys import without_known, without_stored
 from .ranking import number_rows, previous_value
 
 
@@ -26,9 +26,12 @@ def enqueue(frontier: DataFrame, links: DataFrame, now: Column | None = None) ->
 
 
 def purge(frontier: DataFrame, articles: DataFrame, excluded: DataFrame) -> DataFrame:
-    """The frontier without urls already stored or rejected."""
+    """The frontier without urls already stored or rejected.
+
+    The stored urls are first reduced to those of the frontier.
+    """
     known = articles.select("url").unionByName(excluded.select("url"))
-    return frontier.join(known, "url", "left_anti")
+    return without_stored(frontier, known)
 
 
 def count_attempts(frontier: DataFrame, attempted: DataFrame) -> DataFrame:

@@ -19,9 +19,10 @@ from ..operators.extraction import (
     outcome_counts,
 )
 from ..operators.frontier import count_attempts, dequeue, purge
-from ..operators.sizing import is_small
+from ..operators.keys import without_stored
+from ..operators.sizing import broadcast_if_small
 from ..session import cut_lineage
-from ..sources.tables import append_rows
+from ..sources.tables import append_rows, read_if_there
 
 
 def page_outcomes(
@@ -30,10 +31,20 @@ def page_outcomes(
     """``url, status, reason, scrape_date, content``, one row per landed url.
 
     Extraction and cleaning run inside the scan of the pages; neither html
-    nor text is shuffled.
+    nor text is shuffled, but for the outcomes of pages that landed in exact
+    copies, of which one stays.
     """
-    extracted = extract_articles(first_pages(pages), sites)
-    return clean_outcomes(extracted, scrape_date, stop_words).drop("page_id")
+
+    def settled(some: DataFrame) -> DataFrame:
+        return clean_outcomes(extract_articles(some, sites), scrape_date, stop_words).drop("page_id")
+
+    chosen, copied = first_pages(pages)
+    if copied.isEmpty():
+        return settled(chosen)
+    listed = broadcast_if_small(copied, "url")
+    same = chosen["url"].eqNullSafe(listed["url"])
+    once = settled(chosen.join(listed, same, "left_semi")).dropDuplicates(["url"])
+    return settled(chosen.join(listed, same, "left_anti")).unionByName(once)
 
 
 def frontier_outcomes(
@@ -45,15 +56,12 @@ def frontier_outcomes(
 ) -> DataFrame:
     """One outcome per queued url; urls without a landed page failed to fetch.
 
-    A queue of checked small size picks its pages where they are read.  A
-    larger one picks from the outcomes, which carry text and no html.
+    Pages nobody asked for are left out before the parse.  A queue of checked
+    small size does that where the pages are read, a larger one by a join that
+    can split hot keys.  ``queue`` is read several times; hand in a written one.
     """
-    wanted = queue.select("url").distinct()
-    if is_small(wanted, "url"):
-        picked = pages.join(F.broadcast(wanted), "url", "left_semi")
-        settled = page_outcomes(picked, sites, scrape_date, stop_words)
-    else:
-        settled = page_outcomes(pages, sites, scrape_date, stop_words).join(wanted, "url", "left_semi")
+    wanted = broadcast_if_small(queue.select("url").distinct(), "url")
+    settled = page_outcomes(pages.join(wanted, "url", "left_semi"), sites, scrape_date, stop_words)
     missing = wanted.join(pages.select("url"), "url", "left_anti").select(
         "url",
         F.lit(FETCH_ERROR).alias("status"),
@@ -97,12 +105,14 @@ def ingest(
 ) -> IngestResult:
     """Work off the frontier over the landed pages.
 
-    The outcomes are computed once and written to the shared folder; every
-    result below is a narrow read of that copy.
+    The queue and the outcomes are computed once and written to the shared
+    folder; every result below is a narrow read of those copies.  Without
+    ``run_at`` the moment of this call is the moment of the run, whenever the
+    results are read.
     """
-    moment = F.localtimestamp() if run_at is None else run_at
+    moment = F.lit(frontier.sparkSession.range(1).select(F.localtimestamp()).first()[0]) if run_at is None else run_at
     day = moment.cast("date")
-    queue = purge(frontier, articles, excluded)
+    queue = cut_lineage(purge(frontier, articles, excluded))
     outcomes = cut_lineage(frontier_outcomes(queue, pages, sites, day, stop_words))
     return IngestResult(
         articles=stored_rows(outcomes),
@@ -112,8 +122,15 @@ def ingest(
     )
 
 
-def append_result(result: IngestResult, root: str) -> None:
-    """Append the rows of a run to the stored tables."""
-    append_rows(result.articles, root, "articles")
-    append_rows(result.excluded, root, "exclude_articles")
-    append_rows(result.run_log, root, "run_log")
+def append_result(result: IngestResult, root: str, snapshot: str | None = None) -> None:
+    """Add the rows of a run to the stored tables; ``snapshot`` gets the frontier that remains.
+
+    Rows whose key is stored already are left out, so a call that failed
+    half-way can be made again.
+    """
+    keyed = {"articles": (result.articles, "url"), "exclude_articles": (result.excluded, "url"), "run_log": (result.run_log, "run_at")}
+    for name, (rows, key) in keyed.items():
+        stored = read_if_there(rows.sparkSession, root, name)
+        append_rows(rows if stored is None else without_stored(rows, stored, key), root, name)
+    if snapshot is not None:
+        result.frontier.write.mode("overwrite").parquet(snapshot)

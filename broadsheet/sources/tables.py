@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,16 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(_folder(root, name)).select(*schema.fieldNames())
 
 
+def read_if_there(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """A stored table, or None when nothing was ever written."""
+    try:
+        return read_table(spark, root, name)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_articles(spark: SparkSession, root: str) -> DataFrame:
     """Articles under the names the reports use: ``url, date, text``."""
     return read_table(spark, root, "articles").select(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.extraction import FETCH_ERROR
 from ..operators.keys import without_stored
 from ..plans.ingest import page_outcomes
 from ..schemas import PAGES
@@ -16,8 +17,20 @@ OUTCOME_SCHEMA = "url string, status string, reason string, scrape_date date, co
 
 
 def read_outcomes(spark: SparkSession, root: str) -> DataFrame:
-    """All outcomes so far, one row per url, with the batch that settled it."""
-    return spark.read.schema(OUTCOME_SCHEMA).parquet(f"{root}/outcomes")
+    """One row per url: the outcome that settled it, else its last failed fetch."""
+    outcomes = spark.read.schema(OUTCOME_SCHEMA).parquet(f"{root}/outcomes")
+    failed = F.col("status") == FETCH_ERROR
+    settled = outcomes.where(~failed)
+    # Failed fetches have no text, so only urls, dates and reasons move here.
+    last = (
+        outcomes.where(failed)
+        .drop("content")
+        .groupBy("url")
+        .agg(F.max_by(F.struct("status", "reason", "scrape_date", "batch"), "batch").alias("_last"))
+        .join(settled.select("url"), "url", "left_anti")
+        .select("url", "_last.status", "_last.reason", "_last.scrape_date", F.lit(None).cast("string").alias("content"), "_last.batch")
+    )
+    return settled.unionByName(last)
 
 
 def ingest_new_pages(
@@ -34,7 +47,8 @@ def ingest_new_pages(
 
     Each micro-batch writes a folder of its own, so a replay after a failure
     overwrites the same folder and leaves no double rows.  A url that an
-    earlier batch settled is skipped.  Progress is kept under ``root``.
+    earlier batch stored or rejected is skipped; one that failed to fetch is
+    read again.  Progress is kept under ``root``.
     """
     day = F.current_date() if scrape_date is None else scrape_date
     # An empty first folder, so that the first batch has something to read.
@@ -44,7 +58,9 @@ def ingest_new_pages(
 
     def settle(batch: DataFrame, batch_id: int) -> None:
         outcomes = cut_lineage(page_outcomes(batch, sites, day, stop_words))
-        earlier = read_outcomes(spark, root).where(F.col("batch") < batch_id)
+        # A failed fetch settles nothing: its url is read again when it lands.
+        written = spark.read.schema(OUTCOME_SCHEMA).parquet(f"{root}/outcomes")
+        earlier = written.where((F.col("batch") < batch_id) & (F.col("status") != FETCH_ERROR))
         without_stored(outcomes, earlier).write.mode("overwrite").parquet(
             f"{root}/outcomes/batch={batch_id}"
         )

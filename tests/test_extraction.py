@@ -107,7 +107,10 @@ def test_ingest_settles_the_frontier(spark, world, rows, tmp_path, monkeypatch,
     assert rows(result.frontier) == [("https://a.com/gone", None, 2)]
     assert [tuple(r)[1:] for r in result.run_log.collect()] == [(1, 2)]
     root = str(tmp_path / "tables")
-    ingest.append_result(result, root)
+    left = str(tmp_path / "left")
+    for _ in range(2):  # a repetition after a failure adds nothing
+        ingest.append_result(result, root, left)
+    assert rows(spark.read.parquet(left)) == rows(result.frontier)
     assert rows(tables.read_urls(spark, root, "articles")) == [("https://a.com/ok",)]
     assert tables.read_articles(spark, root).columns == ["url", "date", "text"]
     assert [r["value"] for r in tables.run_messages(tables.read_table(spark, root, "run_log")).collect()] == [
@@ -136,6 +139,51 @@ def test_stream_takes_each_url_once(spark, world, rows, tmp_path):
     assert [(u, s) for u, s, _ in set(second) - set(first)] == [("https://a.com/new", "rejected")]
 
 
+def outcome_rows(spark, landed, sites, rows):
+    pages = spark.createDataFrame(landed, "page_id bigint, url string, html string")
+    outcomes = ingest.page_outcomes(pages, sites, F.to_date(F.lit("2024-02-01")), ["the"])
+    return rows(outcomes.select("url", "status", "content"))
+
+
+@pytest.mark.parametrize("slice_rows", [0, 1000])
+def test_one_outcome_for_each_landed_url(spark, world, rows, monkeypatch, slice_rows):
+    monkeypatch.setattr(sizing, "SLICE_ROWS", slice_rows)
+    sites = world[3]
+    good, other = (f"<article>{'<p>%s</p>' % word * 7}</article>" for word in ("alpha", "beta"))
+    x, y = "https://a.com/x", "https://a.com/y"
+    # Equal ids of different urls: a later copy of x does not take y along.
+    landed = [(1, x, good), (5, x, other), (5, y, good)]
+    assert outcome_rows(spark, landed, sites, rows) == [
+        (x, "stored", " ".join(["alpha"] * 7)), (y, "stored", " ".join(["alpha"] * 7))
+    ]
+    # A failed fetch with a lower id does not hide the page.
+    assert outcome_rows(spark, [(1, x, None), (2, x, other)], sites, rows) == [(x, "stored", " ".join(["beta"] * 7))]
+    assert outcome_rows(spark, [(1, x, None), (1, x, None)], sites, rows) == [(x, "fetch_error", None)]
+    # Exact copies are one page.
+    assert outcome_rows(spark, [(1, x, good)] * 3 + [(2, y, other)], sites, rows) == [
+        (x, "stored", " ".join(["alpha"] * 7)), (y, "stored", " ".join(["beta"] * 7))
+    ]
+    assert outcome_rows(spark, [], sites, rows) == []
+
+
+def test_stream_reads_failed_fetches_again(spark, world, rows, tmp_path):
+    sites = world[3]
+    landing, root = str(tmp_path / "landing"), str(tmp_path / "out")
+    good = f"<article>{'<p>alpha</p>' * 7}</article>"
+
+    def drop(html):
+        spark.createDataFrame([(1, "https://a.com/x", html)], "page_id bigint, url string, html string").coalesce(
+            1
+        ).write.mode("append").parquet(landing)
+        incremental.ingest_new_pages(spark, landing, root, sites, F.to_date(F.lit("2024-02-01")), ["the"])
+        return rows(incremental.read_outcomes(spark, root).select("url", "status"))
+
+    assert drop(None) == [("https://a.com/x", "fetch_error")]
+    assert drop(None) == [("https://a.com/x", "fetch_error")]
+    assert drop(good) == [("https://a.com/x", "stored")]
+    assert drop(None) == [("https://a.com/x", "stored")]
+
+
 def test_cut_lineage_writes_to_the_shared_folder(spark):
     kept = cut_lineage(spark.range(10))
     assert kept.count() == 10
