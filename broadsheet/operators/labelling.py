@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .matching import (
     INLINE_PHRASES,
     INLINE_WORDS,
@@ -16,7 +15,7 @@ from .matching import (
     split_terms,
     term_hits,
 )
-from .sizing import rows_if_at_most
+from .sizing import broadcast_if_small, rows_if_at_most
 
 INLINE_CATEGORIES = 64
 
@@ -52,36 +51,48 @@ def category_hits(articles: DataFrame, dictionary: DataFrame) -> DataFrame:
     return summed.where(F.col("hits") > 0)
 
 
+def usable_terms(dictionary: DataFrame) -> DataFrame:
+    """``keyword, category, load_pos``: each pair once, at its first place, without empty or NULL ones."""
+    return (
+        dictionary.where((F.col("keyword") != "") & F.col("category").isNotNull())
+        .groupBy("keyword", "category")
+        .agg(F.min("load_pos").alias("load_pos"))
+    )
+
+
+def ranked_categories(terms: DataFrame) -> DataFrame:
+    """``category, rank`` from 1 on: by ``category_order``, then by name; missing places come last.
+
+    The window runs over one row per category.
+    """
+    order = Window.orderBy("no_phrase", F.col("first_pos").asc_nulls_last(), "category")
+    return category_order(terms).select("category", F.row_number().over(order).alias("rank"))
+
+
 def label_articles(articles: DataFrame, dictionary: DataFrame, zero_hit: str = "first") -> DataFrame:
-    """``url, scrape_date, label`` for every article.
+    """``url, scrape_date, label``, one row for each row of ``articles``.
 
-    The label is the category with most hits, ties going to the category that
-    comes first in ``category_order``.  Articles without any hit take that
-    first category too, or NULL with ``zero_hit="null"``.
+    The label is the category with most hits, ties going to the category of
+    lowest rank (``ranked_categories``).  Articles without any hit take the
+    first category too, or NULL with ``zero_hit="null"``.  A keyword counts
+    once for each of its categories, however often it is listed; NULL and
+    empty keywords and NULL categories do not count.
     """
     if zero_hit not in ("first", "null"):
         raise ValueError("zero_hit is 'first' or 'null'")
-    rows = rows_if_at_most(dictionary, INLINE_WORDS + INLINE_PHRASES)
+    terms = cut_lineage(usable_terms(dictionary))
+    ranks = cut_lineage(ranked_categories(terms))
+    rows = rows_if_at_most(terms, INLINE_WORDS + INLINE_PHRASES)
     if rows is not None:
         words, phrases = split_terms({row["keyword"] for row in rows})
-        named = {row["category"] for row in rows}
-        if len(words) <= INLINE_WORDS and len(phrases) <= INLINE_PHRASES and len(named) <= INLINE_CATEGORIES:
-            return _label_in_place(articles, rows, zero_hit)
-    return _label_by_grouping(articles, dictionary, zero_hit)
-
+        order = rows_if_at_most(ranks, INLINE_CATEGORIES)
+        if len(words) <= INLINE_WORDS and len(phrases) <= INLINE_PHRASES and order is not None:
+            return _label_in_place(articles, rows, [r["category"] for r in sorted(order, key=lambda r: r["rank"])], zero_hit)
+    return _label_by_grouping(articles, terms, ranks, zero_hit)
 
-def _order_of(rows: list[Row]) -> list[str]:
-    """``category_order`` over the rows of a small dictionary."""
-    first: dict[str, tuple[bool, int]] = {}
-    for row in rows:
-        place = (" " not in row["keyword"], row["load_pos"])
-        first[row["category"]] = min(first.get(row["category"], place), place)
-    return sorted(first, key=first.__getitem__)
 
-
-def _label_in_place(articles: DataFrame, rows: list[Row], zero_hit: str) -> DataFrame:
+def _label_in_place(articles: DataFrame, terms: list[Row], order: list[str], zero_hit: str) -> DataFrame:
     """The label as a column of the scan: no join, no shuffle."""
-    terms = [row for row in rows if row["keyword"]]
     if not terms:
         return articles.select("url", "scrape_date", F.lit(None).cast("string").alias("label"))
     words, phrases = split_terms(sorted({row["keyword"] for row in terms}))
@@ -114,7 +125,7 @@ def _label_in_place(articles: DataFrame, rows: list[Row], zero_hit: str) -> Data
                     F.lit(-place).alias("place"),
                     F.lit(name).alias("category"),
                 )
-                for place, name in enumerate(_order_of(terms))
+                for place, name in enumerate(order)
             ]
         )
     )
@@ -125,34 +136,54 @@ def _label_in_place(articles: DataFrame, rows: list[Row], zero_hit: str) -> Data
     return scored.select("url", "scrape_date", label.alias("label"))
 
 
-def _label_by_grouping(articles: DataFrame, dictionary: DataFrame, zero_hit: str) -> DataFrame:
-    """The label from grouped hits, for dictionaries of any size.
+ARTICLE = ("url", "scrape_date", "_text")
 
-    Every article adds one zero-hit row, so articles without a match keep a
-    label without joining back to the corpus; that second scan reads no text.
+
+def _told_apart(articles: DataFrame) -> DataFrame:
+    """Articles with ``_text``: a hash of the content where url and date repeat, else 0.
+
+    Repeats are found without reading a text.
     """
-    order = category_order(dictionary.where(F.col("keyword") != ""))
-    terms = dictionary.join(order, "category").select(
-        F.col("keyword").alias("term"), "category", "no_phrase", "first_pos"
+    repeated = cut_lineage(
+        articles.groupBy("url", "scrape_date")
+        .agg(F.count("*").alias("_rows"))
+        .where(F.col("_rows") > 1)
+        .select(F.col("url").alias("_url"), F.col("scrape_date").alias("_date"), F.lit(True).alias("_repeated"))
     )
-    matched = term_hits(articles, terms, keep=["url", "scrape_date"]).drop("term")
-    first = order.agg(F.min(F.struct("no_phrase", "first_pos", "category"))).scalar()
-    fallback = F.col("first.category") if zero_hit == "first" else F.lit(None).cast("string")
-    zero = (
-        articles.select("url", "scrape_date", first.alias("first"))
-        .select(
-            "url",
-            "scrape_date",
-            fallback.alias("category"),
-            F.col("first.no_phrase").alias("no_phrase"),
-            F.col("first.first_pos").alias("first_pos"),
-            F.lit(0).cast("long").alias("hits"),
-        )
+    if repeated.isEmpty():
+        return articles.withColumn("_text", F.lit(0).cast("long"))
+    same = F.col("url").eqNullSafe(F.col("_url")) & F.col("scrape_date").eqNullSafe(F.col("_date"))
+    return articles.join(broadcast_if_small(repeated, "_url"), same, "left").select(
+        *articles.columns, F.when(F.col("_repeated"), F.xxhash64("content")).otherwise(F.lit(0)).alias("_text")
+    )
+
+
+def _label_by_grouping(articles: DataFrame, terms: DataFrame, ranks: DataFrame, zero_hit: str) -> DataFrame:
+    """The label from grouped hits, for dictionaries of any size.
+
+    Hits carry the rank of their category, a number.  Every article adds one
+    zero-hit row, so articles without a match keep a label without joining back
+    to the corpus; that second scan reads no text but of repeated urls.
+    """
+    keyed = _told_apart(articles)
+    listed = terms.join(ranks, "category").select(F.col("keyword").alias("term"), "rank")
+    matched = term_hits(keyed, listed, keep=list(ARTICLE)).drop("term")
+    fallback = 1 if zero_hit == "first" else None
+    zero = keyed.select(
+        *ARTICLE, F.lit(fallback).cast("int").alias("rank"), F.lit(0).cast("long").alias("hits"), F.lit(1).alias("_rows")
     )
     summed = (
-        matched.unionByName(zero)
-        .groupBy("url", "scrape_date", "category", "no_phrase", "first_pos")
-        .agg(F.sum("hits").alias("hits"))
+        matched.withColumn("_rows", F.lit(0))
+        .unionByName(zero)
+        .groupBy(*ARTICLE, "rank")
+        .agg(F.sum("hits").alias("hits"), F.sum("_rows").alias("_rows"))
+    )
+    # Without a rank the row can only win while it is the only one.
+    best = F.max_by("rank", F.struct(F.col("hits"), -F.coalesce("rank", F.lit(2**31 - 1))))
+    labelled = summed.where((F.col("hits") > 0) | (F.col("_rows") > 0)).groupBy(*ARTICLE).agg(
+        best.alias("rank"), F.sum("_rows").cast("int").alias("_rows")
+    )
+    named = labelled.join(broadcast_if_small(ranks, "category"), "rank", "left")
+    return named.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_rows")))).select(
+        "url", "scrape_date", F.col("category").alias("label")
     )
-    best = F.max_by("category", F.struct(F.col("hits"), ~F.col("no_phrase"), -F.col("first_pos")))
-    return summed.groupBy("url", "scrape_date").agg(best.alias("label"))

@@ -1,5 +1,6 @@
 """Both matching plans, labels, and their agreement with plain rules."""
 
+import datetime
 import random
 import re
 
@@ -156,3 +157,29 @@ def test_keyword_join(spark, rows):
     kws = spark.createDataFrame([("a", 1, 1), ("b", 9, 2)], "keyword string, category_id int, load_pos bigint")
     cats = spark.createDataFrame([(1, "X"), (2, "Y")], "id int, category string")
     assert rows(labelling.keyword_categories(kws, cats)) == [("a", "X", 1)]
+
+
+@pytest.mark.parametrize("zero_hit", ["first", "null"])
+def test_both_labelling_plans_give_the_same_rows(spark, rows, monkeypatch, zero_hit):
+    dictionary = spark.createDataFrame(
+        [
+            ("tion", "A", 1), ("tion", "A", 2), ("mit", "B", 3), ("mit", "B", 3), (None, "A", 4), ("", "B", 5),
+            ("key", None, 6), ("of the", "C", None), ("of the", "D", None), ("zwei", "E", 7), ("drei", "F", 7),
+        ],
+        "keyword string, category string, load_pos long",
+    )
+    day = datetime.date(2024, 1, 1)
+    articles = spark.createDataFrame(
+        [
+            ("u", day, "tion mit mit"), ("u", day, "tion tion mit"), ("u", day, "tion tion mit"), ("v", None, "end of the of the"),
+            ("w", day, "zwei drei"), ("x", day, ""), ("y", day, None), (None, None, "mit"), (None, None, "nothing"),
+        ],
+        "url string, scrape_date date, content string",
+    )
+    small = rows(labelling.label_articles(articles, dictionary, zero_hit))
+    monkeypatch.setattr(labelling, "INLINE_WORDS", 0)
+    monkeypatch.setattr(labelling, "INLINE_PHRASES", 0)
+    large = rows(labelling.label_articles(articles, dictionary, zero_hit))
+    assert small == large and len(small) == 9
+    assert [r[2] for r in small if r[0] == "u"] == ["A", "A", "B"]
+    assert [r[2] for r in small if r[0] == "w"] == ["E"]
