@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import any_pattern_hit, pattern_hit
+
 # The url shapes that decide domain, host and link identity.
 DOMAIN_NOISE = r"^https://(www.)?|/.*"
 SITE_NOISE = r"^https://|/.*"
@@ -36,14 +38,11 @@ def strip_query(link: Column) -> Column:
 
 
 def wanted_link(href: Column, url_filter: Column) -> Column:
-    return F.rlike(href, url_filter)
+    return pattern_hit(href, url_filter)
 
 
 def excluded_link(href: Column, url_exclusion: Column) -> Column:
-    return F.exists(
-        F.coalesce(url_exclusion, F.array().cast("array<string>")),
-        lambda pattern: F.rlike(href, pattern),
-    )
+    return any_pattern_hit(href, url_exclusion)
 
 
 def points_to_listing(href: Column, listing: Column) -> Column:

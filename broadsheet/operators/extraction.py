@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.markup import article_container
+from ..functions.patterns import first_error
 from ..functions.text import clean_text, strip
 from ..functions.urls import domain, site_domain
 from ..session import cut_lineage
@@ -54,13 +55,16 @@ def first_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_site_rules(pages: DataFrame, sites: DataFrame) -> DataFrame:
-    """Pages with ``div_filter, p_attr_exclusion, has_rule`` of their site.
+    """Pages with ``div_filter, p_attr_exclusion, has_rule, rule_error`` of their site.
 
-    A page of an unknown domain stays, with ``has_rule`` false.
+    A page of an unknown domain stays, with ``has_rule`` false.  Patterns are
+    judged once per site.
     """
-    rules = broadcast_if_small(sites, "domain").select(
+    judged = cut_lineage(sites.withColumn("rule_error", first_error(F.array("div_filter"))))
+    rules = broadcast_if_small(judged, "domain").select(
         site_domain(F.col("domain")).alias("_site"),
         "div_filter",
+        "rule_error",
         "p_attr_exclusion",
         F.lit(True).alias("_ruled"),
     )
@@ -98,14 +102,15 @@ def extract_articles(pages: DataFrame, sites: DataFrame) -> DataFrame:
     empty text when all its paragraphs were filtered out.
     """
     ruled = with_site_rules(pages.select("page_id", "url", "html"), sites)
-    readable = F.col("has_rule") & F.col("html").isNotNull()
+    readable = F.col("has_rule") & F.col("rule_error").isNull() & F.col("html").isNotNull()
     parsed = ruled.select(
         "page_id",
         "url",
         "has_rule",
+        "rule_error",
         "p_attr_exclusion",
         F.col("html").isNull().alias("unfetched"),
-        article_container(F.when(readable, F.col("html")), F.col("div_filter")).alias("container"),
+        article_container(F.when(readable, F.col("html")), F.when(readable, F.col("div_filter"))).alias("container"),
     )
     container = F.col("container")
     used = _used_paragraphs(container)
@@ -113,6 +118,7 @@ def extract_articles(pages: DataFrame, sites: DataFrame) -> DataFrame:
     reason = (
         F.when(F.col("unfetched"), NOT_FETCHED)
         .when(~F.col("has_rule"), NO_RULE)
+        .when(F.col("rule_error").isNotNull(), F.col("rule_error"))
         .when(container.isNull(), NOT_FOUND)
         .when(~container["has_text"], EMPTY)
         .when(F.size(used) < MIN_PARAGRAPHS, F.format_string(TOO_FEW, counted))

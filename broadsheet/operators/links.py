@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import class_hits
 from ..functions.urls import (
     canonical_link,
     excluded_link,
@@ -58,13 +59,6 @@ def _any_word(values: Column, *words: str) -> Column:
     return F.exists(values, holds)
 
 
-def _class_matches(classes: Column, pattern: Column) -> Column:
-    """A regex hit in one class name or in all of them side by side."""
-    return F.exists(classes, lambda c: F.rlike(c, pattern)) | (
-        (F.size(classes) > 0) & F.rlike(F.array_join(classes, " "), pattern)
-    )
-
-
 def _class_equals(classes: Column, name: Column) -> Column:
     return F.array_contains(classes, name) | ((F.size(classes) > 0) & (F.array_join(classes, " ") == name))
 
@@ -77,7 +71,9 @@ def next_page_href(tags: Column, rule: Column) -> Column:
     next or more; if anchors match but none says so, there is no link),
     anchors by aria-label, any tag by class with a ``?`` in a string attribute.
     """
-    by_class = F.filter(tags, lambda t: (t["name"] == "a") & _class_matches(t["classes"], rule))
+    marked = F.arrays_zip(tags.alias("tag"), class_hits(tags["classes"], rule).alias("hit"))
+    hit = F.filter(marked, lambda m: (m["tag"]["name"] == "a") & m["hit"])
+    by_class = F.transform(hit, lambda m: m["tag"])
     says_next = F.filter(by_class, lambda t: _any_word(t["values"], "next", "more"))
     by_label = F.filter(tags, lambda t: (t["name"] == "a") & (t["label"] == rule))
     exact = F.filter(tags, lambda t: _class_equals(t["classes"], rule))

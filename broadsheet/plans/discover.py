@@ -13,10 +13,9 @@ from ..operators.sizing import broadcast_if_small
 
 
 def judged_rules(rules: DataFrame) -> DataFrame:
-    """Site rules with ``error``: what is wrong with a pattern, or NULL."""
-    patterns = F.concat(
-        F.array("url_filter"), F.coalesce("url_exclusion", F.array().cast("array<string>"))
-    )
+    """Site rules with ``error``: what is wrong with one of their patterns, or NULL."""
+    singles = [F.col(c) for c in ("url_filter", "div_filter", "pagin_filter") if c in rules.columns]
+    patterns = F.concat(F.array(*singles), F.coalesce("url_exclusion", F.array().cast("array<string>")))
     return rules.withColumn("error", first_error(patterns))
 
 
@@ -69,4 +68,4 @@ def listing_next_pages(pages: DataFrame, listings: DataFrame, rules: DataFrame)
     landed = pages.select("url", "html").join(
         broadcast_if_small(listings.select("domain", "page", "url"), "url"), "url"
     )
-    return next_pages(landed.select("domain", "page", page_tags("html").alias("tags")), rules)
+    return next_pages(landed.select("domain", "page", page_tags("html").alias("tags")), sound_rules(rules))

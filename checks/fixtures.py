@@ -137,18 +137,24 @@ def document_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def each_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``request_id, doc_id, lang, source, word``: every word of every whole text."""
+    placed = documents(spark, sf_dir, "doc_id", "lang", "source", "text").select(
+        "doc_id", "lang", "source", F.posexplode(F.split("text", " ")).alias("pos", "word")
+    )
+    return placed.select((F.col("doc_id") * 1048576 + F.col("pos")).alias("request_id"), "doc_id", "lang", "source", "word")
+
+
 def category_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``request_id, typed``: a category name typed for each document."""
+    """``request_id, typed``: a category name typed for each word."""
     doc_id, lang = F.col("doc_id"), F.col("lang")
     typed = (
         F.when(lang == "fr", F.concat(F.lit("  "), F.upper(in_letters(doc_id)), F.lit(" ")))
         .when(lang == "de", F.concat(F.lit("New "), in_letters(F.floor(doc_id / 10))))
         .when(F.col("source") == "src3", F.lit(" "))
-        .otherwise(F.split_part("text", F.lit(" "), F.lit(1)))
-    )
-    return documents(spark, sf_dir, "doc_id", "lang", "source", "text").select(
-        doc_id.alias("request_id"), typed.alias("typed")
+        .otherwise(F.col("word"))
     )
+    return each_word(spark, sf_dir).select("request_id", typed.alias("typed"))
 
 
 def keyword_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,9 +168,9 @@ def keyword_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     typed_keyword = F.when(
         F.col("source") == "src4", F.concat(F.lit("Fresh "), in_letters(F.floor(doc_id / 20)))
-    ).otherwise(F.split_part("text", F.lit(" "), F.lit(2)))
-    return documents(spark, sf_dir, "doc_id", "lang", "source", "text").select(
-        doc_id.alias("request_id"), typed.alias("typed"), typed_keyword.alias("typed_keyword")
+    ).otherwise(F.col("word"))
+    return each_word(spark, sf_dir).select(
+        "request_id", typed.alias("typed"), typed_keyword.alias("typed_keyword")
     )
 
 
@@ -177,10 +183,10 @@ def delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("unheard of"))
     )
     typed_keyword = F.when(lang == "de", F.lit("2")).otherwise(
-        F.regexp_replace(F.split_part("text", F.lit(" "), F.lit(1)), "[.,]", "")
+        F.regexp_replace("word", "[.,]", "")
     )
-    return documents(spark, sf_dir, "doc_id", "lang", "text").select(
-        doc_id.alias("request_id"), typed.alias("typed"), typed_keyword.alias("typed_keyword")
+    return each_word(spark, sf_dir).select(
+        "request_id", typed.alias("typed"), typed_keyword.alias("typed_keyword")
     )
 
 

@@ -418,16 +418,16 @@ def canonical_links(spark, sf_dir):
 
 @_register
 def new_links(spark, sf_dir):
-    found = canonical_links(spark, sf_dir)
-    queued = fx.frontier(spark, sf_dir).where(F.contains("url", F.lit("?")))
+    """Links of both kinds that are neither queued nor settled."""
+    found = canonical_links(spark, sf_dir).unionByName(extract_links(spark, sf_dir))
     return frontier.new_links(
-        found, queued, fx.stored_urls(spark, sf_dir), fx.excluded_urls(spark, sf_dir)
+        found, fx.frontier(spark, sf_dir), fx.stored_urls(spark, sf_dir), fx.excluded_urls(spark, sf_dir)
     )
 
 
 @_register
 def enqueue(spark, sf_dir):
-    queued = fx.frontier(spark, sf_dir).where(F.contains("url", F.lit("?")))
+    queued = fx.frontier(spark, sf_dir)
     moment = F.to_timestamp_ntz(F.lit("2024-02-01 12:00:00"))
     return frontier.enqueue(queued, new_links(spark, sf_dir), moment)
 
@@ -482,9 +482,12 @@ def next_pages(spark, sf_dir):
 
 @_register
 def discover_errors(spark, sf_dir):
+    """Bad link filters on blogs, bad pager filters on mobile hosts, and listings that did not land."""
     own = F.col("domain")
-    rules = fx.link_rules(spark, sf_dir).withColumn(
-        "url_filter", F.when(F.startswith(own, F.lit("www")), "[").otherwise(F.col("url_filter"))
+    rules = (
+        fx.link_rules(spark, sf_dir)
+        .withColumn("url_filter", F.when(F.startswith(own, F.lit("blog.")), "[").otherwise(F.col("url_filter")))
+        .withColumn("pagin_filter", F.when(F.startswith(own, F.lit("m.")), "[").otherwise(F.col("pagin_filter")))
     )
     wanted = fx.listings(spark, sf_dir).withColumn(
         "url", urls.listing_url(F.col("domain"), F.col("page"))
@@ -527,10 +530,11 @@ def ingest_outcome(spark, sf_dir):
 
 
 def _ingested(spark, sf_dir):
-    """A run where a queued url has no page unless its page is https."""
+    """A run where only https pages were fetched; the others landed without html."""
+    fetched = F.when(F.startswith("url", F.lit("https")), F.col("html"))
     return ingest.ingest(
         fx.frontier(spark, sf_dir),
-        landed.pages(spark, sf_dir).where(F.startswith("url", F.lit("https"))),
+        landed.pages(spark, sf_dir).withColumn("html", fetched),
         fx.sites(spark, sf_dir),
         fx.stored_urls(spark, sf_dir),
         fx.excluded_urls(spark, sf_dir),

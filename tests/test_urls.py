@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from broadsheet.functions import markup, urls
-from broadsheet.operators import links
+from broadsheet.operators import extraction, links
 from broadsheet.plans import discover
 
 URL_CASES = [
@@ -129,3 +129,29 @@ def test_udf_code_travels_with_the_job():
 
     sent = cloudpickle.cloudpickle.list_registry_pickle_by_value()
     assert {"broadsheet.functions.markup", "broadsheet.functions.patterns"} <= sent
+
+
+BAD = ["[", "(?P<n>/x", "(?P<n>/x)(?P<n>/y)"]
+
+
+@pytest.mark.parametrize("bad", BAD)
+def test_a_bad_rule_stays_with_its_site(spark, rows, bad):
+    schema = "domain string, url_filter string, url_exclusion array<string>, div_filter string, pagin_filter string"
+    listings = spark.createDataFrame(
+        [(d, "/", f"https://www.{d}") for d in ("a.com", "b.com")], "domain string, page string, url string"
+    )
+    html = '<a class="pg next" href="/x?page=2">n</a>' + "<article>" + "<p>alpha</p>" * 7 + "</article>"
+    pages = spark.createDataFrame([(1, "https://www.a.com", html), (2, "https://www.b.com", html)], "page_id long, url string, html string")
+    for field in ("url_filter", "url_exclusion", "div_filter", "pagin_filter"):
+        rule = {"url_filter": "(?P<n>/x)", "url_exclusion": [], "div_filter": None, "pagin_filter": "pg"}
+        wrong = rule | {field: [bad] if field == "url_exclusion" else bad}
+        rules = spark.createDataFrame([("a.com", *wrong.values()), ("b.com", *rule.values())], schema)
+        errors = discover.discover_errors(pages, listings, rules).collect()
+        assert [r["domain"] for r in errors] == ["a.com"]
+        assert rows(discover.found_links(pages, listings, rules)) == [("b.com", "https://b.com/x")]
+        assert [r["domain"] for r in discover.listing_next_pages(pages, listings, rules).collect()] == ["b.com"]
+        sites = rules.select("domain", "div_filter", F.lit(None).cast("array<string>").alias("p_attr_exclusion"))
+        found = {r["url"]: r for r in extraction.extract_articles(pages, sites).collect()}
+        assert found["https://www.b.com"]["status"] == "stored"
+        if field == "div_filter":
+            assert found["https://www.a.com"]["reason"].startswith("bad pattern")
