@@ -69,20 +69,23 @@ def ranked_categories(terms: DataFrame) -> DataFrame:
     return category_order(terms).select("category", F.row_number().over(order).alias("rank"))
 
 
-def label_articles(articles: DataFrame, dictionary: DataFrame, zero_hit: str = "first") -> DataFrame:
+def label_articles(
+    articles: DataFrame, dictionary: DataFrame, zero_hit: str = "first", inline: bool = True
+) -> DataFrame:
     """``url, scrape_date, label``, one row for each row of ``articles``.
 
     The label is the category with most hits, ties going to the category of
     lowest rank (``ranked_categories``).  Articles without any hit take the
     first category too, or NULL with ``zero_hit="null"``.  A keyword counts
     once for each of its categories, however often it is listed; NULL and
-    empty keywords and NULL categories do not count.
+    empty keywords and NULL categories do not count.  ``inline=False`` takes the
+    joined plan for a small dictionary too; the rows are the same.
     """
     if zero_hit not in ("first", "null"):
         raise ValueError("zero_hit is 'first' or 'null'")
     terms = cut_lineage(usable_terms(dictionary))
     ranks = cut_lineage(ranked_categories(terms))
-    rows = rows_if_at_most(terms, INLINE_WORDS + INLINE_PHRASES)
+    rows = rows_if_at_most(terms, INLINE_WORDS + INLINE_PHRASES) if inline else None
     if rows is not None:
         words, phrases = split_terms({row["keyword"] for row in rows})
         order = rows_if_at_most(ranks, INLINE_CATEGORIES)

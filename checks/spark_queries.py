@@ -133,6 +133,12 @@ def classify_or_null(spark, sf_dir):
     return labelling.label_articles(fx.articles(spark, sf_dir), fx.dictionary(spark), zero_hit="null")
 
 
+@_register
+def classify_joined(spark, sf_dir):
+    """The same labels by the plan for large dictionaries."""
+    return labelling.label_articles(fx.articles(spark, sf_dir), fx.dictionary(spark), inline=False)
+
+
 @_register
 def vocabulary_labels(spark, sf_dir):
     """Labels under a dictionary as large as the benchmark vocabulary."""
@@ -529,6 +535,32 @@ def ingest_outcome(spark, sf_dir):
     return extraction.outcome_counts(_page_outcomes(spark, sf_dir))
 
 
+@_register
+def repeated_pages(spark, sf_dir):
+    """All pages once more as exact copies, failed fetches and later versions; one outcome per url."""
+    pages = landed.pages(spark, sf_dir)
+    page_id = F.col("page_id")
+    failed = pages.where(page_id % 5 == 0).select((page_id - 1000000).alias("page_id"), "url", F.lit(None).cast("string").alias("html"))
+    later = pages.where(page_id % 3 == 0).select((page_id + 1).alias("page_id"), "url", F.lit("<p>later</p>").alias("html"))
+    landings = pages.unionByName(pages.where(page_id % 7 == 0)).unionByName(failed).unionByName(later)
+    day = F.lit("2024-02-01").cast("date")
+    return ingest.page_outcomes(landings, fx.sites(spark, sf_dir), day, fx.STOP_WORDS)
+
+
+@_register
+def stream_refetch(spark, sf_dir):
+    """A first drop in which every other fetch failed, then all pages; each url is settled once."""
+    root = f"{shared_dir(spark)}/refetch-{uuid.uuid4().hex}"
+    pages = landed.pages(spark, sf_dir)
+    half = pages.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.col("html")))
+    for drop in (half, pages):
+        drop.write.mode("append").parquet(f"{root}/landing")
+        incremental.ingest_new_pages(
+            spark, f"{root}/landing", root, fx.sites(spark, sf_dir), F.lit("2024-02-01").cast("date"), fx.STOP_WORDS
+        )
+    return incremental.read_outcomes(spark, root).select("url", "status", "reason", "scrape_date", "content")
+
+
 def _ingested(spark, sf_dir):
     """A run where only https pages were fetched; the others landed without html."""
     fetched = F.when(F.startswith("url", F.lit("https")), F.col("html"))
