@@ -10,6 +10,7 @@ from ..functions.patterns import first_error
 from ..operators.frontier import new_links
 from ..operators.links import canonical_links, next_pages
 from ..operators.sizing import broadcast_if_small
+from ..session import cut_lineage
 
 
 def judged_rules(rules: DataFrame) -> DataFrame:
@@ -44,9 +45,35 @@ def discover(
     frontier: DataFrame,
     articles: DataFrame,
     excluded: DataFrame,
+    levels: int = 1,
 ) -> DataFrame:
-    """Distinct new urls: found on listings and not in any table yet."""
-    return new_links(found_links(pages, listings, rules), frontier, articles, excluded)
+    """Distinct new urls: found on listings and not in any table yet.
+
+    With ``levels`` the pages that listings lead on to are read too.
+    """
+    read = listings if levels == 1 else listing_levels(pages, listings, rules, levels)
+    return new_links(found_links(pages, read, rules), frontier, articles, excluded)
+
+
+def listing_levels(pages: DataFrame, listings: DataFrame, rules: DataFrame, levels: int) -> DataFrame:
+    """``domain, page, url, level``: landed listings, and the landed pages they lead on to.
+
+    Every level follows the next-page link of the level before and parses only
+    the pages of that level; it ends after ``levels``, or when no listing leads
+    on to a landed page that was not read yet.
+    """
+    landed = pages.where(F.col("html").isNotNull()).select("url").distinct()
+    wanted = ["domain", "page", "url"]
+    level = cut_lineage(listings.select(*wanted).distinct().join(landed, "url", "left_semi").select(*wanted))
+    reached = level.withColumn("level", F.lit(1))
+    for number in range(2, levels + 1):
+        onward = listing_next_pages(pages, level, rules).select("domain", "page", F.col("next_url").alias("url")).distinct()
+        fresh = onward.join(landed, "url", "left_semi").join(reached.select(*wanted), wanted, "left_anti")
+        level = cut_lineage(fresh.select(*wanted))
+        if level.isEmpty():
+            break
+        reached = reached.unionByName(level.withColumn("level", F.lit(number)))
+    return reached
 
 
 def discover_errors(pages: DataFrame, listings: DataFrame, rules: DataFrame) -> DataFrame:

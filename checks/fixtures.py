@@ -297,6 +297,16 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_urls(spark, sf_dir).select(host(F.col("url")).alias("host"))
 
 
+def paged_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without a query as listings of three landed pages each; the last leads to one that is not there."""
+    bare = F.regexp_replace(F.col("url"), r"^https?://(www\.)?", "")
+    html = pages(spark, sf_dir, ["url", "html"]).where(~F.contains("url", F.lit("?")))
+    numbered = html.select(bare.alias("bare"), "html", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("k"))
+    here = F.concat(F.lit("https://www."), F.col("bare"), F.when(F.col("k") == 1, "").otherwise(F.concat(F.lit("?page="), F.col("k"))))
+    onward = F.concat(F.lit('<a class="pager next" href="?page='), F.col("k") + 1, F.lit('">on</a><h1>'))
+    return numbered.select(here.alias("url"), F.replace("html", F.lit("<h1>"), onward).alias("html"))
+
+
 def class_pager(html: Column) -> Column:
     """Each menu link as a pager by class; the last one counts."""
     return F.replace(html, F.lit('<li><a href="/'), F.lit('<li><a class="pager next" href="?page='))

@@ -501,6 +501,28 @@ def discover_errors(spark, sf_dir):
     return discover.discover_errors(landed.pages(spark, sf_dir), wanted, rules).select("domain", "page", "error")
 
 
+def _levels(spark, sf_dir):
+    rules = fx.link_rules(spark, sf_dir).withColumn("pagin_filter", F.lit("pager"))
+    listed = fx.listings(spark, sf_dir).withColumn("url", urls.listing_url(F.col("domain"), F.col("page")))
+    return fx.paged_listings(spark, sf_dir), listed, rules
+
+
+@_register
+def discover_levels(spark, sf_dir):
+    """Listings read up to five levels deep; each ends at its third page."""
+    return discover.listing_levels(*_levels(spark, sf_dir), levels=5)
+
+
+@_register
+def discover_enqueued(spark, sf_dir):
+    """The frontier after links of all levels were queued."""
+    queued = fx.frontier(spark, sf_dir)
+    found = discover.discover(
+        *_levels(spark, sf_dir), queued, fx.stored_urls(spark, sf_dir), fx.excluded_urls(spark, sf_dir), levels=5
+    )
+    return frontier.enqueue(queued, found, F.to_timestamp_ntz(F.lit("2024-02-01 12:00:00")))
+
+
 # -- extraction and ingest ---------------------------------------------------
 
 RUN_AT = "2024-02-01 12:00:00"
