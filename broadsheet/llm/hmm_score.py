@@ -37,7 +37,6 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from .common import lower_words, map_batches, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
