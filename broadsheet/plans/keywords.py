@@ -33,11 +33,23 @@ def top_keywords(articles: DataFrame, dictionary: DataFrame, top: int | None = N
     return ordered if top is None else ordered.limit(top)
 
 
+def typed(term: str) -> str:
+    """A typed term as texts have it: stripped and in lower case.
+
+    One without a letter, or with anything but letters, hyphens and white
+    space, is an error.
+    """
+    stripped = term.strip().lower()
+    if not any(c.isalpha() for c in stripped) or not all(c.isalpha() or c.isspace() or c == "-" for c in stripped):
+        raise ValueError(f"not a term: {term!r}")
+    return stripped
+
+
 def keywords_by_date(articles: DataFrame, kw_1: str, kw_2: str | None = None) -> DataFrame:
-    """``scrape_date, kw_1[, kw_2]``: occurrences per day, zero days kept."""
-    counts = {"kw_1": count_term(F.col("content"), kw_1)}
+    """``scrape_date, kw_1[, kw_2]``: occurrences per day of typed terms, zero days kept."""
+    counts = {"kw_1": count_term(F.col("content"), typed(kw_1))}
     if kw_2:
-        counts["kw_2"] = count_term(F.col("content"), kw_2)
+        counts["kw_2"] = count_term(F.col("content"), typed(kw_2))
     return (
         articles.where(F.col("scrape_date").isNotNull())
         .select("scrape_date", *[value.alias(name) for name, value in counts.items()])

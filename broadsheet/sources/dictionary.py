@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
 from ..operators.ranking import number_rows
+from ..operators.sizing import rows_if_at_most
 
 # Positions within one seed list stay below this step, so that load_pos keeps
 # the order of lists first and of keywords within a list second.
@@ -35,3 +36,19 @@ def seed_keywords(seed: DataFrame, categories: DataFrame) -> DataFrame:
         F.col("id").alias("category_id"),
         (F.col("at.seed_pos") * LIST_STEP + F.col("at.pos")).alias("load_pos"),
     )
+
+
+#: More stop words than this do not belong into a plan as literals.
+STOP_WORD_LIMIT = 10_000
+
+
+def stop_words(table: DataFrame, column: str = "word") -> list[str]:
+    """The words of a stop-word table, for the ``stop_words`` of the cleaning steps.
+
+    NULLs and repeats do not count; a table beyond the limit is an error.
+    """
+    words = table.select(column).where(F.col(column).isNotNull()).distinct()
+    rows = rows_if_at_most(words, STOP_WORD_LIMIT)
+    if rows is None:
+        raise ValueError(f"more than {STOP_WORD_LIMIT} stop words")
+    return sorted(row[0] for row in rows)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.operators import labelling, matching, sizing, words
 from broadsheet.plans import categories, keywords
+from broadsheet.sources import dictionary
 
 DICTIONARY = [("tion", "A", 1), ("on in", "B", 2), ("ther", "B", 3), ("is in", "C", 4), ("mit", "D", 5)]
 LABEL_CASES = [
@@ -183,3 +184,19 @@ def test_both_labelling_plans_give_the_same_rows(spark, rows, monkeypatch, zero_
     assert small == large and len(small) == 9
     assert [r[2] for r in small if r[0] == "u"] == ["A", "A", "B"]
     assert [r[2] for r in small if r[0] == "w"] == ["E"]
+
+
+def test_terms_by_date_are_typed_terms(spark, rows):
+    articles = spark.createDataFrame([(datetime.date(2024, 1, 1), "tion of the tion")], "scrape_date date, content string")
+    assert rows(keywords.keywords_by_date(articles, " Tion ", "OF the")) == [(datetime.date(2024, 1, 1), 2, 1)]
+    for bad in ("", "  ", "a1", "x.y"):
+        with pytest.raises(ValueError):
+            keywords.keywords_by_date(articles, bad)
+
+
+def test_stop_words_from_a_table(spark, monkeypatch):
+    table = spark.createDataFrame([("the",), ("of",), ("the",), (None,)], "word string")
+    assert dictionary.stop_words(table) == ["of", "the"]
+    monkeypatch.setattr(dictionary, "STOP_WORD_LIMIT", 1)
+    with pytest.raises(ValueError):
+        dictionary.stop_words(table)
