@@ -120,3 +120,31 @@ SELECT r.doc_id, coalesce(len(r.parts), 0)::BIGINT AS n_lines, coalesce(len(d.go
          [r.parts[i] FOR i IN range(1, len(r.parts) + 1) IF NOT list_contains(d.gone, i)], chr(10)), '') END AS text
 FROM raw r LEFT JOIN dropped d ON r.doc_id = d.doc_id
 """
+
+ORACLES["op6_near_dedup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS shingle
+  FROM words, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS r(i)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+  FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c.n >= 75 * (x.n + y.n - c.n)
+), reached(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT links.b, reached.root FROM reached JOIN links ON links.a = reached.doc_id
+), roots AS (
+  SELECT doc_id, min(root) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM roots LEFT JOIN sizes USING (doc_id)
+"""
