@@ -11,8 +11,8 @@
 * Then follow rounds for what the star left out: in buckets that still hold
   several components, classes outside the bucket's largest component are set
   against the other components' members, the likeliest first, until no allowed
-  pair between different components is left.  Each round looks twice as
-  deep; a round that links something starts again from the top.  Large buckets
+  pair between different components is left.  Each round looks deeper; a
+  round that links something starts again from the top.  Large buckets
   are dealt out in chunks.
 
 Links of the threshold or more share a band with a probability that
@@ -47,11 +47,12 @@ PERCENT = 75
 BANDS, ROWS = 40, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
-#: Sketches may differ in so many bits; a similarity of 0.5 does on average,
-#: one of 0.75 is more than five standard deviations below.
-SKETCH_LIMIT = 124
-#: Pairs per class and component that the first round looks at.
-DEPTH = 8
+#: Sketches may differ in so many bits; at a similarity of 0.75 they differ in
+#: 69 on average, with a standard deviation of 9.
+SKETCH_LIMIT = 114
+#: Pairs per class and bucket that the first round looks at, and how many times
+#: deeper each further one looks while nothing is linked.
+DEPTH, DEEPER = 2, 32
 #: Classes of a bucket that one task gets beside those set against them.
 CHUNK = 1024
 
@@ -127,35 +128,48 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, root``: the smallest node of each connected component.
+    """``node, root``: the smallest node of each connected component, for all other nodes.
 
-    Alternates large-star and small-star steps; every step is a minimum by
-    node and a join back, so no neighbourhood is gathered.
+    Alternates large-star and small-star steps until every component is a
+    star; every step is a minimum by node and a join back, so no
+    neighbourhood is gathered.
     """
 
-    def fingerprint(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1000)).first())
-
     def both_ways(edges: DataFrame) -> DataFrame:
         return edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
-    edges = cut_lineage(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    )
-    mark = fingerprint(edges)
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     while True:
+        edges = cut_lineage(edges)
+        # Stars: a node has one edge down, and what it leads to has none.
+        below = edges.groupBy("u").agg(F.count("*").alias("n"), F.max("v").alias("v"))
+        astray = below.join(edges.select(F.col("u").alias("v"), F.lit(True).alias("goes_on")), "v", "left")
+        if astray.where((F.col("n") > 1) | F.col("goes_on")).isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         around = both_ways(edges)
         least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.union(lower.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = cut_lineage(small)
-        after = fingerprint(edges)
-        if after == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = after
+        edges = small.union(lower.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
+def linked_up(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after further ``links``: only the components that these join are worked on."""
+    left = roots.select(F.col("node").alias("a"), F.col("root").alias("_a"))
+    right = roots.select(F.col("node").alias("b"), F.col("root").alias("_b"))
+    between = (
+        links.join(left, "a", "left")
+        .join(right, "b", "left")
+        .select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+        .where("a <> b")
+    )
+    joined = components(between)
+    moved = joined.select(F.col("node").alias("root"), F.col("root").alias("_new"))
+    return cut_lineage(
+        roots.join(moved, "root", "left").select("node", F.coalesce("_new", "root").alias("root")).union(joined)
+    )
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
@@ -223,9 +237,9 @@ def star_pairs(members: DataFrame, hubs: DataFrame, facts: DataFrame) -> DataFra
 def crossing_pairs(members: DataFrame, facts: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """Allowed pairs between components that share a bucket: ``a, b, more``.
 
-    For a class outside the bucket's largest component, and each other
-    component, the pairs of rank ``depth - DEPTH`` up to ``depth`` (from 0 at
-    first), the likeliest first; ``more`` tells that some lie deeper.
+    For a class outside the bucket's largest component, of its pairs with other
+    components, the likeliest first, those from rank ``depth / DEEPER`` (0 at
+    first) up to ``depth``; ``more`` tells that some lie deeper.
     """
     placed = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
         "band", "cid", F.coalesce("root", "cid").alias("comp")
@@ -253,7 +267,7 @@ def crossing_pairs(members: DataFrame, facts: DataFrame, roots: DataFrame, depth
         .repartition("band", "_chunk")
         .sortWithinPartitions("band", "_chunk")
     )
-    start = 0 if depth == DEPTH else depth // 2
+    start = 0 if depth == DEPTH else depth // DEEPER
 
     def bucket_pairs(rows: list[tuple]) -> Iterator[tuple[int, int, bool]]:
         first = rows[0][1] == 0
@@ -273,14 +287,9 @@ def crossing_pairs(members: DataFrame, facts: DataFrame, roots: DataFrame, depth
             far = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1)
             keep = far <= SKETCH_LIMIT
             at, far = at[keep], far[keep]
-            order = np.lexsort((cid[at], far, comp[at]))
-            at = at[order]
-            begins = np.concatenate(([True], comp[at][1:] != comp[at][:-1])) if len(at) else np.zeros(0, bool)
-            places = np.arange(len(at))
-            rank = places - np.maximum.accumulate(np.where(begins, places, 0)) if len(at) else places
-            deeper = bool((rank >= depth).any())
-            for j in at[(rank >= start) & (rank < depth)]:
-                yield int(min(cid[i], cid[j])), int(max(cid[i], cid[j])), deeper
+            order = np.lexsort((cid[at], far))
+            for j in at[order[start:depth]]:
+                yield int(min(cid[i], cid[j])), int(max(cid[i], cid[j])), len(at) > depth
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         rows: list[tuple] = []
@@ -342,10 +351,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         if new is None or new.isEmpty():
             if not deeper:
                 break
-            depth *= 2
+            depth *= DEEPER
             continue
-        links = links.union(new)
-        roots = components(links)
+        roots = linked_up(roots, new)
         depth = DEPTH
     resolved = classes.select("set_key", "cid", "min_id").join(
         roots.withColumnRenamed("node", "cid"), "cid", "left"
