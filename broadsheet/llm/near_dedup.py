@@ -1,7 +1,7 @@
 """Near-duplicate groups by MinHash bands and odd sketches, confirmed on full sets.
 
 * One pass turns each text into its shingle set, MinHash samples, band keys,
-  and an odd sketch: a bitmap in which every sample flips one bit.  The bits
+  and an odd sketch: a bitmap in which each bin's smallest hash flips one bit.  The bits
   that differ between two sketches estimate the similarity, most precisely
   when it is high.
 * Rows with equal sets form a class; classes go on, so exact copies cost one row.
@@ -11,8 +11,8 @@
 * Then follow rounds for what the star left out: in buckets that still hold
   several components, classes outside the bucket's largest component are set
   against the other components' members, the likeliest first, until no allowed
-  pair between different components is left.  Each round looks deeper; a
-  round that links something starts again from the top.  Large buckets
+  pair between different components is left.  Each round looks deeper, and no
+  pair is tested twice.  Large buckets
   are dealt out in chunks.
 
 Links of the threshold or more share a band with a probability that
@@ -46,12 +46,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PERCENT = 75
 BANDS, ROWS = 40, 4
 SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
-#: Sketches may differ in so many bits; at a similarity of 0.75 they differ in
-#: 69 on average, with a standard deviation of 9.
-SKETCH_LIMIT = 114
+#: Samples folded into a sketch come from one permutation: the smallest hash of each bin.
+SKETCH_BINS = 1024
+SKETCH_BITS = 2048
+#: Pairs whose sketches estimate so many standard deviations below the threshold are not looked at.
+DEVIATIONS = 5.0
+#: Variance of the estimate: by folding at most this, by sampling for a set of one hash per bin.
+FOLDING, SAMPLING = 1e-4, 0.1875 / SKETCH_BINS
 #: Pairs per class and bucket that the first round looks at, and how many times
-#: deeper each further one looks while nothing is linked.
+#: deeper each further one looks.
 DEPTH, DEEPER = 2, 32
 #: Classes of a bucket that one task gets beside those set against them.
 CHUNK = 1024
@@ -84,17 +87,34 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
         return mix64(mixed.reshape(BANDS, ROWS).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """Parity bitmap of the samples as 64-bit words."""
+def odd_sketch(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Parity bitmap of the bins' smallest hashes, as 64-bit words, and the number of bins in use.
+
+    ``hashes`` come sorted, so the first of each bin is its smallest.
+    """
+    bins = hashes >> np.uint64(64 - SKETCH_BINS.bit_length() + 1)
+    first = hashes[np.concatenate(([True], bins[1:] != bins[:-1]))] if len(hashes) else hashes
     with np.errstate(over="ignore"):
-        at = mix64(samples.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + _SALTS) % np.uint64(SKETCH_BITS)
+        at = mix64(first * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) % np.uint64(SKETCH_BITS)
     odd = np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return np.packbits(odd.astype(np.uint8)).view(np.int64), len(first)
+
 
+def likeness(differing: np.ndarray, used: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The similarity that differing bits of two sketches estimate, given the bins in use.
+
+    The bits give the size of the symmetric difference of the samples; where
+    both sets use a bin and differ, that bin counts twice in it.
+    """
+    gone = -SKETCH_BITS / 2.0 * np.log(np.maximum(1e-9, 1.0 - 2.0 * np.asarray(differing) / SKETCH_BITS))
+    same = np.maximum(0.0, (used + others - gone) / 2.0)
+    both_use = np.minimum(used, others) / SKETCH_BINS
+    return same / np.maximum(1e-9, same + gone * (1.0 - both_use / 2.0))
 
-def likeness(differing: int) -> float:
-    """The similarity that so many differing bits estimate."""
-    return max(0.0, 1.0 + SKETCH_BITS / (4.0 * SAMPLES) * np.log(max(1e-9, 1.0 - 2.0 * differing / SKETCH_BITS)))
+
+def least_likeness(used: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What a sketch must estimate; a set that has a bin for nearly every hash is hardly sampled."""
+    return PERCENT / 100.0 - DEVIATIONS * np.sqrt(FOLDING + SAMPLING * (1.0 - used / size))
 
 
 def _text_keys(text: Column) -> list[Column]:
@@ -108,22 +128,24 @@ def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for columns in batches:
-            keys, sizes, bands, sketches = [], [], [], []
+            keys, sizes, bands, sketches, used = [], [], [], [], []
             for content in columns["_text"]:
                 hashes = shingle_set(content)
                 keys.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                 sizes.append(len(hashes))
                 samples = minhash(hashes)
                 bands.append(band_keys(samples).tolist() if len(hashes) else [])
-                sketches.append(odd_sketch(samples).tolist() if len(hashes) else [])
+                bits, bins = odd_sketch(hashes)
+                sketches.append(bits.tolist() if len(hashes) else [])
+                used.append(bins)
             kept = {c: columns[c] for c in ("doc_id", "_text1", "_text2")}
-            yield {**kept, "set_key": keys, "n_shingles": sizes, "bands": bands, "sketch": sketches}
+            yield {**kept, "set_key": keys, "n_shingles": sizes, "bands": bands, "sketch": sketches, "bins": used}
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return map_batches(
         rows,
         run,
-        f"doc_id {kind}, _text1 long, _text2 long, set_key binary, n_shingles long, bands array<long>, sketch array<long>",
+        f"doc_id {kind}, _text1 long, _text2 long, set_key binary, n_shingles long, bands array<long>, sketch array<long>, bins long",
     )
 
 
@@ -218,18 +240,28 @@ def _differing(a: str, b: str) -> Column:
     )
 
 
+def _likely() -> Column:
+    """``likeness`` of ``_far`` differing bits with ``_p`` and ``_q`` bins in use, against ``least_likeness``."""
+    gone = F.log(F.greatest(F.lit(1e-9), 1.0 - 2.0 * F.col("_far") / SKETCH_BITS)) * (-SKETCH_BITS / 2.0)
+    same = F.greatest(F.lit(0.0), (F.col("_p") + F.col("_q") - gone) / 2.0)
+    spread = F.sqrt(FOLDING + SAMPLING * (1.0 - F.least("_p", "_q") / F.greatest("_n", "_m")))
+    least = PERCENT / 100.0 - DEVIATIONS * spread
+    return same >= least * (same + gone * (1.0 - F.least("_p", "_q") / (2.0 * SKETCH_BINS)))
+
+
 def star_pairs(members: DataFrame, hubs: DataFrame, facts: DataFrame) -> DataFrame:
     """Every class of a bucket with the bucket's smallest, when sizes and sketches allow a link."""
     edges = (
         members.join(hubs, "band").where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
     )
-    left = facts.select(F.col("cid").alias("a"), F.col("n_shingles").alias("_n"), F.col("sketch").alias("_s"))
-    right = facts.select(F.col("cid").alias("b"), F.col("n_shingles").alias("_m"), F.col("sketch").alias("_t"))
+    left = facts.select(F.col("cid").alias("a"), F.col("n_shingles").alias("_n"), F.col("sketch").alias("_s"), F.col("bins").alias("_p"))
+    right = facts.select(F.col("cid").alias("b"), F.col("n_shingles").alias("_m"), F.col("sketch").alias("_t"), F.col("bins").alias("_q"))
     return (
         edges.join(left, "a")
         .join(right, "b")
         .where(F.least("_n", "_m") * 100 >= F.greatest("_n", "_m") * PERCENT)
-        .where(_differing("_s", "_t") <= SKETCH_LIMIT)
+        .select("a", "b", "_n", "_m", "_p", "_q", _differing("_s", "_t").alias("_far"))
+        .where(_likely())
         .select("a", "b")
     )
 
@@ -237,9 +269,8 @@ def star_pairs(members: DataFrame, hubs: DataFrame, facts: DataFrame) -> DataFra
 def crossing_pairs(members: DataFrame, facts: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """Allowed pairs between components that share a bucket: ``a, b, more``.
 
-    For a class outside the bucket's largest component, of its pairs with other
-    components, the likeliest first, those from rank ``depth / DEEPER`` (0 at
-    first) up to ``depth``; ``more`` tells that some lie deeper.
+    For a class outside the bucket's largest component, its ``depth`` likeliest
+    pairs with other components; ``more`` tells that it has others.
     """
     placed = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
         "band", "cid", F.coalesce("root", "cid").alias("comp")
@@ -263,11 +294,10 @@ def crossing_pairs(members: DataFrame, facts: DataFrame, roots: DataFrame, depth
             ),
         )
         .select("band", "_chunk", "cid", "comp", outside.alias("outside"))
-        .join(facts.select("cid", "n_shingles", "sketch"), "cid")
+        .join(facts, "cid")
         .repartition("band", "_chunk")
         .sortWithinPartitions("band", "_chunk")
     )
-    start = 0 if depth == DEPTH else depth // DEEPER
 
     def bucket_pairs(rows: list[tuple]) -> Iterator[tuple[int, int, bool]]:
         first = rows[0][1] == 0
@@ -276,6 +306,7 @@ def crossing_pairs(members: DataFrame, facts: DataFrame, roots: DataFrame, depth
         loose = np.array([r[4] for r in rows])
         size = np.array([r[5] for r in rows])
         bits = np.array([r[6] for r in rows], np.int64).view(np.uint64)
+        used = np.array([r[7] for r in rows])
         for i in np.flatnonzero(loose):
             others = comp != comp[i]
             if not first:
@@ -284,18 +315,18 @@ def crossing_pairs(members: DataFrame, facts: DataFrame, roots: DataFrame, depth
                 others &= ~loose | (cid > cid[i])
             at = np.flatnonzero(others)
             at = at[np.minimum(size[at], size[i]) * 100 >= np.maximum(size[at], size[i]) * PERCENT]
-            far = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1)
-            keep = far <= SKETCH_LIMIT
-            at, far = at[keep], far[keep]
-            order = np.lexsort((cid[at], far))
-            for j in at[order[start:depth]]:
+            near = likeness(np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64), used[at], used[i])
+            keep = near >= least_likeness(np.minimum(used[at], used[i]), np.maximum(size[at], size[i]))
+            at, near = at[keep], near[keep]
+            order = np.lexsort((cid[at], -near))
+            for j in at[order[:depth]]:
                 yield int(min(cid[i], cid[j])), int(max(cid[i], cid[j])), len(at) > depth
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         rows: list[tuple] = []
         for columns in batches:
             out: list[tuple] = []
-            for row in zip(*(columns[c] for c in ("band", "_chunk", "cid", "comp", "outside", "n_shingles", "sketch"))):
+            for row in zip(*(columns[c] for c in ("band", "_chunk", "cid", "comp", "outside", "n_shingles", "sketch", "bins"))):
                 if rows and rows[0][:2] != row[:2]:
                     out += bucket_pairs(rows)
                     rows = []
@@ -318,16 +349,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .groupBy("set_key")
         .agg(
             F.min("doc_id").alias("min_id"),
-            *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")],
+            *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch", "bins")],
             F.min(F.struct("_text1", "_text2")).alias("_text"),
         )
         .select(
-            "set_key", "min_id", "n_shingles", "bands", "sketch", "_text._text1", "_text._text2",
+            "set_key", "min_id", "n_shingles", "bands", "sketch", "bins", "_text._text1", "_text._text2",
             F.monotonically_increasing_id().alias("cid"),
         ),
         "near-classes",
     )
-    facts = classes.select("cid", "n_shingles", "sketch")
+    facts = classes.select("cid", "n_shingles", "sketch", "bins")
     banded = classes.select(F.explode("bands").alias("band"), "cid")
     hubs = (
         banded.groupBy("band")
@@ -341,20 +372,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     stars = cut_lineage(star_pairs(members, crowded.select("band", "hub").distinct(), facts))
     links = confirm(stars, classes, docs, text)
     roots = components(links)
-    tested, depth = stars, DEPTH
-    while True:
+    tested, depth, deeper = stars, DEPTH, True
+    while deeper:
         crossing = crossing_pairs(members, facts, roots, depth)
         deeper = crossing.agg(F.max("more")).first()[0]
         fresh = cut_lineage(crossing.select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        new = None if fresh.isEmpty() else confirm(fresh, classes, docs, text)
-        tested = tested.union(fresh)
-        if new is None or new.isEmpty():
-            if not deeper:
-                break
-            depth *= DEEPER
-            continue
-        roots = linked_up(roots, new)
-        depth = DEPTH
+        if not fresh.isEmpty():
+            tested = tested.union(fresh)
+            roots = linked_up(roots, confirm(fresh, classes, docs, text))
+        # Once no pair lay deeper, all were tested: joining components only takes pairs away.
+        depth *= DEEPER
     resolved = classes.select("set_key", "cid", "min_id").join(
         roots.withColumnRenamed("node", "cid"), "cid", "left"
     ).withColumn("root", F.coalesce("root", "cid"))
