@@ -46,6 +46,11 @@ def document_remainder(doc_id: str, divisor: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % divisor
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use).getItem(0)
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """The words of a text with A-Z in lower case, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

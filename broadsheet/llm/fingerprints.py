@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import number_rows
-from .common import WORD, written
+from .common import WORD, let, written
 
 SHINGLE_WORDS = 5
 BIN_BITS = 7
@@ -33,16 +33,11 @@ LOW_BITS = 8
 SHORT_PROBES = 24
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.transform(F.array(value), use).getItem(0)
-
-
 def shingle_hashes(text: Column) -> Column:
     """64-bit hashes of the shingles of a text, with repeats."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
     hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return _let(
+    return let(
         hashed,
         lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>"))
         .when(F.size(h) < SHINGLE_WORDS, F.array(F.xxhash64(h)))
@@ -69,7 +64,7 @@ def signature(text: Column) -> Column:
         """Every bin, NULL where no shingle fell."""
         by_bin = F.map_from_arrays(F.transform(filled, _bin), filled)
         return F.when(F.size(filled) == BINS, filled_in_order(filled)).otherwise(
-            _let(
+            let(
                 by_bin,
                 lambda found: F.transform(
                     F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.element_at(found, b)
@@ -97,10 +92,10 @@ def signature(text: Column) -> Column:
 
         return F.transform(dense, value)
 
-    filled = _let(F.sort_array(shingle_hashes(text)), smallest)
-    return _let(
+    filled = let(F.sort_array(shingle_hashes(text)), smallest)
+    return let(
         filled,
-        lambda f: F.when(F.size(f) == 0, F.array().cast("array<smallint>")).otherwise(_let(bins(f), densify)),
+        lambda f: F.when(F.size(f) == 0, F.array().cast("array<smallint>")).otherwise(let(bins(f), densify)),
     )
 
 

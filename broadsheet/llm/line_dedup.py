@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sizing import is_small
-from .common import written
+from .common import let, written
 
 #: Leading tokens that lead to a leaf.
 DEPTH = 3
@@ -51,16 +51,36 @@ def _keys(doc_id: str, text: str) -> list[Column]:
     ]
 
 
+def _parse(raw: Column) -> Column:
+    """The masked line and its number of tokens.
+
+    Most lines have single spaces and no digit, and are left as they are after
+    two searches.  A token is masked from its start on, so long tokens are
+    read once.
+    """
+    uneven = F.rlike(raw, F.lit(r"[\x09-\x0D]|\x20\x20"))
+    single = F.when(uneven, F.regexp_replace(raw, r"[\x20\x09-\x0D]+", " ")).otherwise(raw)
+    return let(
+        F.trim(single),
+        lambda line: F.struct(
+            F.when(F.rlike(line, F.lit("[0-9]")), F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>"))
+            .otherwise(line)
+            .alias("masked"),
+            (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).alias("tokens"),
+        ),
+    )
+
+
 def _parsed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Keys, line number, masked line, number of tokens and leaf of every line that takes part."""
-    lines = docs.select(*_keys(doc_id, text), F.posexplode(F.split(text, "\n", -1)).alias("_line", "_raw"))
-    clean = lines.select(*KEYS, "_line", F.trim(F.regexp_replace("_raw", r"[\x20\x09-\x0D]+", " ")).alias("_clean"))
-    tokens = F.length("_clean") - F.length(F.replace("_clean", F.lit(" "), F.lit(""))) + 1
-    # A token is masked from its start on, so long tokens are read once.
-    masked = F.regexp_replace("_clean", r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")
+    # Lines are parsed before they are exploded: a filter on what the parse
+    # gives would else be pushed below it and parse every line again.
+    keyed = docs.select(*_keys(doc_id, text), F.transform(F.split(text, "\n", -1), _parse).alias("_lines"))
+    lines = keyed.select(*KEYS, F.posexplode("_lines").alias("_line", "_parsed")).where(
+        F.col("_parsed.tokens") >= MIN_TOKENS
+    )
     return (
-        clean.select(*KEYS, "_line", masked.alias("_masked"), tokens.alias("_tokens"))
-        .where((F.col("_tokens") >= MIN_TOKENS) & (F.col("_masked") != ""))
+        lines.select(*KEYS, "_line", F.col("_parsed.masked").alias("_masked"), F.col("_parsed.tokens").alias("_tokens"))
         .withColumn("_leaf", F.xxhash64("_tokens", F.substring_index("_masked", " ", DEPTH)))
         .withColumn("_line1", F.xxhash64("_masked"))
         .withColumn("_line2", F.xxhash64(F.lit("line"), F.col("_masked")))
