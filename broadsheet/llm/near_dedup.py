@@ -1,9 +1,11 @@
 """Near-duplicate groups by MinHash bands and odd sketches, confirmed on full sets.
 
 * One pass turns each text into its shingle set, MinHash samples, band keys,
-  and an odd sketch: a bitmap in which each bin's smallest hash flips one bit.  The bits
-  that differ between two sketches estimate the similarity, most precisely
-  when it is high.
+  and odd sketches: bitmaps in which hashes flip one bit each.  In the whole
+  sketch of a set of moderate size every hash does: two never differ in more
+  bits than their sets in hashes, so no link is turned away.  For larger sets
+  each bin's smallest hash does, and the bits that differ estimate the
+  similarity, most precisely when it is high.
 * Rows with equal sets form a class; classes go on, so exact copies cost one row.
 * In each band bucket every class is paired with the smallest one.  A pair is
   looked at when set sizes and sketches allow the threshold, and linked when
@@ -46,6 +48,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PERCENT = 75
 BANDS, ROWS = 40, 4
 SAMPLES = BANDS * ROWS
+#: Up to this size of the smaller set, a pair is judged by whole sketches, which turn no link away.
+WHOLE = 1024
 #: Samples folded into a sketch come from one permutation: the smallest hash of each bin.
 SKETCH_BINS = 1024
 SKETCH_BITS = 2048
@@ -87,6 +91,14 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
         return mix64(mixed.reshape(BANDS, ROWS).sum(axis=1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """Bitmap, as 64-bit words, in which every hash flips one bit."""
+    with np.errstate(over="ignore"):
+        at = mix64(hashes * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) % np.uint64(SKETCH_BITS)
+    odd = np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def odd_sketch(hashes: np.ndarray) -> tuple[np.ndarray, int]:
     """Parity bitmap of the bins' smallest hashes, as 64-bit words, and the number of bins in use.
 
@@ -94,10 +106,21 @@ def odd_sketch(hashes: np.ndarray) -> tuple[np.ndarray, int]:
     """
     bins = hashes >> np.uint64(64 - SKETCH_BINS.bit_length() + 1)
     first = hashes[np.concatenate(([True], bins[1:] != bins[:-1]))] if len(hashes) else hashes
-    with np.errstate(over="ignore"):
-        at = mix64(first * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) % np.uint64(SKETCH_BITS)
-    odd = np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64), len(first)
+    return _parities(first), len(first)
+
+
+def sketches_of(hashes: np.ndarray) -> tuple[list[int], list[int], int]:
+    """Whole sketch, sketch of the bins' smallest, and bins in use, as far as pairs of allowed sizes need them."""
+    whole = 0 < len(hashes) * PERCENT <= WHOLE * 100
+    if len(hashes) <= WHOLE:
+        return _parities(hashes).tolist() if whole else [], [], 0
+    bits, bins = odd_sketch(hashes)
+    return _parities(hashes).tolist() if whole else [], bits.tolist(), bins
+
+
+def whole_allows(differing: np.ndarray, size: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether sets that differ in at least so many hashes can be linked; never false for a link."""
+    return differing * (100 + PERCENT) <= (size + others) * (100 - PERCENT)
 
 
 def likeness(differing: np.ndarray, used: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -122,30 +145,32 @@ def _text_keys(text: Column) -> list[Column]:
 
 
 def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, set_key, n_shingles, bands, sketch`` and two hashes of the text, by row."""
+    """``doc_id, set_key, n_shingles, bands, whole, sketch, bins`` and two hashes of the text, by row."""
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), content.alias("_text"), *_text_keys(content))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for columns in batches:
-            keys, sizes, bands, sketches, used = [], [], [], [], []
+            keys, sizes, bands, wholes, sketches, used = [], [], [], [], [], []
             for content in columns["_text"]:
                 hashes = shingle_set(content)
                 keys.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest())
                 sizes.append(len(hashes))
                 samples = minhash(hashes)
                 bands.append(band_keys(samples).tolist() if len(hashes) else [])
-                bits, bins = odd_sketch(hashes)
-                sketches.append(bits.tolist() if len(hashes) else [])
-                used.append(bins)
+                for column, value in zip((wholes, sketches, used), sketches_of(hashes)):
+                    column.append(value)
             kept = {c: columns[c] for c in ("doc_id", "_text1", "_text2")}
-            yield {**kept, "set_key": keys, "n_shingles": sizes, "bands": bands, "sketch": sketches, "bins": used}
+            yield {
+                **kept, "set_key": keys, "n_shingles": sizes, "bands": bands, "whole": wholes, "sketch": sketches, "bins": used
+            }
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return map_batches(
         rows,
         run,
-        f"doc_id {kind}, _text1 long, _text2 long, set_key binary, n_shingles long, bands array<long>, sketch array<long>, bins long",
+        f"doc_id {kind}, _text1 long, _text2 long, set_key binary, n_shingles long, bands array<long>, "
+        "whole array<long>, sketch array<long>, bins long",
     )
 
 
@@ -233,20 +258,26 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str) ->
     return written(map_batches(sides, check, "a long, b long"), "near-links")
 
 
-def _differing(a: str, b: str) -> Column:
+def _differing(a: Column, b: Column) -> Column:
     """Bits in which two sketches differ."""
     return F.aggregate(
         F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n
     )
 
 
+def _by_whole() -> Column:
+    return F.least("_n", "_m") <= WHOLE
+
+
 def _likely() -> Column:
-    """``likeness`` of ``_far`` differing bits with ``_p`` and ``_q`` bins in use, against ``least_likeness``."""
+    """``whole_allows``, or else ``likeness`` of ``_far`` bits with ``_p`` and ``_q`` bins in use against ``least_likeness``."""
     gone = F.log(F.greatest(F.lit(1e-9), 1.0 - 2.0 * F.col("_far") / SKETCH_BITS)) * (-SKETCH_BITS / 2.0)
     same = F.greatest(F.lit(0.0), (F.col("_p") + F.col("_q") - gone) / 2.0)
     spread = F.sqrt(FOLDING + SAMPLING * (1.0 - F.least("_p", "_q") / F.greatest("_n", "_m")))
     least = PERCENT / 100.0 - DEVIATIONS * spread
-    return same >= least * (same + gone * (1.0 - F.least("_p", "_q") / (2.0 * SKETCH_BINS)))
+    estimated = same >= least * (same + gone * (1.0 - F.least("_p", "_q") / (2.0 * SKETCH_BINS)))
+    allowed = F.col("_far") * (100 + PERCENT) <= (F.col("_n") + F.col("_m")) * (100 - PERCENT)
+    return F.when(_by_whole(), allowed).otherwise(estimated)
 
 
 def star_pairs(members: DataFrame, hubs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -254,13 +285,15 @@ def star_pairs(members: DataFrame, hubs: DataFrame, facts: DataFrame) -> DataFra
     edges = (
         members.join(hubs, "band").where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
     )
-    left = facts.select(F.col("cid").alias("a"), F.col("n_shingles").alias("_n"), F.col("sketch").alias("_s"), F.col("bins").alias("_p"))
-    right = facts.select(F.col("cid").alias("b"), F.col("n_shingles").alias("_m"), F.col("sketch").alias("_t"), F.col("bins").alias("_q"))
+    columns = ("cid", "n_shingles", "whole", "sketch", "bins")
+    left = facts.select(*[F.col(c).alias(n) for c, n in zip(columns, ("a", "_n", "_v", "_s", "_p"))])
+    right = facts.select(*[F.col(c).alias(n) for c, n in zip(columns, ("b", "_m", "_w", "_t", "_q"))])
+    one, two = F.when(_by_whole(), F.col("_v")).otherwise(F.col("_s")), F.when(_by_whole(), F.col("_w")).otherwise(F.col("_t"))
     return (
         edges.join(left, "a")
         .join(right, "b")
         .where(F.least("_n", "_m") * 100 >= F.greatest("_n", "_m") * PERCENT)
-        .select("a", "b", "_n", "_m", "_p", "_q", _differing("_s", "_t").alias("_far"))
+        .select("a", "b", "_n", "_m", "_p", "_q", _differing(one, two).alias("_far"))
         .where(_likely())
         .select("a", "b")
     )
@@ -305,8 +338,9 @@ def crossing_pairs(members: DataFrame, facts: DataFrame, roots: DataFrame, depth
         comp = np.array([r[3] for r in rows])
         loose = np.array([r[4] for r in rows])
         size = np.array([r[5] for r in rows])
-        bits = np.array([r[6] for r in rows], np.int64).view(np.uint64)
-        used = np.array([r[7] for r in rows])
+        none = [0] * (SKETCH_BITS // 64)
+        whole, bits = (np.array([r[c] or none for r in rows], np.int64).view(np.uint64) for c in (6, 7))
+        used = np.array([r[8] for r in rows])
         for i in np.flatnonzero(loose):
             others = comp != comp[i]
             if not first:
@@ -315,9 +349,22 @@ def crossing_pairs(members: DataFrame, facts: DataFrame, roots: DataFrame, depth
                 others &= ~loose | (cid > cid[i])
             at = np.flatnonzero(others)
             at = at[np.minimum(size[at], size[i]) * 100 >= np.maximum(size[at], size[i]) * PERCENT]
-            near = likeness(np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64), used[at], used[i])
-            keep = near >= least_likeness(np.minimum(used[at], used[i]), np.maximum(size[at], size[i]))
-            at, near = at[keep], near[keep]
+            by_whole = np.minimum(size[at], size[i]) <= WHOLE
+            kept = []
+            for at, sketches in ((at[by_whole], whole), (at[~by_whole], bits)):
+                if not len(at):
+                    continue
+                far = np.bitwise_count(sketches[at] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+                if sketches is whole:
+                    near = (size[at] + size[i] - far) / (size[at] + size[i] + far)
+                    keep = whole_allows(far, size[at], size[i])
+                else:
+                    near = likeness(far, used[at], used[i])
+                    keep = near >= least_likeness(np.minimum(used[at], used[i]), np.maximum(size[at], size[i]))
+                kept.append((at[keep], near[keep]))
+            if not kept:
+                continue
+            at, near = (np.concatenate(x) for x in zip(*kept))
             order = np.lexsort((cid[at], -near))
             for j in at[order[:depth]]:
                 yield int(min(cid[i], cid[j])), int(max(cid[i], cid[j])), len(at) > depth
@@ -326,7 +373,7 @@ def crossing_pairs(members: DataFrame, facts: DataFrame, roots: DataFrame, depth
         rows: list[tuple] = []
         for columns in batches:
             out: list[tuple] = []
-            for row in zip(*(columns[c] for c in ("band", "_chunk", "cid", "comp", "outside", "n_shingles", "sketch", "bins"))):
+            for row in zip(*(columns[c] for c in ("band", "_chunk", "cid", "comp", "outside", "n_shingles", "whole", "sketch", "bins"))):
                 if rows and rows[0][:2] != row[:2]:
                     out += bucket_pairs(rows)
                     rows = []
@@ -349,16 +396,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .groupBy("set_key")
         .agg(
             F.min("doc_id").alias("min_id"),
-            *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch", "bins")],
+            *[F.first(c).alias(c) for c in ("n_shingles", "bands", "whole", "sketch", "bins")],
             F.min(F.struct("_text1", "_text2")).alias("_text"),
         )
         .select(
-            "set_key", "min_id", "n_shingles", "bands", "sketch", "bins", "_text._text1", "_text._text2",
+            "set_key", "min_id", "n_shingles", "bands", "whole", "sketch", "bins", "_text._text1", "_text._text2",
             F.monotonically_increasing_id().alias("cid"),
         ),
         "near-classes",
     )
-    facts = classes.select("cid", "n_shingles", "sketch", "bins")
+    facts = classes.select("cid", "n_shingles", "whole", "sketch", "bins")
     banded = classes.select(F.explode("bands").alias("band"), "cid")
     hubs = (
         banded.groupBy("band")

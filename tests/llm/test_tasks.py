@@ -301,6 +301,26 @@ def test_sketches_estimate_and_bands_rarely_miss():
     assert near_dedup.miss_probability(0.75) < 1e-6
 
 
+@pytest.mark.parametrize("sizes", [(14, 14, 12), (16, 12, 12), (12, 9, 9), (8, 6, 6), (20, 15, 15), (40, 30, 30), (140, 140, 120), (1_200, 900, 900)])
+def test_whole_sketches_turn_no_link_away(sizes):
+    n, m, shared = sizes
+    rng = np.random.default_rng(3)
+    lost = 0
+    for _ in range(3_000 if n < 100 else 300):
+        hashes = rng.integers(0, 2**64, n + m - shared, dtype=np.uint64)
+        a, b = np.sort(hashes[:n]), np.sort(hashes[n - shared :])
+        v, w = (np.array(near_dedup.sketches_of(x)[0]).view(np.uint64) for x in (a, b))
+        lost += not near_dedup.whole_allows(np.bitwise_count(v ^ w).sum(dtype=np.int64), n, m)
+    assert lost == 0
+
+
+def test_small_links_at_the_threshold_are_found(spark, docs_of):
+    # 14 shingles each, 12 of them shared: 100 * 12 = 75 * 16.
+    made = [(2 * k + i, " ".join(f"w{k}x{j}" for j in range(i * 2, 18 + i * 2))) for k in range(300) for i in range(2)]
+    found = near_dedup.near_duplicates(docs_of(made)).where("kept").count()
+    assert found == 300
+
+
 def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     found = near_dedup.components(spark.createDataFrame(links, "a long, b long"))
