@@ -32,10 +32,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    gone = written(near_dedup.near_duplicates(docs).where("not kept").select("doc_id"), "pipeline-gone")
-    # An id that goes belongs to no row that stays.
-    return docs.join(F.broadcast(gone) if is_small(gone, "doc_id") else gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each near-duplicate group stays: the smallest id, NULL last, then any one of its rows.
+
+    Decided and applied by row, as ids may be repeated or NULL; rows without words all stay.
+    """
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    groups = near_dedup.near_duplicates(keyed, "_row").select(F.col("doc_id").alias("_row"), "component_id")
+    placed = written(groups.join(keyed.select("_row", "doc_id"), "_row"), "pipeline-groups")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    staying = placed.groupBy("component_id").agg(F.min(order).alias("_first")).select("_first._row")
+    gone = written(placed.select("_row").join(staying, "_row", "left_anti"), "pipeline-gone")
+    return keyed.join(F.broadcast(gone) if is_small(gone, "_row") else gone, "_row", "left_anti").select(*docs.columns)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,3 +89,11 @@ def test_stages_keep_columns_and_take_empty_tables(spark, docs_of, tmp_path):
         assert result.count() >= 0
         if name != "pack":
             assert result.columns == odd.columns
+
+
+def test_near_duplicates_go_by_row_not_by_id(spark, docs_of, tmp_path):
+    a, b, c, d = (" ".join(f"{name}{i}" for i in range(30)) for name in "abcd")
+    made = [(3, a), (5, a), (5, b), (6, b), (7, b), (None, a), (None, c), (None, c), (8, d), (8, d), (9, None), (9, None), (None, "")]
+    left = corpus_pipeline.drop_near_duplicates(spark, docs_of(made), str(tmp_path))
+    found = Counter((r["doc_id"], r["text"]) for r in left.collect())
+    assert found == Counter([(3, a), (5, b), (None, c), (8, d), (9, None), (9, None), (None, "")])
