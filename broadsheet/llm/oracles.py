@@ -148,3 +148,56 @@ WITH RECURSIVE words AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
 FROM roots LEFT JOIN sizes USING (doc_id)
 """
+
+# A run has at least five words that equal the one a period before, so
+# pairs of three equal words in a row are enough to find it.  DuckDB has no
+# CRC: it is taken from its table, bit by bit, over the digits of the id.
+ORACLES["op11_periodic_runs"] = r"""
+WITH RECURSIVE crc_table(b, k, v) AS (
+  SELECT b::BIGINT, 0, b::BIGINT FROM range(256) AS r(b)
+  UNION ALL
+  SELECT b, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM crc_table WHERE k < 8
+), crc(table_) AS (
+  SELECT list(v ORDER BY b) FROM crc_table WHERE k = 8
+), original AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda acc, c: xor(acc // 256, table_[xor(acc % 256, c) + 1])), 4294967295) AS h
+  FROM documents, crc
+), placed AS (
+  SELECT doc_id, w, len(w) AS n, h, (h // 10) % greatest(len(w), 1) AS a,
+         1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) AS p
+  FROM original
+), rebuilt AS (
+  SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0
+    THEN [w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1] FOR i IN range(n)] ELSE w END AS w, n
+  FROM placed
+), words AS (
+  SELECT doc_id, n, i, w[i + 1] AS word, w[i + 1 : i + 3] AS three FROM rebuilt, unnest(range(n)) AS r(i)
+), pairs AS (
+  SELECT x.doc_id, x.i, x.i - y.i AS q
+  FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.three = y.three AND y.i < x.i
+  WHERE 4 * (x.i - y.i) <= x.n AND len(x.three) = 3
+), islands AS (
+  SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs
+), stretches AS (
+  SELECT doc_id, q, min(i) - q AS start, count(*) + 2 + q AS length FROM islands GROUP BY doc_id, q, island
+), runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM stretches
+  WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length
+), described AS (
+  SELECT doc_id, count(*) AS n_runs,
+         first({'start': start, 'length': length, 'period': period} ORDER BY length DESC, start, period) AS best,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, i FROM runs, unnest(range(start + period, start + length)) AS r(i)
+), kept AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS text
+  FROM words w ANTI JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id
+)
+SELECT r.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length,
+       best.period::BIGINT AS period, (1000 * best.length // best.period)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM rebuilt r LEFT JOIN described d ON r.doc_id = d.doc_id LEFT JOIN kept k ON r.doc_id = k.doc_id
+"""

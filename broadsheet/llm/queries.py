@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, hmm_score, html_extraction, language, line_dedup, mixing, near_dedup, packing, url_filter
+from . import (
+    exact_dedup,
+    fingerprints,
+    hmm_score,
+    html_extraction,
+    language,
+    line_dedup,
+    mixing,
+    near_dedup,
+    packing,
+    periodic_runs,
+    url_filter,
+)
 from .common import document_remainder, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +123,11 @@ def op3_line_dedup(spark, sf_dir):
     """Every document without the lines that an earlier one has."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return line_dedup.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+@_register
+def op11_periodic_runs(spark, sf_dir):
+    """Runs of every text, of which every tenth id is made to go round."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    looped = docs.select("doc_id", periodic_runs.planted_loop("doc_id", "text").alias("text"))
+    return periodic_runs.run_digests(periodic_runs.find_runs(looped))
