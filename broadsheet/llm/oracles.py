@@ -201,3 +201,36 @@ SELECT r.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS st
        sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
 FROM rebuilt r LEFT JOIN described d ON r.doc_id = d.doc_id LEFT JOIN kept k ON r.doc_id = k.doc_id
 """
+
+ORACLES["op13_decontamination"] = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS words
+  FROM items, unnest(range(1, greatest(len(w) - 9, least(len(w), 1)) + 1)) AS r(i)
+), lengths AS (
+  SELECT DISTINCT n FROM windows
+), spans AS (
+  SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS words
+  FROM docs, lengths, unnest(range(1, len(w) - n + 2)) AS r(i)
+), hits AS (
+  SELECT s.doc_id, s.i, s.n, v.item_id FROM spans s JOIN windows v ON s.n = v.n AND s.words = v.words
+), covered AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit FROM hits, unnest(range(i, i + n)) AS r(k) GROUP BY doc_id
+), listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item COLLATE "C") AS names
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit,
+       coalesce(l.n_items, 0)::BIGINT AS n_items, sha256(coalesce(l.names, '')) AS items_sha256,
+       coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN listed l ON d.doc_id = l.doc_id
+"""

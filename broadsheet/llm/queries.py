@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    decontamination,
     exact_dedup,
     fingerprints,
     hmm_score,
@@ -131,3 +132,11 @@ def op11_periodic_runs(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     looped = docs.select("doc_id", periodic_runs.planted_loop("doc_id", "text").alias("text"))
     return periodic_runs.run_digests(periodic_runs.find_runs(looped))
+
+
+@_register
+def op13_decontamination(spark, sf_dir):
+    """Words of every document that lie in ten words of a benchmark item."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    items = read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontamination.overlap_digests(decontamination.find_overlaps(docs, items))
