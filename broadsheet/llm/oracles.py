@@ -149,20 +149,30 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM roots LEFT JOIN sizes USING (doc_id)
 """
 
-# A run has at least five words that equal the one a period before, so
-# pairs of three equal words in a row are enough to find it.  DuckDB has no
-# CRC: it is taken from its table, bit by bit, over the digits of the id.
-ORACLES["op11_periodic_runs"] = r"""
-WITH RECURSIVE crc_table(b, k, v) AS (
+# DuckDB has no CRC: it is taken from its table, over the digits of an id.
+CRC_TABLE = """crc_table(b, k, v) AS (
   SELECT b::BIGINT, 0, b::BIGINT FROM range(256) AS r(b)
   UNION ALL
   SELECT b, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM crc_table WHERE k < 8
 ), crc(table_) AS (
   SELECT list(v ORDER BY b) FROM crc_table WHERE k = 8
-), original AS (
+)"""
+
+
+def _crc(key: str) -> str:
+    """The CRC of a number's decimal digits; needs ``crc`` in the FROM list."""
+    digits = f"list_transform(string_split({key}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), "
+        "lambda acc, c: xor(acc // 256, table_[xor(acc % 256, c) + 1])), 4294967295)"
+    )
+
+
+# A run has at least five words that equal the one a period before, so
+# pairs of three equal words in a row are enough to find it.
+ORACLES["op11_periodic_runs"] = "WITH RECURSIVE " + CRC_TABLE + r""", original AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
-           lambda acc, c: xor(acc // 256, table_[xor(acc % 256, c) + 1])), 4294967295) AS h
+         """ + _crc("doc_id") + r""" AS h
   FROM documents, crc
 ), placed AS (
   SELECT doc_id, w, len(w) AS n, h, (h // 10) % greatest(len(w), 1) AS a,
@@ -202,6 +212,39 @@ SELECT r.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS st
 FROM rebuilt r LEFT JOIN described d ON r.doc_id = d.doc_id LEFT JOIN kept k ON r.doc_id = k.doc_id
 """
 
+ORACLES["op12_prefix_trie"] = "WITH RECURSIVE " + CRC_TABLE + r""", own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                                md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.turns, [])[1 : h], o.turns[h + 1 :]) AS turns
+  FROM (SELECT *, """ + _crc("conv_id") + r""" % 6 AS h FROM own, crc) o
+  LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100
+), prefixes AS (
+  SELECT conv_id, d, turns[1 : d] AS path, len(turns) = d AS ending
+  FROM rebuilt, unnest(range(len(turns) + 1)) AS r(d)
+), nodes AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * (CASE WHEN d = 0 THEN 0 ELSE length(path[d].text) END) AS saved,
+         string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ending) AS ends
+  FROM prefixes GROUP BY path, d
+), children AS (
+  SELECT path[1 : d - 1] AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+), counted AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children, p.conv_id AS parent_conv_id
+  FROM nodes n LEFT JOIN children c ON n.path = c.path
+  LEFT JOIN nodes p ON p.path = n.path[1 : n.d - 1] AND p.d = n.d - 1
+), subtrees AS (
+  SELECT path[1 : k] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM counted, unnest(range(d + 1)) AS r(k) GROUP BY path[1 : k]
+)
+SELECT n.conv_id::BIGINT AS conv_id, n.d::BIGINT AS depth, n.parent_conv_id::BIGINT AS parent_conv_id,
+       n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves,
+       s.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM counted n JOIN subtrees s ON n.path = s.path
+"""
+
 ORACLES["op13_decontamination"] = r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(

@@ -19,9 +19,10 @@ from . import (
     near_dedup,
     packing,
     periodic_runs,
+    prefix_trie,
     url_filter,
 )
-from .common import document_remainder, read_table
+from .common import document_remainder, read_table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -134,6 +135,14 @@ def op11_periodic_runs(spark, sf_dir):
     return periodic_runs.run_digests(periodic_runs.find_runs(looped))
 
 
+@_register
+def op12_prefix_trie(spark, sf_dir):
+    """Nodes of the trie of all conversations, which start with turns of the first of their hundred."""
+    conversations = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    turns = written(prefix_trie.ordered_turns(conversations), "trie-turns")
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_start(turns))
+
+
 @_register
 def op13_decontamination(spark, sf_dir):
     """Words of every document that lie in ten words of a benchmark item."""
