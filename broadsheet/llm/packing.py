@@ -22,7 +22,6 @@ import zlib
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 from pyspark import cloudpickle
 import numpy as np
@@ -37,10 +36,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CAPACITY = 2048
 END_TOKEN = 0
-#: Chunks of text whose ids one worker remembers.
-CACHE_CHUNKS = 400_000
+#: Bytes of chunks, their ids and what holds them that one worker remembers.
+CACHE_BYTES = 16 * 1024 * 1024
+CACHE_ENTRY = 200
 #: Fillings looked at around one largest piece before the incumbent stands.
-MAX_NODES = 400
+#: Best fit over all pieces is planned beside it, and the better plan taken.
+MAX_NODES = 5_000
 #: The one special token of the vocabulary, taken as such inside texts.
 SPECIAL = "<|endoftext|>"
 
@@ -84,9 +85,9 @@ class ChunkEncoder:
             ids = table.get(word)
             return (self._chunk(table, word, text[:-1]) if ids is None else ids) + self.marks[chunk[-1]]
         ids = self._ids(text)
-        if self.size < CACHE_CHUNKS and len(chunk) < 64:
+        if len(chunk) < 64 and self.size < CACHE_BYTES:
             table[chunk] = ids
-            self.size += 1
+            self.size += CACHE_ENTRY + 4 * len(chunk) + len(ids)
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -95,7 +96,7 @@ class ChunkEncoder:
         parts: list[bytes] = []
         for line in text.split("\n"):
             chunks = line.split(" ")
-            if len(chunks) != len(line.split()):
+            if chunks != line.split():
                 return self._ids(text)  # empty line, runs of white space, or other white space
             first = self.starts.get(chunks[0])
             parts.append(self._chunk(self.starts, chunks[0], chunks[0]) if first is None else first)
@@ -107,9 +108,15 @@ class ChunkEncoder:
         return b"".join(parts)
 
 
-@lru_cache(maxsize=2)
+#: The one encoder that a worker keeps, by its paths.
+_encoders: dict[tuple[str | None, ...], ChunkEncoder] = {}
+
+
 def _encoder(*paths: str | None) -> ChunkEncoder:
-    return ChunkEncoder(*paths)
+    if paths not in _encoders:
+        _encoders.clear()
+        _encoders[paths] = ChunkEncoder(*paths)
+    return _encoders[paths]
 
 
 PIECES = (
@@ -177,7 +184,9 @@ def best_fit(lengths: list[int], counts: dict[int, int], room: int) -> list[int]
     return filling
 
 
-def complete(largest: int, counts: dict[int, int], lengths: list[int], capacity: int) -> list[int]:
+def complete(
+    largest: int, counts: dict[int, int], lengths: list[int], capacity: int, most_nodes: int = MAX_NODES
+) -> list[int]:
     """The filling around ``largest`` with least waste; of equals, the one with larger pieces.
 
     ``lengths`` come largest first.  Depth-first over undominated fillings: a
@@ -196,7 +205,7 @@ def complete(largest: int, counts: dict[int, int], lengths: list[int], capacity:
         tail[i] = min(capacity, tail[i + 1] + lengths[i] * counts[lengths[i]])
     nodes = 0
     stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
-    while stack and waste and nodes < MAX_NODES:
+    while stack and waste and nodes < most_nodes:
         i, left, taken = stack.pop()
         nodes += 1
         if left < waste:
@@ -217,13 +226,7 @@ def complete(largest: int, counts: dict[int, int], lengths: list[int], capacity:
 Filling = tuple[tuple[int, ...], int, int]  # lengths in order of their offsets, first sequence, sequences
 
 
-def plan_fillings(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Filling]:
-    """Fillings with the sequences that use them, for a count of pieces per length.
-
-    Every step uses up at least one length or lowers it below what the same
-    filling needs, so the plan has a few entries per length whatever the
-    counts are.
-    """
+def _planned(histogram: dict[int, int], capacity: int, most_nodes: int) -> list[Filling]:
     counts = {length: n for length, n in histogram.items() if n > 0}
     lengths = sorted(counts, reverse=True)
     plan: list[Filling] = []
@@ -232,7 +235,7 @@ def plan_fillings(histogram: dict[int, int], capacity: int = CAPACITY) -> list[F
         largest = lengths[0]
         counts[largest] -= 1
         rest = [n for n in lengths if counts[n] > 0]
-        filling = [largest, *complete(largest, counts, rest, capacity)]
+        filling = [largest, *complete(largest, counts, rest, capacity, most_nodes)]
         counts[largest] += 1
         need = Counter(filling)
         times = min(counts[length] // n for length, n in need.items())
@@ -244,6 +247,19 @@ def plan_fillings(histogram: dict[int, int], capacity: int = CAPACITY) -> list[F
     return plan
 
 
+def plan_fillings(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Filling]:
+    """Fillings with the sequences that use them, for a count of pieces per length.
+
+    Every step uses up at least one length or lowers it below what the same
+    filling needs, so the plan has a few entries per length whatever the
+    counts are.  A filling with less waste now may leave worse ones for later;
+    the plan of incumbents alone is made too, and wins where it is shorter.
+    """
+    searched = _planned(histogram, capacity, MAX_NODES)
+    plain = _planned(histogram, capacity, 0)
+    return min(searched, plain, key=lambda plan: sum(times for _, _, times in plan))
+
+
 def slots(plan: list[Filling]) -> dict[int, dict[str, np.ndarray]]:
     """For each length, the runs of ranks that a place in a filling takes.
 

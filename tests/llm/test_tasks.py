@@ -413,3 +413,31 @@ def test_packed_pieces_are_whole(spark, docs_of):
     total = sum(p["length"] for p in pieces)
     assert len(sequences) <= -(-total // 2048) + 1
     assert packing.pack_documents(docs_of([]), **files).count() == 0
+
+
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0 　"
+
+
+@pytest.mark.parametrize("by_ranks", [True, False])
+def test_ids_of_any_white_space(by_ranks):
+    files = tokenizer_files()
+    encoder = packing.ChunkEncoder(*(files.values() if by_ranks else [files["tokenizer_path"]]))
+    rng = random.Random(11)
+    fixed = [" a\tb", "foo\tbar ", "a  b\tc", "x　y ", "\n", " ", "a\n\nb", "a \nb", "a\n b"]
+    words = ["a", "foo", "Bar,", "don't", "12", "é", "漢字", ".", "x" * 70, "<|endoftext|>"]
+    for k in range(50_000):
+        text = "".join(
+            rng.choice(words) if rng.random() < 0.5 else rng.choice([" ", " ", "\n", rng.choice(WHITE)])
+            for _ in range(rng.randint(1, 9))
+        )
+        text = fixed[k] if k < len(fixed) else text
+        assert encoder.encode(text) == np.asarray(encoder.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    assert encoder.size < packing.CACHE_BYTES + 1_000
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_search_is_never_worse_than_best_fit(seed):
+    rng = random.Random(seed)
+    lengths = Counter(min(2048, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(rng.choice([50, 500, 3_000])))
+    count = lambda plan: sum(times for *_, times in plan)
+    assert count(packing.plan_fillings(lengths)) <= count(packing._planned(lengths, 2048, 0))
