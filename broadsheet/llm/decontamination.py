@@ -190,31 +190,20 @@ def find_overlaps(
     )
     table = written(judged.select(*keys, "_found.*"), "leaks-documents")
     candidates = table.where(F.size("windows") > 0).select(*keys, F.explode("windows").alias("_w")).select(*keys, "_w.*")
-    small = is_small(names, "print")
-    hits = written(candidates.join(F.broadcast(names) if small else names, list(NAME), "left_semi"), "leaks-hits")
+    # A row for each window of an item, so that a hit tells its item at once.
+    listed = windows.select(*NAME, F.col("item_id").cast("string").alias("_item")).distinct()
+    hits = candidates.join(F.broadcast(listed) if is_small(listed, "_item") else listed, list(NAME))
     # Copies of a row give the same hits once more; sets take them together.
-    spans = hits.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("hits"))
-    listed = windows.where("item_id IS NOT NULL").select(*NAME, F.col("item_id").cast("string").alias("item")).distinct()
-    whole = is_small(listed, "item")
-    found = (
-        hits.select(*keys, *NAME)
-        .distinct()
-        .join(F.broadcast(listed) if whole else listed, list(NAME))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_set("item")).alias("items"))
+    leaks = hits.groupBy(*keys).agg(
+        F.sort_array(F.collect_set(F.struct("start", "length"))).alias("hits"),
+        F.sort_array(F.collect_set("_item")).alias("items"),
+        F.lit(True).alias("_hit"),
     )
-    same = lambda a, b: F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")) & F.col(f"{a}._hash").eqNullSafe(F.col(f"{b}._hash"))
-    leaks = written(
-        spans.alias("s")
-        .join(found.alias("f"), same("s", "f"), "left")
-        .select("s._id", "s._hash", "s.hits", "f.items", F.lit(True).alias("_hit")),
-        "leaks-found",
-    )
-    few = is_small(leaks.select(F.concat_ws(",", "items", F.transform("hits", lambda h: h["start"].cast("string"))).alias("_key")), "_key")
+    same = F.col("t._id").eqNullSafe(F.col("l._id")) & F.col("t._hash").eqNullSafe(F.col("l._hash"))
     return (
         table.drop("windows")
         .alias("t")
-        .join((F.broadcast(leaks) if few else leaks).alias("l"), same("t", "l"), "left")
+        .join(leaks.alias("l"), same, "left")
         .select(
             F.col("t._id").alias("doc_id"),
             "n_words",
