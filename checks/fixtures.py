@@ -52,6 +52,8 @@ GAZETTEER = [
 ]
 
 KEYWORD_A, KEYWORD_B = "tion", "on in"
+# Terms that may overlap themselves, or hold others.
+CLOSE_TERMS = ["in in", "in in in", "on in on", "la la", "de la de", "la de la de la", "en la", "in", "la"]
 
 
 def _local(spark: SparkSession, rows: list[tuple], names: list[str], types: list) -> DataFrame:
