@@ -1,20 +1,22 @@
 """Hidden Markov language model: Baum-Welch over all training texts, exact scores by forward recursion.
 
-The alphabet is bounded: words that occur ``HEAD_COUNT`` times and make up at
-least one in ``HEAD_SHARE`` training tokens are symbols of their own (there
-cannot be more than ``HEAD_SHARE`` of them), all other words share ``ENDINGS`` symbols by their last
-letters.  Hidden states emit symbols; a word of a shared symbol then has the
-probability of its own count within the symbol, one place kept for words never
-seen.  So every text has a proper probability, and
-
-    log10 P(text) = log10 P(symbols) + sum over rare words of log10 P(word | symbol).
-
-The first term is the scaled forward recursion over the whole text, in the
-task that reads it.  The second needs counts of rare words only, which come
-by a join; frequent words, the hot keys, never enter it.  Baum-Welch passes
-run over all training texts: every partition adds up its expected counts, and
-Spark adds up the partitions.  Only where the states start from is drawn from
-a bounded sample of texts.
+The alphabet is the same at any size of the corpus: a word's symbol is made of
+its last letters (``ENDINGS`` of them) and a hash of the word (``KINDS`` for each
+ending), so that most words of a language have a symbol of their own and a word
+never seen still tells by its ending.  Hidden states emit symbols; within a
+symbol a word has the probability of its own count, one place kept for words
+never seen.  So every text has a proper probability, and
+
+    log10 P(text) = log10 P(symbols) + sum over words of log10 P(word | symbol).
+
+The first term is the scaled forward recursion over the whole text.  For the
+second, counts of words that make up at least one in ``HEAD_SHARE`` training
+tokens (there cannot be more than ``HEAD_SHARE`` of them) go with the tasks, all
+others come by a join, which no hot word enters.  Texts are split once: their
+symbols are written as integers, and all Baum-Welch passes and the scores read
+those.  Every partition adds up its expected counts, and Spark adds up the
+partitions.  Only where the states start from is drawn from a bounded sample of
+texts, as counts of the ``SEED_SYMBOLS`` most frequent symbols.
 
 Defined results: a NULL text is empty and scored as the end token alone.  Rows
 without an id are scored, not learned from and not held out.  Repeated rows
@@ -25,6 +27,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import math
 import sys
 import zlib
 from collections import Counter
@@ -44,9 +47,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STATES = 8
 PASSES = 2
 HEAD_SHARE = 500_000
-HEAD_COUNT = 10
-ENDINGS = 1024
-ENDING_BYTES = 3
+ENDINGS, ENDING_BYTES = 1024, 3
+KINDS = 128
+#: Symbol 0 is the end of a text, the others follow by ending and kind.
+ALPHABET = 1 + ENDINGS * KINDS
 #: The end of a text; no word can be this.
 END = b"\n"
 #: Texts the starting point is made from, about; and symbols it looks at.
@@ -57,11 +61,22 @@ STAY = 0.97
 #: Distinct words a partition counts before it passes them on.
 COUNT_WORDS = 300_000
 #: Rows handled together; texts beyond LONG tokens go in lanes of their own.
-ROWS, LONG = 2_000, 4_096
+ROWS, LONG = 2_000, 1_024
+#: Symbols that a worker remembers by word.
+KNOWN_WORDS = 200_000
 
 
-def ending(word: bytes) -> int:
-    return zlib.crc32(word[-ENDING_BYTES:]) % ENDINGS
+def symbol(word: bytes) -> int:
+    if word == END:
+        return 0
+    return 1 + zlib.crc32(word[-ENDING_BYTES:]) % ENDINGS * KINDS + zlib.crc32(word) % KINDS
+
+
+def symbol_of(word: str) -> Column:
+    """``symbol`` as a column."""
+    tail = F.substring(word, -ENDING_BYTES, ENDING_BYTES)
+    of_word = 1 + F.crc32(tail) % ENDINGS * KINDS + F.crc32(word) % KINDS
+    return F.when(F.col(word) == F.lit(END), 0).otherwise(of_word).cast("int")
 
 
 def count_words(docs: DataFrame, text: str) -> DataFrame:
@@ -85,56 +100,94 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Frequent words as symbols 0, 1, ...; rare ones by ending after them."""
+    """Counts of the training texts: of frequent words, of all tokens, and by symbol."""
 
-    head: dict[bytes, int]
-    head_counts: np.ndarray
+    frequent: dict[bytes, int]
     tokens: int
     words: int
-    ending_tokens: np.ndarray
-    ending_words: np.ndarray
-
-    @property
-    def size(self) -> int:
-        return len(self.head) + ENDINGS
-
-    def symbols(self, words: list[bytes]) -> list[int]:
-        """Symbols of a text's words and its end."""
-        get, rare = self.head.get, len(self.head)
-        found = [get(w, -1) for w in words]
-        if -1 in found:
-            found = [s if s >= 0 else rare + ending(w) for s, w in zip(found, words)]
-        found.append(0)
-        return found
+    symbol_tokens: np.ndarray
+    symbol_words: np.ndarray
 
 
 def is_frequent(tokens: int) -> Column:
-    """Whether a row of the word counts is a symbol of its own."""
-    return (F.col("c") * HEAD_SHARE >= F.lit(tokens)) & (F.col("c") >= HEAD_COUNT)
+    """Whether a row of the word counts goes with the tasks."""
+    return F.col("c") * HEAD_SHARE >= F.lit(tokens)
 
 
 def read_vocabulary(counts: DataFrame) -> Vocabulary:
-    """Totals, frequent words, and sums of the rare ones by ending: all of bounded size."""
+    """Totals by symbol and the frequent words: all of bounded size."""
     tokens, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = is_frequent(tokens)
-    rows = counts.where(frequent & (F.col("word") != F.lit(END))).collect()  # at most HEAD_SHARE words
-    rows = sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda r: (-r[1], r[0]))
-    end = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    tails = np.zeros((2, ENDINGS), np.int64)
-    by_ending = F.crc32(F.substring("word", -ENDING_BYTES, ENDING_BYTES)) % ENDINGS
-    rare = counts.where(~frequent & (F.col("word") != F.lit(END)))
-    for r in rare.groupBy(by_ending.alias("at")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
-        tails[:, r["at"]] = r["c"], r["n"]
-    return Vocabulary(
-        {END: 0} | {word: i for i, (word, _) in enumerate(rows, 1)},
-        np.array([end] + [c for _, c in rows], np.int64),
-        tokens,
-        words,
-        tails[0],
-        tails[1],
+    rows = counts.where(is_frequent(tokens)).collect()  # at most HEAD_SHARE words
+    totals = np.zeros((2, ALPHABET), np.int64)
+    by_symbol = counts.groupBy(symbol_of("word").alias("at")).agg(F.sum("c").alias("c"), F.count("*").alias("n"))
+    for r in by_symbol.collect():  # at most ALPHABET rows
+        totals[:, r["at"]] = r["c"], r["n"]
+    return Vocabulary({bytes(r["word"]): r["c"] for r in rows}, tokens, words, *totals)
+
+
+def write_symbols(docs: DataFrame, learn_from: Column, text: str, vocabulary) -> DataFrame:
+    """Every row with its symbols, what is known of its frequent words, and its other words with their counts.
+
+    ``vocabulary`` is a broadcast variable.  Symbols are little-endian 32-bit
+    integers, the end of the text among them; ``text`` is left out.
+    """
+    names = ("learn", "symbols", "n_tokens", "n_known", "log_known", "row", "rare")
+    kept = [c for c in docs.columns if c != text and c not in names]
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        frequent = vocabulary.value.frequent
+        logs = {w: float(np.log10(c + 1.0)) for w, c in frequent.items()}
+        known: dict[bytes, int] = {}
+        row = TaskContext.get().partitionId() << 33
+        for columns in batches:
+            out: dict[str, list] = {name: [] for name in names[1:-1]}
+            rare_words, rare_counts, offsets = [], [], [0]
+            for content in columns[text]:
+                counted = Counter(words := lower_words(content))
+                words.append(END)
+                counted[END] += 1
+                for word in counted:
+                    if word not in known:
+                        known[word] = symbol(word)
+                rare = [w for w in counted if w not in logs]
+                row += 1
+                out["symbols"].append(np.fromiter(map(known.__getitem__, words), "<i4", len(words)).tobytes())
+                out["n_tokens"].append(len(words))
+                out["n_known"].append(len(words) - sum(counted[w] for w in rare))
+                # In one order for equal texts, whatever came before in the task.
+                out["log_known"].append(math.fsum(logs[w] * n for w, n in counted.items() if w in logs))
+                out["row"].append(row)
+                rare_words += rare
+                rare_counts += [counted[w] for w in rare]
+                offsets.append(len(rare_words))
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+            rare_column = pa.ListArray.from_arrays(
+                pa.array(offsets, pa.int32()),
+                pa.StructArray.from_arrays(
+                    [pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int32())], names=["word", "n"]
+                ),
+            )
+            yield {**{c: columns[c] for c in kept}, "learn": columns["learn"], **out, "rare": rare_column}
+
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    flagged = docs.select(*kept, F.coalesce(learn_from, F.lit(False)).alias("learn"), text)
+    return written(
+        map_batches(
+            flagged,
+            run,
+            f"{schema}learn boolean, symbols binary, n_tokens long, n_known long, log_known double, row long, "
+            "rare array<struct<word: binary, n: int>>",
+            ROWS,
+        ),
+        "lm-symbols",
     )
 
 
+def unpacked(symbols: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(s, "<i4") for s in symbols]
+
+
 @dataclass
 class Model:
     """Start, transition and emission probabilities; ``emit`` has a row per symbol."""
@@ -145,20 +198,20 @@ class Model:
 
 
 def overall_shares(vocabulary: Vocabulary) -> np.ndarray:
-    """Shares of the symbols when every word, and one unseen word per ending, counts once more."""
-    counts = np.concatenate([vocabulary.head_counts, vocabulary.ending_tokens + vocabulary.ending_words]) + 1.0
+    """Shares of the symbols when every word, and one unseen word per symbol, counts once more."""
+    counts = vocabulary.symbol_tokens + vocabulary.symbol_words + 1.0
     return counts / counts.sum()
 
 
-def seed_model(sample: list[list[int]], vocabulary: Vocabulary, states: int = STATES) -> Model:
-    """States that start as a mixture of whole texts' frequent symbols."""
-    shares = overall_shares(vocabulary)
-    looked_at = min(SEED_SYMBOLS, len(vocabulary.head))
-    texts = np.zeros((len(sample), looked_at))
-    for row, symbols in zip(texts, sample):
-        seen = np.asarray(symbols)
-        row += np.bincount(seen[seen < looked_at], minlength=looked_at)
-    base = shares[:looked_at]
+def endings_of(values: np.ndarray) -> np.ndarray:
+    """Sums by ending of one row per symbol, repeated for every kind; the end of a text is an ending of its own."""
+    sums = values[1:].reshape(ENDINGS, KINDS, -1).sum(axis=1)
+    return np.vstack([values[:1], np.repeat(sums, KINDS, axis=0)])
+
+
+def seed_model(texts: np.ndarray, top: np.ndarray, shares: np.ndarray, states: int = STATES) -> Model:
+    """States that start as a mixture of whole texts, given as counts of the symbols ``top``."""
+    base = shares[top]
     emit = np.repeat(base[None, :], states, axis=0)
     weight = np.full(states, 1.0 / states)
     if len(texts) >= states:
@@ -178,7 +231,7 @@ def seed_model(sample: list[list[int]], vocabulary: Vocabulary, states: int = ST
             counts = belong.T @ texts + PRIOR * base
             emit = counts / counts.sum(axis=1, keepdims=True)
     full = np.repeat(shares[:, None], states, axis=1)
-    full[:looked_at] = emit.T * base.sum()
+    full[top] = emit.T * base.sum()
     move = np.full((states, states), (1.0 - STAY) / max(1, states - 1))
     np.fill_diagonal(move, STAY if states > 1 else 1.0)
     return Model(weight, move, full / full.sum(axis=0))
@@ -187,7 +240,7 @@ def seed_model(sample: list[list[int]], vocabulary: Vocabulary, states: int = ST
 class Lanes:
     """Texts laid one after the other in lanes, so that a step moves all lanes at once."""
 
-    def __init__(self, texts: list[list[int]], pad: int):
+    def __init__(self, texts: list[np.ndarray], pad: int):
         lengths = np.array([len(t) for t in texts])
         width = max(1, min(len(texts), int(lengths.sum() // lengths.max())))
         ends = [(0, lane) for lane in range(width)]
@@ -213,12 +266,13 @@ def forward(lanes: Lanes, model: Model, emit: np.ndarray, keep: bool) -> tuple[n
     steps, width = lanes.symbols.shape
     scale = np.empty((steps, width))
     kept = np.empty((steps, width, len(model.start)), np.float32) if keep else None
-    state = np.repeat(model.start[None, :], width, axis=0)
+    start, move = model.start.astype(emit.dtype), model.move.astype(emit.dtype)
+    state = np.repeat(start[None, :], width, axis=0)
     any_begin = lanes.begins.any(axis=1)
     for t in range(steps):
-        state = state @ model.move
+        state = state @ move
         if any_begin[t]:
-            state[lanes.begins[t]] = model.start
+            state[lanes.begins[t]] = start
         state *= emit[lanes.symbols[t]]
         total = state.sum(axis=1)
         state /= total[:, None]
@@ -228,7 +282,7 @@ def forward(lanes: Lanes, model: Model, emit: np.ndarray, keep: bool) -> tuple[n
     return scale, kept
 
 
-def log10_of_texts(texts: list[list[int]], model: Model, emit: np.ndarray) -> np.ndarray:
+def log10_of_texts(texts: list[np.ndarray], model: Model, emit: np.ndarray) -> np.ndarray:
     """log10 P(symbols) of each text."""
     result = np.zeros(len(texts))
     for long_ones in (False, True):
@@ -241,7 +295,7 @@ def log10_of_texts(texts: list[list[int]], model: Model, emit: np.ndarray) -> np
     return result
 
 
-def expected_counts(texts: list[list[int]], model: Model, emit: np.ndarray, out: dict[str, np.ndarray]) -> None:
+def expected_counts(texts: list[np.ndarray], model: Model, emit: np.ndarray, out: dict[str, np.ndarray]) -> None:
     """Add the expected starts, moves and emissions of the texts to ``out``."""
     states = len(model.start)
     for long_ones in (False, True):
@@ -250,18 +304,22 @@ def expected_counts(texts: list[list[int]], model: Model, emit: np.ndarray, out:
             continue
         lanes = Lanes(chosen, len(emit) - 1)
         scale, kept = forward(lanes, model, emit, keep=True)
+        out["log"] += np.log10(scale[lanes.inside], dtype=np.float64).sum()
         steps, width = lanes.symbols.shape
-        after = np.ones((width, states))
+        after = np.ones((width, states), emit.dtype)
         moved = np.zeros((states, states))
-        goes_on = lanes.inside & ~lanes.begins
+        ends_here = ~lanes.inside | lanes.begins
+        back = np.ascontiguousarray(model.move.T.astype(emit.dtype))
         for t in range(steps - 1, -1, -1):
-            incoming = emit[lanes.symbols[t]] * after / scale[t][:, None]
+            incoming = emit[lanes.symbols[t]]
+            incoming *= after
+            incoming /= scale[t][:, None]
             kept[t] *= after
-            incoming[~goes_on[t]] = 0.0
+            incoming[ends_here[t]] = 0.0
             if t:
                 moved += kept[t - 1].T @ incoming
-            after = incoming @ model.move.T
-            after[~goes_on[t]] = 1.0
+            after = incoming @ back
+            after[ends_here[t]] = 1.0
         out["move"] += moved * model.move
         out["start"] += kept[lanes.begins].sum(axis=0)
         symbols = lanes.symbols[lanes.inside]
@@ -275,68 +333,84 @@ def padded(model: Model) -> np.ndarray:
     return np.vstack([model.emit, np.ones((1, model.emit.shape[1]))])
 
 
-def baum_welch_pass(docs: DataFrame, text: str, vocabulary, model: Model, shares: np.ndarray) -> Model:
-    """One re-estimation over all ``docs``.  ``vocabulary`` is a broadcast variable."""
+def baum_welch_pass(coded: DataFrame, model: Model, shares: np.ndarray) -> tuple[Model, float]:
+    """One re-estimation over all rows of ``coded``, and log10 P of their symbols under ``model``."""
     states, size = len(model.start), len(model.emit)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = coded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        now, words = shared.value, vocabulary.value
-        emit = padded(now)
-        out = {"start": np.zeros(states), "move": np.zeros((states, states)), "emit": np.zeros((size, states))}
+        now = shared.value
+        emit = padded(now).astype(np.float32)
+        out = {
+            "start": np.zeros(states), "move": np.zeros((states, states)), "emit": np.zeros((size, states)), "log": np.zeros(1),
+        }
         for columns in batches:
-            expected_counts([words.symbols(lower_words(c)) for c in columns[text]], now, emit, out)
+            expected_counts(unpacked(columns["symbols"]), now, emit, out)
         seen = np.flatnonzero(out["emit"].sum(axis=1))
-        rows = np.vstack([out["start"], out["move"], out["emit"][seen]])
-        names = np.concatenate([np.arange(-1 - states, 0), seen])
+        rows = np.vstack([np.repeat(out["log"], states), out["start"], out["move"], out["emit"][seen]])
+        names = np.concatenate([np.arange(-2 - states, 0), seen])
         if out["start"].sum():
             yield {"symbol": names.tolist()} | {f"s{k}": rows[:, k].tolist() for k in range(states)}
 
     columns = [f"s{k}" for k in range(states)]
-    parts = map_batches(docs.select(text), run, "symbol int, " + ", ".join(f"{c} double" for c in columns), ROWS)
+    parts = map_batches(coded.select("symbols"), run, "symbol int, " + ", ".join(f"{c} double" for c in columns), ROWS)
     # One row per symbol: the alphabet is bounded.
     summed = parts.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in columns]).collect()
-    start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
+    start, move, emit, log = np.zeros(states), np.zeros((states, states)), np.zeros((size, states)), 0.0
     for row in summed:
-        values, symbol = row[1:], row["symbol"]
-        if symbol >= 0:
-            emit[symbol] = values
-        elif symbol == -1 - states:
+        values, at = row[1:], row["symbol"]
+        if at >= 0:
+            emit[at] = values
+        elif at == -2 - states:
+            log = values[0]
+        elif at == -1 - states:
             start[:] = values
         else:
-            move[symbol + states] = values
-    emit += (PRIOR + MIXED_IN * emit.sum(axis=0)) * shares[:, None]
+            move[at + states] = values
+    # A state is smoothed by the shares of all texts, half of it in the way of its own endings.
+    weight = PRIOR + MIXED_IN * emit.sum(axis=0)
+    own = endings_of(emit + PRIOR * shares[:, None]) * (shares / endings_of(shares[:, None])[:, 0])[:, None]
+    emit += weight * 0.5 * (shares[:, None] + own / own.sum(axis=0))
     stay = PRIOR * model.move / len(move)
-    return Model(
+    better = Model(
         (start + 1.0) / (start.sum() + states),
         (move + stay) / (move + stay).sum(axis=1, keepdims=True),
         emit / emit.sum(axis=0),
     )
+    return better, log
 
 
-def train(docs: DataFrame, counts: DataFrame, doc_id: str, text: str, states: int = STATES, passes: int = PASSES):
-    """The vocabulary (as a broadcast variable) and the model, from ``docs`` and their word counts."""
-    vocabulary = read_vocabulary(counts)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    shares = overall_shares(vocabulary)
-    texts = int(vocabulary.head_counts[0])
-    draw = F.pmod(F.xxhash64(doc_id, F.lit("seed texts")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def seed_counts(coded: DataFrame, order: str, top: np.ndarray, texts: int) -> np.ndarray:
+    """Counts of the symbols ``top`` in about ``SEED_TEXTS`` of the rows, in the order of column ``order``."""
+    draw = F.pmod(F.xxhash64(order, F.lit("seed texts")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    size = len(top)
 
-    def symbols(batches: Iterator[dict]) -> Iterator[dict]:
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        place = np.full(ALPHABET, size)
+        place[top] = np.arange(size)
         for columns in batches:
-            yield {
-                "id": columns[doc_id],
-                "symbols": [shared.value.symbols(lower_words(c)) for c in columns[text]],
-            }
-
-    chosen = docs.select(doc_id, text).where(draw < SEED_TEXTS / max(1, texts))
-    kind = docs.schema[doc_id].dataType.simpleString()
-    rows = map_batches(chosen, symbols, f"id {kind}, symbols array<int>").collect()  # about SEED_TEXTS texts
-    rows.sort(key=lambda r: (str(r["id"]), r["symbols"]))
-    model = seed_model([r["symbols"] for r in rows], vocabulary, states)
+            counts = [np.bincount(place[s], minlength=size + 1)[:size] for s in unpacked(columns["symbols"])]
+            yield {"at": columns[order], "counts": [c.astype("<i4").tobytes() for c in counts]}
+
+    kind = coded.schema[order].dataType.simpleString()
+    chosen = coded.where(draw < SEED_TEXTS / max(1, texts)).select(order, "symbols")
+    rows = map_batches(chosen, run, f"at {kind}, counts binary").collect()  # about SEED_TEXTS rows of 4 KB
+    rows.sort(key=lambda r: (str(r["at"]), bytes(r["counts"])))
+    return np.array([np.frombuffer(r["counts"], "<i4") for r in rows], float).reshape(len(rows), size)
+
+
+def train(coded: DataFrame, vocabulary: Vocabulary, doc_id: str, states: int = STATES, passes: int = PASSES):
+    """The model of the rows to learn from, and log10 P of their symbols before each pass."""
+    learned = coded.where("learn")
+    shares = overall_shares(vocabulary)
+    texts = int(vocabulary.symbol_tokens[0])
+    top = np.argsort(-vocabulary.symbol_tokens, kind="stable")[:SEED_SYMBOLS]
+    model = seed_model(seed_counts(learned, doc_id, top, texts), top, shares, states)
+    logs = []
     for _ in range(passes if texts else 0):
-        model = baum_welch_pass(docs, text, shared, model, shares)
-    return shared, model
+        model, log = baum_welch_pass(learned, model, shares)
+        logs.append(log)
+    return model, logs
 
 
 def score(
@@ -347,81 +421,49 @@ def score(
     Returns ``doc_id, n_tokens, n_known, train_tokens, base_score, score``
     and the columns of ``docs`` besides ``text``.
     """
-    training = docs.where(F.coalesce(learn_from, F.lit(False)))
-    counts = count_words(training, text)
-    vocabulary, model = train(training, counts, doc_id, text, states, passes)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ("n_tokens", "n_known", "base_score", "score", "row", "rare")
-    kept = [c for c in docs.columns if c != text and c not in (*names, "train_tokens")]
-    tokens, words = vocabulary.value.tokens, vocabulary.value.words
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        known, now = vocabulary.value, shared.value
+    context = docs.sparkSession.sparkContext
+    counts = count_words(docs.where(F.coalesce(learn_from, F.lit(False))), text)
+    vocabulary = read_vocabulary(counts)
+    coded = write_symbols(docs, learn_from, text, context.broadcast(vocabulary))
+    model, _ = train(coded, vocabulary, doc_id, states, passes)
+    tokens, words = vocabulary.tokens, vocabulary.words
+    # P(word | symbol) is its count and one over this; the end of a text is all of its symbol.
+    within = np.log10(vocabulary.symbol_tokens + vocabulary.symbol_words + 1.0)
+    within[0] = np.log10(vocabulary.symbol_tokens[0] + 1.0)
+    shared = context.broadcast((model, within))
+    mine = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    kept = [c for c in docs.columns if c != text and c not in mine]
+    passed = [*kept, "n_tokens", "n_known", "log_known", "row", "rare"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = shared.value
         emit = padded(now)
-        rare_from = len(known.head)
-        base = np.concatenate([np.log10(known.head_counts + 1.0), np.zeros(ENDINGS)]) - np.log10(tokens + words + 1.0)
-        within = np.concatenate([np.zeros(rare_from), -np.log10(known.ending_tokens + known.ending_words + 1.0)])
-        is_known = np.concatenate([known.head_counts > 0, np.zeros(ENDINGS, bool)])
-        row = TaskContext.get().partitionId() << 33
-        for columns in batches:
-            split = [lower_words(c) for c in columns[text]]
-            texts = [known.symbols(w) for w in split]
-            scores = log10_of_texts(texts, now, emit)
-            sizes, rare_words, rare_counts, offsets = [], [], [], [0]
-            known_tokens, base_scores, rows = [], [], []
-            for i, (symbols, these) in enumerate(zip(texts, split)):
-                at = np.asarray(symbols)
-                row += 1
-                rows.append(row)
-                sizes.append(len(at))
-                known_tokens.append(int(is_known[at].sum()))
-                base_scores.append(float(base[at].sum()))
-                scores[i] += within[at].sum()
-                rare = Counter([these[k] for k in np.flatnonzero(at >= rare_from)])
-                rare_words += rare.keys()
-                rare_counts += rare.values()
-                offsets.append(len(rare_words))
-            rare_column = pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()),
-                pa.StructArray.from_arrays(
-                    [pa.array(rare_words, pa.binary()), pa.array(rare_counts, pa.int32())], names=["word", "n"]
-                ),
-            )
-            yield {
-                **{c: columns[c] for c in kept},
-                "n_tokens": sizes,
-                "n_known": known_tokens,
-                "base_score": base_scores,
-                "score": scores.tolist(),
-                "row": rows,
-                "rare": rare_column,
-            }
-
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(start, ROWS)
+                texts = unpacked(rows.column("symbols").to_pylist())
+                scores = log10_of_texts(texts, now, emit) - np.array([parts[s].sum() for s in texts])
+                yield pa.RecordBatch.from_arrays(
+                    [*[rows.column(c) for c in passed], pa.array(scores)], names=[*passed, "log_symbols"]
+                )
+
+    schema = ", ".join(f"`{c}` {coded.schema[c].dataType.simpleString()}" for c in passed)
     scored = written(
-        map_batches(
-            docs.select(*kept, text),
-            run,
-            f"{schema}n_tokens long, n_known long, base_score double, score double, row long, "
-            "rare array<struct<word: binary, n: int>>",
-            ROWS,
-        ),
-        "lm-scored",
+        coded.select(*passed, "symbols").mapInArrow(run, f"{schema}, log_symbols double"), "lm-scored"
     )
-    # No rare word is a hot key: it occurs a few times, or makes up less than one in HEAD_SHARE tokens.
+    # No rare word is a hot key: it makes up less than one in HEAD_SHARE tokens.
     rare = scored.select("row", F.explode("rare").alias("_rare")).select("row", "_rare.word", "_rare.n")
-    seen = counts.where(~is_frequent(tokens) & (F.col("word") != F.lit(END)))
     added = (
-        rare.join(seen, "word")
+        rare.join(counts.where(~is_frequent(tokens)), "word")
         .groupBy("row")
         .agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("_log"))
     )
-    extra = F.coalesce("_log", F.lit(0.0))
+    logs = F.col("log_known") + F.coalesce("_log", F.lit(0.0))
     return scored.drop("rare").join(added, "row", "left").select(
         *kept,
         "n_tokens",
         (F.col("n_known") + F.coalesce("_n", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + extra).alias("base_score"),
-        (F.col("score") + extra).alias("score"),
+        (logs - F.col("n_tokens") * F.log10(F.lit(float(tokens + words + 1)))).alias("base_score"),
+        (F.col("log_symbols") + logs).alias("score"),
     )

@@ -139,8 +139,9 @@ def test_forward_recursion_is_the_sum_over_paths():
     model = hmm_score.Model(start, move, emit)
     texts = [[int(x) for x in rng.integers(0, 5, n)] for n in (1, 2, 5, 6, 3, 1)]
     found = hmm_score.log10_of_texts(texts, model, hmm_score.padded(model))
-    counts = {"start": np.zeros(3), "move": np.zeros((3, 3)), "emit": np.zeros((5, 3))}
+    counts = {"start": np.zeros(3), "move": np.zeros((3, 3)), "emit": np.zeros((5, 3)), "log": np.zeros(1)}
     hmm_score.expected_counts(texts, model, hmm_score.padded(model), counts)
+    assert math.isclose(counts.pop("log")[0], found.sum(), rel_tol=1e-9)
     wanted = {k: np.zeros_like(v) for k, v in counts.items()}
     for text, got in zip(texts, found):
         total, parts = 0.0, {k: np.zeros_like(v) for k, v in counts.items()}
@@ -191,20 +192,46 @@ def test_scores_against_counts(spark, docs_of, monkeypatch):
     assert hmm_score.score(docs.limit(0), learn).count() == 0
 
 
+def coded_rows(docs, learn):
+    counts = hmm_score.count_words(docs.where(learn), "text")
+    vocabulary = hmm_score.read_vocabulary(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    return counts, vocabulary, hmm_score.write_symbols(docs, learn, "text", shared)
+
+
 def test_probabilities_of_single_words_sum_to_one(spark, docs_of):
-    """All texts of no word or one, over the known words and one unseen word per ending."""
+    """Over all symbols, and within each over its words and one unseen word."""
     docs = docs_of(scored_rows(4, 60))
-    counts = hmm_score.count_words(docs, "text")
-    shared, model = hmm_score.train(docs, counts, "doc_id", "text")
-    vocabulary = shared.value
-    emit, total = model.emit, 0.0
-    for k, (e, s) in enumerate(zip(emit, range(len(emit)))):
-        total += float(model.start @ e)
-    assert math.isclose(total, 1.0, rel_tol=1e-9)
-    rare = {bytes(r["word"]): r["c"] for r in counts.collect() if bytes(r["word"]) not in vocabulary.head}
-    for at in {hmm_score.ending(w) for w in rare}:
-        own = [c for w, c in rare.items() if hmm_score.ending(w) == at]
-        assert (vocabulary.ending_tokens[at], vocabulary.ending_words[at]) == (sum(own), len(own))
+    counts, vocabulary, coded = coded_rows(docs, F.lit(True))
+    model, _ = hmm_score.train(coded, vocabulary, "doc_id")
+    assert len(model.emit) == hmm_score.ALPHABET
+    assert math.isclose(float((model.emit @ model.start).sum()), 1.0, rel_tol=1e-9)
+    assert np.allclose(model.emit.sum(axis=0), 1.0) and np.allclose(model.move.sum(axis=1), 1.0)
+    words = {bytes(r["word"]): (r["c"], r["at"]) for r in counts.select("*", hmm_score.symbol_of("word").alias("at")).collect()}
+    assert all(at == hmm_score.symbol(w) for w, (_, at) in words.items())
+    for at in {at for _, at in words.values()}:
+        own = [c for c, here in words.values() if here == at]
+        assert (vocabulary.symbol_tokens[at], vocabulary.symbol_words[at]) == (sum(own), len(own))
+
+
+def test_passes_raise_the_likelihood(spark, docs_of, monkeypatch):
+    """Without smoothing, no pass may lower it; with it, the first ones do not."""
+    docs = docs_of(scored_rows(8, 200))
+    _, vocabulary, coded = coded_rows(docs, F.lit(True))
+    _, logs = hmm_score.train(coded, vocabulary, "doc_id", passes=3)
+    assert logs[0] < logs[1] < logs[2]
+    monkeypatch.setattr(hmm_score, "PRIOR", 1e-9)
+    monkeypatch.setattr(hmm_score, "MIXED_IN", 0.0)
+    _, logs = hmm_score.train(coded, vocabulary, "doc_id", passes=6)
+    assert all(later >= earlier - 1e-4 * abs(earlier) for earlier, later in zip(logs, logs[1:]))
+
+
+def test_symbols_depend_on_the_word_alone(spark, docs_of):
+    docs = docs_of([(1, "a Rare word"), (2, "a " * 500)])
+    few = {r["doc_id"]: bytes(r["symbols"]) for r in coded_rows(docs, F.col("doc_id") == 1)[2].collect()}
+    many = {r["doc_id"]: bytes(r["symbols"]) for r in coded_rows(docs, F.lit(True))[2].collect()}
+    assert few == many
+    assert few[1] == np.array([hmm_score.symbol(w) for w in (b"a", b"rare", b"word", hmm_score.END)], "<i4").tobytes()
 
 
 # -- duplicates --------------------------------------------------------------
