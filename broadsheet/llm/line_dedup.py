@@ -2,20 +2,24 @@
 
 A line is parsed to a fixed depth: tokens with a digit become ``<*>``, then
 the number of tokens and the leading tokens lead to a leaf.  The distinct
-masked lines of a leaf are its variants.  A token that enough variants of the
-leaf have at the same place is a constant of the template, any other one a
-variable field, and a variant with enough constants is generalised to them.
-A template that recurs across documents stays in its first document and is
-dropped from all others; inside one document nothing is dropped.
+masked lines of a leaf are its variants.  They are generalised to templates by
+agreement, never by a share of the leaf, so that what else a leaf holds does not
+matter: a token that no other variant of the leaf has at its place becomes a
+variable field; then, until nothing changes, so does a token where templates
+that agree in all other places have ``MIN_VALUES`` tokens or a field already.  A
+template keeps ``MIN_CONSTANT`` of its tokens.  A template that recurs across
+documents stays in its first document and is dropped from all others, and so is
+a masked line that recurs as it is; inside one document nothing is dropped.
 
-Lines move as hashes.  Only lines of leaves with several variants are taken
-apart, and texts move once, to meet what is dropped from them.  Counts are
-partial sums before every shuffle, so a line that a third of all documents
-share is one row per partition.
+Texts are parsed once.  Lines then move as hashes; only lines of leaves with
+several variants are taken apart, and texts move once, to meet what is dropped
+from them.  Counts are partial sums before every shuffle, so a line that a third
+of all documents share is one row per partition.
 
 Defined results: a document is an (id, text) pair, and rows that agree in
 both are one document; NULL ids count as ids and come last.  Lines with fewer
-than ``MIN_TOKENS`` tokens always stay.  A NULL text stays NULL.  Of documents
+than ``MIN_TOKENS`` tokens are not generalised, and recur in ``MIN_SHORT``
+documents; empty lines stay.  A NULL text stays NULL.  Of documents
 with the same line the one with the smallest id keeps it (then the one with the
 smaller hash of its text).  Other columns pass through.  An empty table
 gives no rows.
@@ -29,15 +33,15 @@ from pyspark.sql import functions as F
 from ..operators.sizing import is_small
 from .common import let, written
 
-#: Leading tokens that lead to a leaf.
-DEPTH = 3
-MIN_TOKENS = 6
-#: Documents in which a masked line, and a generalised template, recurs.
-MIN_DOCUMENTS, MIN_GENERALISED = 2, 5
-#: A constant is shared by so many variants, and by this share of the leaf's.
-MIN_VARIANTS, MIN_SHARE = 2, 0.2
-#: Share of constants that a generalised variant needs.
+#: Leading tokens that lead to a leaf, and tokens of a line that has templates.
+DEPTH, MIN_TOKENS = 3, 6
+#: Documents in which a masked line recurs, a short one, and a generalised template.
+MIN_DOCUMENTS, MIN_SHORT, MIN_GENERALISED = 2, 10, 5
+#: Tokens that templates which agree elsewhere have in a variable field.
+MIN_VALUES = 3
+#: Share of tokens that are not variable in a generalised template.
 MIN_CONSTANT = 0.75
+FIELD = "<*>"
 
 KEYS = ("_no_id", "_id", "_hash")
 VARIANT = ("_leaf", "_line1", "_line2")
@@ -51,36 +55,32 @@ def _keys(doc_id: str, text: str) -> list[Column]:
     ]
 
 
-def _parse(raw: Column) -> Column:
-    """The masked line and its number of tokens.
+def _masked(text: Column) -> Column:
+    """A text with single spaces and masked tokens.
 
-    Most lines have single spaces and no digit, and are left as they are after
-    two searches.  A token is masked from its start on, so long tokens are
+    Most texts have single spaces and many no digit; they are left as they are
+    after a search.  A token is masked from its start on, so long tokens are
     read once.
     """
-    uneven = F.rlike(raw, F.lit(r"[\x09-\x0D]|\x20\x20"))
-    single = F.when(uneven, F.regexp_replace(raw, r"[\x20\x09-\x0D]+", " ")).otherwise(raw)
+    uneven = [F.contains(text, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")]
+    any_uneven = uneven[0] | uneven[1] | uneven[2] | uneven[3] | uneven[4]
+    single = F.when(any_uneven, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text)
     return let(
-        F.trim(single),
-        lambda line: F.struct(
-            F.when(F.rlike(line, F.lit("[0-9]")), F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>"))
-            .otherwise(line)
-            .alias("masked"),
-            (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).alias("tokens"),
-        ),
+        single,
+        lambda t: F.when(
+            F.rlike(t, F.lit("[0-9]")), F.regexp_replace(t, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", FIELD)
+        ).otherwise(t),
     )
 
 
 def _parsed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Keys, line number, masked line, number of tokens and leaf of every line that takes part."""
-    # Lines are parsed before they are exploded: a filter on what the parse
-    # gives would else be pushed below it and parse every line again.
-    keyed = docs.select(*_keys(doc_id, text), F.transform(F.split(text, "\n", -1), _parse).alias("_lines"))
-    lines = keyed.select(*KEYS, F.posexplode("_lines").alias("_line", "_parsed")).where(
-        F.col("_parsed.tokens") >= MIN_TOKENS
-    )
+    """Keys, line number, masked line, number of tokens and leaf of every line that is not empty."""
+    lines = docs.select(*_keys(doc_id, text), F.posexplode(F.split(_masked(F.col(text)), "\n", -1)).alias("_line", "_raw"))
+    spaces = F.octet_length("_masked") - F.octet_length(F.replace("_masked", F.lit(" "), F.lit("")))
     return (
-        lines.select(*KEYS, "_line", F.col("_parsed.masked").alias("_masked"), F.col("_parsed.tokens").alias("_tokens"))
+        lines.select(*KEYS, "_line", F.trim("_raw").alias("_masked"))
+        .where("_masked <> ''")
+        .withColumn("_tokens", spaces + 1)
         .withColumn("_leaf", F.xxhash64("_tokens", F.substring_index("_masked", " ", DEPTH)))
         .withColumn("_line1", F.xxhash64("_masked"))
         .withColumn("_line2", F.xxhash64(F.lit("line"), F.col("_masked")))
@@ -91,56 +91,129 @@ def _owner() -> Column:
     return F.min(F.struct(*KEYS)).alias("_owner")
 
 
-def generalised(docs: DataFrame, variants: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``_leaf, _line1, _line2`` and a template for every variant with enough constants."""
+def _hashes(place: str, token: Column) -> list[Column]:
+    """A template is named by the sums without carry of these over its places."""
+    return [F.xxhash64(place, token), F.xxhash64(F.lit("template"), F.col(place), token)]
+
+
+TEMPLATE = ("_leaf", "_template1", "_template2")
+
+
+def generalised(lines: DataFrame, variants: DataFrame) -> DataFrame:
+    """Variants and the template of each that has one, as ``VARIANT, _template1, _template2``."""
     leaves = written(
-        variants.groupBy("_leaf").agg(F.count("*").alias("_variants")).where("_variants > 1"), "lines-leaves"
-    )
-    wanted = F.broadcast(leaves) if is_small(leaves, "_leaf") else leaves
-    lines = (
-        _parsed(docs, doc_id, text)
-        .join(wanted, "_leaf")
-        .groupBy(*VARIANT, "_variants", "_tokens")
-        .agg(F.first("_masked").alias("_masked"))
+        variants.where(F.col("_tokens") >= MIN_TOKENS).groupBy("_leaf").agg(F.count("*").alias("_variants")).where("_variants > 1"),
+        "lines-leaves",
     )
+    wanted = leaves.select("_leaf")
+    taken = lines.join(F.broadcast(wanted) if is_small(wanted, "_leaf") else wanted, "_leaf")
+    distinct = taken.groupBy(*VARIANT, "_tokens").agg(F.first("_masked").alias("_masked"))
     tokens = written(
-        lines.select(*VARIANT, "_variants", "_tokens", F.posexplode(F.split("_masked", " ")).alias("_place", "_token")),
-        "lines-tokens",
+        distinct.select(*VARIANT, "_tokens", F.posexplode(F.split("_masked", " ")).alias("_place", "_token")), "lines-tokens"
     )
     place = ["_leaf", "_place", "_token"]
-    common = (
-        tokens.groupBy(*place, "_variants")
-        .agg(F.count("*").alias("_having"))
-        .where((F.col("_having") >= MIN_VARIANTS) & (F.col("_having") >= F.col("_variants") * MIN_SHARE))
-        .select(*place, F.lit(True).alias("_constant"))
-    )
-    constant = F.coalesce("_constant", F.lit(False))
-    return (
-        tokens.join(common, place, "left")
+    shared = tokens.groupBy(*place).agg(F.count("*").alias("_having")).where("_having > 1").select(*place, F.lit(True).alias("_shared"))
+    one, two = _hashes("_place", F.col("_known"))
+    known = F.when(F.col("_shared"), F.col("_token")).otherwise(FIELD)
+    first = written(
+        tokens.join(shared, place, "left")
+        .withColumn("_known", known)
         .groupBy(*VARIANT, "_tokens")
         .agg(
-            F.sum(constant.cast("int")).alias("_constants"),
-            F.bit_xor(F.when(constant, F.xxhash64("_place", "_token")).otherwise(F.lit(0))).alias("_template1"),
-            F.bit_xor(F.when(constant, F.xxhash64(F.lit("template"), "_place", "_token")).otherwise(F.lit(0))).alias(
-                "_template2"
+            F.bit_xor(one).alias("_template1"),
+            F.bit_xor(two).alias("_template2"),
+            F.sum((F.col("_known") == FIELD).cast("int")).alias("_fields"),
+            F.collect_list(F.struct("_place", "_known")).alias("_places"),
+        )
+        .where(F.col("_tokens") - F.col("_fields") >= F.col("_tokens") * MIN_CONSTANT),
+        "lines-first",
+    )
+    of_variant = first.select(*VARIANT, "_template1", "_template2")
+    templates = first.groupBy(*TEMPLATE, "_tokens").agg(F.first("_places").alias("_places"))
+    while True:
+        templates = written(templates, "lines-templates")
+        moved = written(merged(templates), "lines-merged")
+        if moved.isEmpty():
+            break
+        # What is named anew keeps its variants; templates that meet become one.
+        of_variant = written(
+            of_variant.join(moved.drop("_tokens", "_places"), list(TEMPLATE), "left").select(
+                *VARIANT, *[F.coalesce(f"_new{i}", f"_template{i}").alias(f"_template{i}") for i in (1, 2)]
             ),
+            "lines-general",
+        )
+        renamed = moved.select("_leaf", F.col("_new1").alias("_template1"), F.col("_new2").alias("_template2"), "_tokens", "_places")
+        templates = (
+            templates.join(moved.select(*TEMPLATE), list(TEMPLATE), "left_anti")
+            .unionByName(renamed)
+            .groupBy(*TEMPLATE, "_tokens")
+            .agg(F.first("_places").alias("_places"))
         )
-        .where((F.col("_constants") < F.col("_tokens")) & (F.col("_constants") >= F.col("_tokens") * MIN_CONSTANT))
-        .select(*VARIANT, "_template1", "_template2")
+    with_field = templates.where(F.exists("_places", lambda p: p["_known"] == FIELD)).select(*TEMPLATE)
+    return of_variant.join(with_field, list(TEMPLATE)).select(*VARIANT, "_template1", "_template2")
+
+
+def merged(templates: DataFrame) -> DataFrame:
+    """Templates that get a further field, with their new name and places."""
+    one, two = _hashes("_place", F.col("_known"))
+    places = templates.select(*TEMPLATE, "_tokens", F.explode("_places").alias("_p")).select(*TEMPLATE, "_tokens", "_p.*")
+    # All other places of a template, as the name without this place.
+    others = places.withColumn("_rest1", F.col("_template1").bitwiseXOR(one)).withColumn(
+        "_rest2", F.col("_template2").bitwiseXOR(two)
+    )
+    rest = ["_leaf", "_place", "_rest1", "_rest2"]
+    agreeing = (
+        others.groupBy(*rest)
+        .agg(F.count("*").alias("_values"), F.max(F.col("_known") == FIELD).alias("_field"))
+        .where((F.col("_values") >= MIN_VALUES) | ((F.col("_values") > 1) & F.col("_field")))
+        .select(*rest)
     )
+    fields = (
+        others.where(F.col("_known") != FIELD)
+        .join(agreeing, rest, "left_semi")
+        .groupBy(*TEMPLATE)
+        .agg(F.collect_list("_place").alias("_opened"))
+    )
+    opened = templates.join(fields, list(TEMPLATE)).withColumn(
+        "_places",
+        F.transform(
+            "_places",
+            lambda p: F.struct(
+                p["_place"].alias("_place"),
+                F.when(F.array_contains("_opened", p["_place"]), FIELD).otherwise(p["_known"]).alias("_known"),
+            ),
+        ),
+    )
+    fields_now = F.size(F.filter("_places", lambda p: p["_known"] == FIELD))
+    named = opened.where(F.col("_tokens") - fields_now >= F.col("_tokens") * MIN_CONSTANT)
+    one, two = (
+        F.aggregate(
+            F.transform("_places", lambda p: hash_of(p)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)
+        )
+        for hash_of in (
+            lambda p: F.xxhash64(p["_place"], p["_known"]),
+            lambda p: F.xxhash64(F.lit("template"), p["_place"], p["_known"]),
+        )
+    )
+    return named.select(*TEMPLATE, "_tokens", "_places", one.alias("_new1"), two.alias("_new2"))
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Keys and line numbers of all lines that are dropped."""
-    lines = written(_parsed(docs, doc_id, text).select(*KEYS, "_line", *VARIANT), "lines-parsed")
+    parsed = written(_parsed(docs, doc_id, text), "lines-parsed")
+    lines = parsed.select(*KEYS, "_line", *VARIANT)
     # One row per document and variant, then counts by variant.
-    by_document = lines.select(*KEYS, *VARIANT).distinct()
-    variants = written(by_document.groupBy(*VARIANT).agg(F.count("*").alias("_documents"), _owner()), "lines-variants")
-    exact = variants.where(F.col("_documents") >= MIN_DOCUMENTS).select(*VARIANT, "_owner")
-    general = written(generalised(docs, variants, doc_id, text), "lines-general")
-    template = ["_leaf", "_template1", "_template2"]
+    by_document = parsed.select(*KEYS, *VARIANT, "_tokens").distinct()
+    variants = written(
+        by_document.groupBy(*VARIANT, "_tokens").agg(F.count("*").alias("_documents"), _owner()), "lines-variants"
+    )
+    enough = F.when(F.col("_tokens") < MIN_TOKENS, MIN_SHORT).otherwise(MIN_DOCUMENTS)
+    exact = variants.where(F.col("_documents") >= enough).select(*VARIANT, "_owner")
+    general = written(generalised(parsed, variants), "lines-general")
+    template = list(TEMPLATE)
     recurring = (
-        by_document.join(general, list(VARIANT))
+        lines.select(*KEYS, *VARIANT)
+        .join(F.broadcast(general) if is_small(general, "_leaf") else general, list(VARIANT))
         .select(*template, *KEYS)
         .distinct()
         .groupBy(*template)
@@ -185,13 +258,14 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_map"), F.max("_word").alias("_last")
     )
     dense = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda w: F.coalesce(F.element_at("_map", w), F.lit(0)))
-    keyed = docs.select(*kept, *_keys(doc_id, text))
+    # The row as one column: whatever its columns are called, none meets the names used here.
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(text).alias("_text"), *_keys(doc_id, text))
     joined = keyed.join(
         dropped.select(*[F.col(k).alias(f"_d{k}") for k in KEYS], dense.alias("_dense")),
         [F.col(k) == F.col(f"_d{k}") for k in KEYS],
         "left",
     )
-    lines = F.split(F.col(text), "\n", -1)
+    lines = F.split(F.col("_text"), "\n", -1)
     staying = F.filter(
         lines,
         lambda line, i: F.getbit(F.coalesce(F.get("_dense", F.shiftright(i, 6)), F.lit(0)), i.bitwiseAND(F.lit(63))) == 0,
@@ -199,9 +273,9 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     cut = joined.withColumn("_staying", F.when(F.col("_dense").isNotNull(), staying))
     return cut.select(
         *[
-            F.when(F.col("_staying").isNull(), F.col(text)).otherwise(F.array_join("_staying", "\n")).alias(text)
+            F.when(F.col("_staying").isNull(), F.col("_text")).otherwise(F.array_join("_staying", "\n")).alias(text)
             if c == text
-            else F.col(c)
+            else F.col("_row").getField(c).alias(c)
             for c in kept
         ],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),

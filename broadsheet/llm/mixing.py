@@ -133,11 +133,15 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
         )
     )
     whole = F.floor("_rate")
-    copies = (whole + F.when(draw(F.col(doc_id), seed) < F.col("_rate") - whole, 1).otherwise(0)).cast("int")
+    copies = (whole + F.when(draw(F.col("_id"), seed) < F.col("_rate") - whole, 1).otherwise(0)).cast("int")
+    # The row as one column: whatever its columns are called, none meets the names used here.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(doc_id).alias("_id"), F.col(source).alias("_of")
+    )
     return (
-        docs.join(broadcast_if_small(targets, "_source"), F.col(source).eqNullSafe(F.col("_source")))
+        rows.join(broadcast_if_small(targets, "_source"), F.col("_of").eqNullSafe(F.col("_source")))
         .withColumn("_copies", copies)
         .where("_copies > 0")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*docs.columns)
+        .select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
     )

@@ -75,40 +75,64 @@ SELECT doc_id,
 FROM bare
 """
 
+#: Rounds of merging templates that the SQL spells out; further ones change nothing in the given tables.
+MERGES = 4
+
+
+def _merge(k: int) -> str:
+    """Templates after round ``k`` from those before it: a place opens where those that agree elsewhere differ."""
+    return f"""
+), place{k} AS (
+  SELECT DISTINCT n, lead, t, p, t[p] AS token, list_concat(t[1 : p - 1], [NULL], t[p + 1 :]) AS rest
+  FROM (SELECT DISTINCT n, lead, t FROM template{k - 1}), unnest(range(1, n + 1)) AS r(p)
+), agree{k} AS (
+  SELECT n, lead, p, rest FROM place{k} GROUP BY n, lead, p, rest
+  HAVING count(*) >= 3 OR (count(*) > 1 AND bool_or(token = '<*>'))
+), opened{k} AS (
+  SELECT o.n, o.lead, o.t, list(CASE WHEN a.p IS NULL THEN o.token ELSE '<*>' END ORDER BY o.p) AS new
+  FROM place{k} o LEFT JOIN agree{k} a ON o.n = a.n AND o.lead = a.lead AND o.p = a.p AND o.rest = a.rest
+  GROUP BY o.n, o.lead, o.t
+), template{k} AS (
+  SELECT v.tokens, v.n, v.lead,
+         CASE WHEN len(list_filter(o.new, lambda x: x <> '<*>')) >= 0.75 * v.n THEN o.new ELSE v.t END AS t
+  FROM template{k - 1} v JOIN opened{k} o ON v.n = o.n AND v.lead = o.lead AND v.t = o.t"""
+
+
 ORACLES["op3_line_dedup"] = r"""
 WITH raw AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents
 ), numbered AS (
   SELECT doc_id, i, trim(regexp_replace(parts[i], '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS clean
   FROM raw, unnest(range(1, len(parts) + 1)) AS r(i)
-), masked AS (
-  SELECT doc_id, i,
-         list_transform(string_split(clean, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
-  FROM numbered WHERE clean <> ''
 ), lines AS (
-  SELECT doc_id, i, tokens, len(tokens) AS n, tokens[1:3] AS lead FROM masked WHERE len(tokens) >= 6
+  SELECT doc_id, i, tokens, len(tokens) AS n, tokens[1:3] AS lead FROM (
+    SELECT doc_id, i, list_transform(string_split(clean, ' '),
+             lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+    FROM numbered WHERE clean <> '')
 ), variants AS (
   SELECT tokens, n, lead, count(DISTINCT doc_id) AS documents, min(doc_id) AS owner FROM lines GROUP BY ALL
 ), leaves AS (
-  SELECT n, lead, count(*) AS variants FROM variants GROUP BY ALL HAVING count(*) > 1
+  SELECT n, lead FROM variants WHERE n >= 6 GROUP BY ALL HAVING count(*) > 1
 ), taken AS (
-  SELECT v.tokens, v.n, v.lead, l.variants, p, v.tokens[p] AS token
+  SELECT v.tokens, v.n, v.lead, p, v.tokens[p] AS token
   FROM variants v JOIN leaves l ON v.n = l.n AND v.lead = l.lead, unnest(range(1, v.n + 1)) AS r(p)
-), common AS (
-  SELECT n, lead, p, token FROM taken GROUP BY n, lead, variants, p, token
-  HAVING count(*) >= 2 AND count(*) >= variants * 0.2
-), generalised AS (
-  SELECT t.tokens, t.n, t.lead,
-         list(CASE WHEN c.p IS NULL THEN NULL ELSE t.token END ORDER BY t.p) AS template
-  FROM taken t LEFT JOIN common c ON t.n = c.n AND t.lead = c.lead AND t.p = c.p AND t.token = c.token
+), shared AS (
+  SELECT n, lead, p, token FROM taken GROUP BY ALL HAVING count(*) > 1
+), template0 AS (
+  SELECT t.tokens, t.n, t.lead, list(CASE WHEN c.p IS NULL THEN '<*>' ELSE t.token END ORDER BY t.p) AS t
+  FROM taken t LEFT JOIN shared c ON t.n = c.n AND t.lead = c.lead AND t.p = c.p AND t.token = c.token
   GROUP BY t.tokens, t.n, t.lead
-  HAVING count(c.p) < t.n AND count(c.p) >= t.n * 0.75
+  HAVING count(*) FILTER (c.p IS NOT NULL AND t.token <> '<*>') >= 0.75 * t.n""" + "".join(
+    _merge(k) for k in range(1, MERGES + 1)
+) + f"""
+), generalised AS (
+  SELECT tokens, n, lead, t AS template FROM template{MERGES} WHERE list_contains(t, '<*>')""" + r"""
 ), recurring AS (
   SELECT g.n, g.lead, g.template, min(l.doc_id) AS owner
   FROM generalised g JOIN lines l ON g.tokens = l.tokens
   GROUP BY g.n, g.lead, g.template HAVING count(DISTINCT l.doc_id) >= 5
 ), owners AS (
-  SELECT v.tokens, coalesce(r.owner, CASE WHEN v.documents >= 2 THEN v.owner END) AS owner
+  SELECT v.tokens, coalesce(r.owner, CASE WHEN v.documents >= CASE WHEN v.n < 6 THEN 10 ELSE 2 END THEN v.owner END) AS owner
   FROM variants v LEFT JOIN generalised g ON v.tokens = g.tokens
   LEFT JOIN recurring r ON g.n = r.n AND g.lead = r.lead AND g.template = r.template
 ), dropped AS (

@@ -5,23 +5,26 @@ Two plans give the same rows:
 * A dictionary of hand-edited size is put into the plan as literals.  Each
   text is tested where it is scanned: one hash lookup per token for single
   words, one substring test per phrase.  No join and no shuffle.
-* A larger dictionary is joined by equality.  A text yields its tokens and the
-  letters around each of its spaces; a phrase can only match where its own
-  first space has the same letters around it.  The dictionary side is
-  broadcast in slices of checked size, so the text never moves.
+* A larger dictionary is joined by equality.  A phrase is known by the number
+  of its tokens, a hash of those inside it and the letters that its first token
+  ends and its last begins with.  A text is scanned once, whatever the size of
+  the dictionary: at each of its tokens, the units that a bitmap of the
+  dictionary may hold go on, with the few tokens they are made of, and the join
+  checks their letters.  What a scan passes on does not grow with the longest
+  phrase, and the texts never move.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.counting import count_bounded_phrase, count_phrase, tokens
 from ..session import cut_lineage
-from .sizing import broadcast_slices, rows_if_at_most
+from .bits import bitmap, let, may_hold
+from .sizing import is_small, rows_if_at_most
 
 # Measured on local cores: beyond about this many phrases, one substring test
 # per phrase costs more than the equality join.
@@ -114,110 +117,153 @@ def _literal_hits(
     return hits.join(F.broadcast(terms), "term").select(*keep, *terms.columns, "hits")
 
 
-def _head(term: Column) -> Column:
-    return F.substring_index(term, " ", 1)
+def _joined_hits(articles: DataFrame, terms: DataFrame, keep: Sequence[str], bounded: bool) -> DataFrame:
+    lookup = _lookup(terms)
+    # At most one row per token count and pair of anchor lengths.
+    shapes = (
+        lookup.groupBy("_size", "_before", "_after")
+        .agg(F.count("*").alias("rows"), F.max("_overlaps").alias("overlaps"))
+        .collect()
+    )
+    if not shapes:
+        return articles.limit(0).crossJoin(F.broadcast(terms.limit(0))).select(*keep, *terms.columns, F.lit(0).cast("long").alias("hits"))
+    set_bits, bits = bitmap(lookup, "_unit", sum(s["rows"] for s in shapes))
+    sizes = sorted({s["_size"] for s in shapes})
+
+    def pieces(tokens_: Column, known: Column, size: int) -> Column:
+        anchors = [(s["_before"], s["_after"]) for s in shapes if s["_size"] == size]
 
+        def at(i: Column) -> Column:
+            piece = F.slice(tokens_, i, F.lit(size))
+            listed = F.filter(
+                F.array(*[_unit(tokens_, i, size, b, a) for b, a in anchors]), lambda u: may_hold(known, bits, u)
+            )
+            return F.transform(listed, lambda u: F.struct(u.alias("unit"), i.alias("at"), piece.alias("piece")))
 
-def _tail(term: Column) -> Column:
-    """What follows the first space."""
-    return F.substring(term, F.length(_head(term)) + 2, F.length(term))
+        starts = F.sequence(F.lit(1), F.size(tokens_) - (size - 1))
+        return F.when(F.size(tokens_) >= size, F.flatten(F.transform(starts, at))).otherwise(_no_units())
 
+    def units(tokens_: Column, known: Column) -> Column:
+        """Each unit that may be listed, with the place and the tokens it is made of."""
+        return F.concat(*[pieces(tokens_, known, size) for size in sizes])
 
-def _anchor(head: Column, tail: Column, before: Column, after: Column) -> Column:
-    """The letters around a space: the end of ``head``, the start of ``tail``."""
-    return F.concat(F.right(head, before), F.lit(" "), F.left(tail, after))
+    scanned = (
+        articles.select(*keep, "content", set_bits.alias("_bits"))
+        # Tokens and bits are named once; a column of them would be put in again at each use.
+        .select(
+            *keep,
+            F.monotonically_increasing_id().alias("_row"),
+            let(tokens(F.col("content")), lambda t: let(F.col("_bits"), lambda known: units(t, known))).alias("_units"),
+        )
+        .select(*keep, "_row", F.explode("_units").alias("_u"))
+        .select(*keep, "_row", F.col("_u.unit").alias("_unit"), F.col("_u.at").alias("_at"), F.col("_u.piece").alias("_piece"))
+    )
+    side = lookup.drop("_before", "_after")
+    met = scanned.join(F.broadcast(side) if is_small(side, "term") else side, "_unit").where(_meets())
+    one = F.lit(1).cast("long")
+    if bounded:
+        met = met.withColumn("hits", F.when(F.col("_size") > 1, count_bounded_phrase(_in_place(), F.col("term"))).otherwise(one))
+    else:
+        met = met.withColumn("hits", one)
+    columns = [*keep, *terms.columns, "hits"]
+    if not any(s["overlaps"] for s in shapes):
+        return met.select(*columns)
+    # Matches of such a phrase are counted from the left, those of one text together, all in the one scan.
+    place = F.when(F.col("_overlaps") & (F.col("hits") > 0), F.struct(_start().alias("start"), _end().alias("end")))
+    return (
+        met.withColumn("_place", place)
+        .groupBy(*keep, *terms.columns, "_row", "_overlaps")
+        .agg(F.sort_array(F.collect_list("_place")).alias("_places"), F.sum("hits").alias("_hits"))
+        .select(
+            *keep, *terms.columns, F.when(F.col("_overlaps"), _taken(F.col("_places"))).otherwise(F.col("_hits")).alias("hits")
+        )
+    )
 
 
-def _windows(content: Column, size: int) -> Column:
-    """For each token of a text, that token and up to ``size - 1`` more."""
-    return F.regexp_extract_all(
-        content, F.lit(f"(?<![^ ])(?=([^ ]*(?: [^ ]*){{0,{size - 1}}}))"), F.lit(1)
+def _no_units() -> Column:
+    return F.array().cast("array<struct<unit:bigint,at:int,piece:array<string>>>")
+
+
+def _named(size: int, first: Column, inner: Column, last: Column, before: int, after: int) -> Column:
+    if size == 1:
+        return F.xxhash64(F.lit(1), first)
+    return F.xxhash64(F.lit(size * 16 + before * 4 + after), F.right(first, F.lit(before)), inner, F.left(last, F.lit(after)))
+
+
+def _unit(tokens_: Column, i: Column, size: int, before: int | None, after: int | None) -> Column:
+    """The name of ``size`` tokens of a text from the 1-based ``i`` on; too short ones name nothing listed."""
+    first, last = F.get(tokens_, i - 1), F.get(tokens_, i + (size - 2))
+    return _named(size, first, F.slice(tokens_, i + 1, F.lit(max(0, size - 2))), last, before or 0, after or 0)
+
+
+def _inner(tokens_: Column) -> Column:
+    return F.slice(tokens_, F.lit(2), F.greatest(F.size(tokens_) - 2, F.lit(0)))
+
+
+def _meets() -> Column:
+    """Whether the tokens of a text hold the term that shares their unit, letter by letter."""
+    first, last = F.get("_piece", 0), F.element_at("_piece", -1)
+    phrase = (
+        F.endswith(first, F.col("_first"))
+        & F.startswith(last, F.col("_last"))
+        & (F.size("_piece") == F.col("_size"))
+        & (_inner(F.col("_piece")) == F.col("_inner"))
     )
+    return F.when(F.col("_size") == 1, first == F.col("term")).otherwise(phrase)
 
 
-def _in_place(head: Column, tail: Column) -> Column:
+def _in_place() -> Column:
     """The phrase where it was met, with one more character on either side."""
-    return F.concat(
-        F.right(head, F.length("_term_head") + 1),
-        F.lit(" "),
-        F.left(tail, F.length("_term_tail") + 1),
-    )
+    first = F.right(F.get("_piece", 0), F.length("_first") + 1)
+    last = F.left(F.element_at("_piece", -1), F.length("_last") + 1)
+    return F.array_join(F.concat(F.array(first), F.col("_inner"), F.array(last)), " ")
 
 
-def _can_overlap(term: Column) -> Column:
-    """True for a phrase that begins the way it ends, if by one letter only."""
-    lengths = F.sequence(F.lit(1), F.length(term) - 1)
-    return is_phrase(term) & F.exists(lengths, lambda n: F.left(term, n) == F.right(term, n))
+def _start() -> Column:
+    """Where a match starts: its token, and the letter in it."""
+    return F.struct(F.col("_at").alias("token"), (F.length(F.get("_piece", 0)) - F.length("_first")).alias("letter"))
 
 
-def _first_match(content: Column, term: Column) -> Column:
-    """Index of the token that holds the start of the first match's space."""
-    before = F.left(content, F.instr(content, term) + F.instr(term, " ") - 2)
-    return F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
+def _end() -> Column:
+    return F.struct((F.col("_at") + F.col("_size") - 1).alias("token"), F.length("_last").alias("letter"))
 
 
-def _joined_hits(articles: DataFrame, terms: DataFrame, keep: Sequence[str], bounded: bool) -> DataFrame:
-    lookup = _lookup(terms)
-    # The shapes of the anchors and the longest phrase: at most
-    # (ANCHOR_SIDE + 1) ** 2 rows, whatever the dictionary.
-    spaces = F.length("term") - F.length(F.replace("term", F.lit(" "), F.lit("")))
-    shapes = (
-        lookup.where("_phrase").groupBy("_before", "_after").agg(F.max(spaces + 1).alias("size")).collect()
-    )
-    longest = max((shape["size"] for shape in shapes), default=1)
-    term, content, window = F.col("term"), F.col("content"), F.col("_window")
-    head, tail = F.col("_head"), F.col("_tail")
-    # Anchors of different shapes differ, so no unit comes twice; a window too
-    # short for a shape gives NULL, which joins nothing.
-    anchors = [
-        F.when(
-            (F.length(head) >= s["_before"]) & (F.length(tail) >= s["_after"]),
-            _anchor(head, tail, F.lit(s["_before"]), F.lit(s["_after"])),
+def _taken(places: Column) -> Column:
+    """How many of sorted matches can be taken from the left without sharing a letter."""
+    none = F.struct(F.lit(0).alias("token"), F.lit(0).alias("letter"))
+    begin = F.struct(none.alias("end"), F.lit(0).cast("long").alias("taken"))
+
+    def step(seen: Column, place: Column) -> Column:
+        fits = place["start"] >= seen["end"]
+        return F.struct(
+            F.when(fits, place["end"]).otherwise(seen["end"]).alias("end"),
+            (seen["taken"] + F.when(fits, 1).otherwise(0)).alias("taken"),
         )
-        for s in shapes
-    ]
-    scanned = (
-        articles.select(*keep, "content", F.posexplode(_windows(content, longest)).alias("_at", "_window"))
-        .select(*keep, "content", "_at", _head(window).alias("_head"), _tail(window).alias("_tail"))
-        .select("*", F.explode(F.array(head, *anchors)).alias("_unit"))
-    )
-    # A phrase is found where its words meet the window and counts one.  Where
-    # a match may overlap the next, the whole text is counted instead, once,
-    # at the first match.
-    meets = F.endswith(head, F.col("_term_head")) & F.startswith(tail, F.col("_term_tail"))
-    counts_here = ~F.col("_overlaps") | (_first_match(content, term) == F.col("_at"))
-    one = F.lit(1).cast("long")
-    here = count_bounded_phrase(_in_place(head, tail), term) if bounded else one
-    hits = (
-        F.when(F.col("_overlaps"), _phrase_count(bounded)(content, term))
-        .when(F.col("_phrase"), here)
-        .otherwise(one)
-    )
-    parts = [
-        scanned.join(F.broadcast(part.drop("_before", "_after")), "_unit")
-        .where(~F.col("_phrase") | (meets & counts_here))
-        .select(*keep, *terms.columns, hits.alias("hits"))
-        for part in broadcast_slices(lookup, "term")
-    ]
-    return reduce(DataFrame.unionByName, parts)
 
+    return F.aggregate(places, begin, step, lambda seen: seen["taken"])
 
-def _lookup(terms: DataFrame) -> DataFrame:
-    """The dictionary by the unit each term is looked up with.
 
-    It is measured and then read once per slice, so it is written once.
-    """
-    term, phrase = F.col("term"), F.col("_phrase")
-    before = F.least(F.lit(ANCHOR_SIDE), F.length("_term_head"))
-    after = F.least(F.lit(ANCHOR_SIDE), F.length("_term_tail"))
+def _can_overlap(term: Column) -> Column:
+    """True for a phrase that begins the way it ends, if by one letter only."""
+    lengths = F.sequence(F.lit(1), F.length(term) - 1)
+    return is_phrase(term) & F.exists(lengths, lambda n: F.left(term, n) == F.right(term, n))
+
+
+def _lookup(terms: DataFrame) -> DataFrame:
+    """The dictionary by the unit each term is looked up with, written once."""
+    term, size = F.col("term"), F.col("_size")
     parted = (
         terms.where(term != "")
-        .withColumn("_phrase", is_phrase(term))
-        .withColumn("_term_head", _head(term))
-        .withColumn("_term_tail", _tail(term))
+        .withColumn("_words", tokens(term))
+        .withColumn("_size", F.size("_words"))
+        .withColumn("_first", F.get("_words", 0))
+        .withColumn("_last", F.element_at("_words", -1))
+        .withColumn("_inner", _inner(F.col("_words")))
         .withColumn("_overlaps", _can_overlap(term))
-        .withColumn("_before", F.when(phrase, before))
-        .withColumn("_after", F.when(phrase, after))
+        .withColumn("_before", F.when(size > 1, F.least(F.lit(ANCHOR_SIDE), F.length("_first"))).otherwise(0))
+        .withColumn("_after", F.when(size > 1, F.least(F.lit(ANCHOR_SIDE), F.length("_last"))).otherwise(0))
+        .drop("_words")
     )
-    anchor = _anchor(F.col("_term_head"), F.col("_term_tail"), F.col("_before"), F.col("_after"))
-    return cut_lineage(parted.withColumn("_unit", F.when(phrase, anchor).otherwise(term)))
+    shape = size * 16 + F.col("_before") * 4 + F.col("_after")
+    phrase = F.xxhash64(shape, F.right("_first", F.col("_before")), F.col("_inner"), F.left("_last", F.col("_after")))
+    return cut_lineage(parted.withColumn("_unit", F.when(size == 1, F.xxhash64(F.lit(1), term)).otherwise(phrase)))

@@ -46,7 +46,8 @@ def read_runs(spark: SparkSession, root: str, name: str, schema: StructType | st
     base = runs.where(F.array_contains("bases", name)).agg(F.coalesce(F.max("run"), F.lit(-1)).alias("_base"))
     # One row per run.
     seen = F.broadcast(runs.select("run").where(F.col("run") >= base.scalar()))
-    return _read(spark, f"{root}/{name}", schema).join(seen, "run", "left_semi")
+    rows = _read(spark, f"{root}/{name}", schema)
+    return rows.join(seen, "run", "left_semi").select(*rows.columns)
 
 
 def publish(

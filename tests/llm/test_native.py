@@ -56,6 +56,12 @@ def test_mix_repeats_rows_by_rate(spark, docs_of):
     assert mixing.mixing_plan(docs.limit(0)).count() == 0
 
 
+def test_mix_keeps_columns_of_any_name(spark, docs_of):
+    docs = docs_of([(i, "a b", None, "s") for i in range(20)], "_copy string").withColumn("_rate", F.lit(7)).withColumn("_copies", F.lit(8))
+    mixed = mixing.mix_sources(docs).collect()
+    assert mixed and {(r["_copy"], r["_rate"], r["_copies"]) for r in mixed} == {("own", 7, 8)}
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -96,27 +102,47 @@ def test_cascade_is_exact_for_its_universe(spark, monkeypatch):
     assert {r["key"] for r in held} == {f"k{i}" for i in range(300)}
 
 
+def plain_templates(variants):
+    """Templates of the variants of one leaf, by variant."""
+    count = Counter((p, t) for v in variants for p, t in enumerate(v))
+    enough = lambda t: sum(x != "<*>" for x in t) >= line_dedup.MIN_CONSTANT * len(t)
+    found = {v: tuple(t if count[p, t] > 1 else "<*>" for p, t in enumerate(v)) for v in variants}
+    found = {v: t for v, t in found.items() if enough(t)}
+    while True:
+        templates = set(found.values())
+        agree = defaultdict(set)
+        for t in templates:
+            for p, token in enumerate(t):
+                agree[p, t[:p], t[p + 1 :]].add(token)
+        new = {}
+        for t in templates:
+            opened = []
+            for p, token in enumerate(t):
+                values = agree[p, t[:p], t[p + 1 :]]
+                opened.append("<*>" if len(values) >= line_dedup.MIN_VALUES or (len(values) > 1 and "<*>" in values) else token)
+            if tuple(opened) != t and enough(opened):
+                new[t] = tuple(opened)
+        if not new:
+            return {v: t for v, t in found.items() if "<*>" in t}
+        found = {v: new.get(t, t) for v, t in found.items()}
+
+
 def plain_line_dedup(docs):
     """The same rules over plain lists; documents are (id, text) pairs."""
     lines = defaultdict(set)
     for doc in docs:
         for i, raw in enumerate((doc[1] or "").split("\n")):
             tokens = tuple("<*>" if re.search("[0-9]", t) else t for t in re.split(r"[\x20\x09-\x0D]+", raw) if t)
-            if len(tokens) >= line_dedup.MIN_TOKENS:
+            if tokens:
                 lines[tokens].add((doc, i))
     leaves = defaultdict(list)
     for tokens in lines:
-        leaves[len(tokens), tokens[: line_dedup.DEPTH]].append(tokens)
+        if len(tokens) >= line_dedup.MIN_TOKENS:
+            leaves[len(tokens), tokens[: line_dedup.DEPTH]].append(tokens)
     templates = {}
     for variants in leaves.values():
-        count = Counter((p, t) for v in variants for p, t in enumerate(v))
-        for v in variants:
-            fixed = tuple(
-                t if count[p, t] >= max(line_dedup.MIN_VARIANTS, line_dedup.MIN_SHARE * len(variants)) else None for p, t in enumerate(v)
-            )
-            n = sum(t is not None for t in fixed)
-            if len(variants) > 1 and line_dedup.MIN_CONSTANT * len(v) <= n < len(v):
-                templates[v] = fixed
+        if len(variants) > 1:
+            templates |= plain_templates(variants)
     having = defaultdict(set)
     for v, fixed in templates.items():
         having[fixed] |= {d for d, _ in lines[v]}
@@ -125,7 +151,7 @@ def plain_line_dedup(docs):
         documents = {d for d, _ in places}
         general = having.get(templates.get(v), set())
         group = general if len(general) >= line_dedup.MIN_GENERALISED else documents
-        if len(group) >= line_dedup.MIN_DOCUMENTS:
+        if len(group) >= (line_dedup.MIN_DOCUMENTS if len(v) >= line_dedup.MIN_TOKENS else line_dedup.MIN_SHORT):
             for d, i in places:
                 if d != min(group, key=lambda d: (d[0] is None, d[0] or 0)):
                     dropped[d].add(i)
@@ -134,6 +160,33 @@ def plain_line_dedup(docs):
     ]
 
 
+@pytest.mark.parametrize("templates", [4, 6, 50])
+def test_templates_recur_whatever_their_leaf_holds(spark, docs_of, templates):
+    """One leaf; a field whose values differ, or come again in other lines."""
+    made = [
+        (100 * t + k, f"the user of service{chr(97 + t % 26)}{chr(97 + t // 26)} named {name} has logged in again today")
+        for t in range(templates)
+        for k, name in enumerate(["".join(chr(97 + int(d)) for d in str(100 * t + k)) if k % 2 else "x" + chr(97 + k % 26) for k in range(100)])
+    ]
+    found = line_dedup.drop_repeated_lines(docs_of(made))
+    assert sorted(tuple(r) for r in found.select("doc_id", "text").collect()) == sorted(plain_line_dedup(made))
+    assert found.where("n_dropped > 0").count() >= 99 * templates
+
+
+def test_short_lines_recur_from_ten_documents_on(spark, docs_of):
+    made = [(i, f"All rights reserved.\nWords of document {chr(97 + i)} alone" + ("\nYes." if i < 9 else "")) for i in range(12)]
+    left = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs_of(made)).collect()}
+    assert [i for i in left if "reserved" in left[i]] == [0]
+    assert [i for i in sorted(left) if "Yes." in left[i]] == list(range(9))
+
+
+def test_columns_of_any_name_pass_through(spark, docs_of):
+    docs = docs_of([(1, "a b c"), (2, None)], "_hash string").withColumns({c: F.lit(7) for c in ("_dense", "_staying", "_row", "_text", "_id")})
+    found = line_dedup.drop_repeated_lines(docs)
+    assert found.columns == [*docs.columns, "n_lines", "n_dropped"]
+    assert {(r["_hash"], r["_dense"], r["_text"]) for r in found.collect()} == {("own", 7, 7)}
+
+
 def test_lines_against_plain_rules(spark, docs_of, rows):
     rng = random.Random(5)
     boiler = "all rights reserved by the owner of this site"
@@ -143,6 +196,10 @@ def test_lines_against_plain_rules(spark, docs_of, rows):
                       + rng.sample(pool, 4) + [boiler]))
         for i in range(60)
     ]
+    made += [
+        (200 + i, f"a b c {rng.choice('xyz')} {rng.choice('uvw')} d e {rng.choice('mno')} f g h i\n\t a  b\tc {rng.choice('pqr')} d e f g")
+        for i in range(40)
+    ]
     made += [(100, None), (101, ""), (102, "\n\n"), (103, "word " * 5000), (104, made[3][1]), (None, boiler + "\nunique tail of a text here now")]
     docs = docs_of(made, "n_lines string")
     found = line_dedup.drop_repeated_lines(docs)

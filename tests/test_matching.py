@@ -200,3 +200,24 @@ def test_stop_words_from_a_table(spark, monkeypatch):
     monkeypatch.setattr(dictionary, "STOP_WORD_LIMIT", 1)
     with pytest.raises(ValueError):
         dictionary.stop_words(table)
+
+
+def test_long_phrases_and_overlaps_in_one_scan(spark, monkeypatch):
+    """A phrase of 200 tokens, one that overlaps itself across long texts, and no more scans for more terms."""
+    for name in ("INLINE_WORDS", "INLINE_PHRASES"):
+        monkeypatch.setattr(matching, name, 0)
+    source = random.Random(3)
+    long = " ".join(source.choices(["ab", "ba", "cab"], k=200))
+    looped = " ".join(["ab", "ba"] * 300 + ["ab"])
+    contents = [f"x{long}y z {long}", looped, "ab " + looped, "", "ab"]
+    terms = [long, "ab ba ab", "b ab b", " ".join(["ab", "ba"] * 60 + ["ab"]), "ab", "ba ab ba ab"]
+    listed = spark.createDataFrame([(t,) for t in terms], "term string")
+    hits = matching.term_hits(make_articles(spark, contents), listed, keep=["url"])
+    found = hits.groupBy("url", "term").agg(F.sum("hits").alias("hits")).collect()
+    expected = {(f"https://a.com/{i}", t): n for i, c in enumerate(contents) for t in terms if (n := plain_hits(c, t, False))}
+    assert {(r["url"], r["term"]): r["hits"] for r in found} == expected
+    # The texts are read once, with phrases that overlap and without, for many terms too.
+    many = spark.createDataFrame([(f"w{i}",) for i in range(3000)], "term string")
+    for some in (many, listed):
+        plan = matching.term_hits(make_articles(spark, contents), some)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate explode") == 1
