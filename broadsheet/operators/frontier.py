@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.urls import domain, same_host
 from ..session import cut_lineage
 from .keys import without_known, without_stored
-from .ranking import number_rows, previous_value
+from .ranking import number_rows
+from .sizing import broadcast_if_small
 
 
 def new_links(found: DataFrame, frontier: DataFrame, articles: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -61,27 +62,31 @@ def urls_by_domain(frontier: DataFrame) -> DataFrame:
     return frontier.select(domain(F.col("url")).alias("domain"), "url")
 
 
-def round_robin(frontier: DataFrame) -> DataFrame:
+def round_robin(frontier: DataFrame, previous: str | None = None) -> DataFrame:
     """``position, round, domain, url``: one url of each domain per round.
 
     Within a domain urls go by time and name; within a round domains go by
-    their first url.  No domain and no round is ever sorted in one task.
+    their first url.  No domain and no round is ever sorted in one task.  With
+    ``previous`` the url before is added under that name.
     """
     queued = frontier.select(domain(F.col("url")).alias("domain"), "scrape_time", "url")
-    numbered = cut_lineage(number_rows(queued, ["scrape_time", "url"], "round", keys=["domain"]))
-    first_seen = numbered.where(F.col("round") == 1).select(
-        "domain", F.col("scrape_time").alias("first_time"), F.col("url").alias("first_url")
+    first_seen = queued.groupBy("domain").agg(F.min(F.struct("scrape_time", "url")).alias("_first"))
+    firsts = cut_lineage(
+        first_seen.select("domain", F.col("_first.scrape_time").alias("first_time"), F.col("_first.url").alias("first_url"))
     )
-    placed = number_rows(
-        numbered.join(first_seen, "domain"), ["round", "first_time", "first_url"], "position"
+    numbered = number_rows(
+        queued.join(broadcast_if_small(firsts, "first_url"), "domain"), ["scrape_time", "url"], "round", keys=["domain"]
     )
-    return placed.select("position", "round", "domain", "url")
+    named = numbered.select("round", "domain", "url", "first_time", "first_url")
+    handed = ("url", previous) if previous else None
+    placed = number_rows(named, ["round", "first_time", "first_url"], "position", previous=handed)
+    return placed.select("position", "round", "domain", "url", *([previous] if previous else []))
 
 
-def host_pauses(plan: DataFrame) -> DataFrame:
-    """Add ``previous_url`` and ``pause`` to a round-robin plan.
+def host_pauses(frontier: DataFrame) -> DataFrame:
+    """The round-robin plan of a queue with ``previous_url`` and ``pause``.
 
     A pause is due where a url begins like the one before it.
     """
-    ordered = previous_value(cut_lineage(plan), "position", "url", "previous_url")
-    return ordered.withColumn("pause", same_host(F.col("url"), F.col("previous_url")))
+    plan = round_robin(frontier, "previous_url")
+    return plan.withColumn("pause", same_host(F.col("url"), F.col("previous_url")))

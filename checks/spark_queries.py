@@ -463,7 +463,7 @@ def frontier_round_robin(spark, sf_dir):
 
 @_register
 def same_host_adjacency(spark, sf_dir):
-    return frontier.host_pauses(frontier.round_robin(fx.frontier(spark, sf_dir)))
+    return frontier.host_pauses(fx.frontier(spark, sf_dir))
 
 
 @_register

@@ -118,11 +118,31 @@ def test_number_rows_with_a_hot_key(spark):
     assert {r["i"]: r["n"] for r in found} == expected
 
 
-def test_previous_value_across_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "BLOCK_ROWS", 4)
-    df = spark.range(1, 20).select(F.col("id").alias("p"), (F.col("id") * 10).alias("v"))
-    found = ranking.previous_value(df, "p", "v", "before").collect()
-    assert {r["p"]: r["before"] for r in found} == {p: (p - 1) * 10 if p > 1 else None for p in range(1, 20)}
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("rows_per_batch", [3, 10_000])
+def test_numbers_and_previous_rows_across_ranges(spark, seed, rows_per_batch, monkeypatch):
+    """Keys that span several ranges, NULL keys, and one shuffle for all of it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_per_batch)
+    source = random.Random(seed)
+    kinds = [None, "a", "b"] + ["hot"] * (8 if seed else 0)
+    data = [(source.choice(kinds), source.choice([1, 2, None]), i, f"v{i}") for i in range(400)]
+    df = spark.createDataFrame(data, "k string, l int, i int, v string").repartition(7)
+    try:
+        for keys in (["k"], ["k", "l"], []):
+            found = ranking.number_rows(df, ["i"], "n", keys=keys, previous=("v", "before"))
+            groups = {}
+            for k, l, i, v in sorted(data, key=lambda r: r[2]):
+                groups.setdefault(tuple({"k": k, "l": l}[c] for c in keys), []).append((i, v))
+            wanted = {
+                i: (n, rows[n - 2][1] if n > 1 else None) for rows in groups.values() for n, (i, _) in enumerate(rows, 1)
+            }
+            assert {r["i"]: (r["n"], r["before"]) for r in found.collect()} == wanted
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+            assert {r["i"]: r["n"] for r in ranking.number_rows(df, ["i"], "n", keys=keys).collect()} == {i: n for i, (n, _) in wanted.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert ranking.number_rows(df.limit(0), ["i"], "n", keys=["k"], previous=("v", "b")).count() == 0
 
 
 def make_frontier(spark, urls):
@@ -135,7 +155,7 @@ def test_round_robin_and_pauses(spark):
     queue = make_frontier(
         spark, ["https://a.com/1", "https://a.com/2", "https://a.com/3", "https://b.org/1"]
     )
-    plan = frontier.host_pauses(frontier.round_robin(queue)).orderBy("position").collect()
+    plan = frontier.host_pauses(queue).orderBy("position").collect()
     assert [(r["url"], r["pause"]) for r in plan] == [
         ("https://a.com/1", False), ("https://b.org/1", False), ("https://a.com/2", False), ("https://a.com/3", True)
     ]
