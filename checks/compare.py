@@ -13,7 +13,7 @@ import duckdb
 from broadsheet.session import build_session
 
 from .oracles import ORACLES
-from .stored_queries import QUERIES
+from .coverage_queries import QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "

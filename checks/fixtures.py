@@ -54,6 +54,8 @@ GAZETTEER = [
 KEYWORD_A, KEYWORD_B = "tion", "on in"
 # Terms that may overlap themselves, or hold others.
 CLOSE_TERMS = ["in in", "in in in", "on in on", "la la", "de la de", "la de la de la", "en la", "in", "la"]
+# What is put into texts in place of what, in this order.
+PUT_INTO_TEXTS = [("on ", "on's "), ("es ", "es’x "), (" in ", " http://in.example/in ")]
 
 
 def _local(spark: SparkSession, rows: list[tuple], names: list[str], types: list) -> DataFrame:
@@ -300,15 +302,58 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paged_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages without a query as listings of three landed pages each; the last leads to one that is not there."""
+    """Every page as a listing of three landed pages; the last leads to one that is not there.
+
+    Where the url has a query, the next pages add to it.
+    """
     bare = F.regexp_replace(F.col("url"), r"^https?://(www\.)?", "")
-    html = pages(spark, sf_dir, ["url", "html"]).where(~F.contains("url", F.lit("?")))
-    numbered = html.select(bare.alias("bare"), "html", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("k"))
-    here = F.concat(F.lit("https://www."), F.col("bare"), F.when(F.col("k") == 1, "").otherwise(F.concat(F.lit("?page="), F.col("k"))))
+    numbered = pages(spark, sf_dir, ["url", "html"]).select(
+        bare.alias("bare"), "html", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("k")
+    )
+    # A listing's next page is what follows the last question mark, put after the listing.
+    mark = F.concat(F.lit("?page="), "k")
+    here = F.concat(F.lit("https://www."), "bare", F.when(F.col("k") == 1, "").otherwise(mark))
     onward = F.concat(F.lit('<a class="pager next" href="?page='), F.col("k") + 1, F.lit('">on</a><h1>'))
     return numbered.select(here.alias("url"), F.replace("html", F.lit("<h1>"), onward).alias("html"))
 
 
+#: Put at the start of an article; none of these paragraphs stays.
+UNWANTED = (
+    "<figcaption><p>caption</p></figcaption>" * 3
+    + '<p>gone <span class="no-exclude">x</span></p>' * 2
+    + '<p data-kind="big promo">gone</p><p class="a promo-b">gone</p>'
+)
+MARKED = "".join(f'<section class="x paragraph-{k}"> Marked {k} here </section>' for k in range(8))
+
+
+def odd_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with its article in another kind of container, by the sixth of its id."""
+    html = F.col("html")
+    kind = F.col("page_id") % 6
+    story = '<article class="lead story">'
+    by_id = F.replace(F.replace(html, F.lit("<article>"), F.lit('<div id="the-story">')), F.lit("</article>"), F.lit("</div>"))
+    changed = (
+        F.when(kind == 0, F.replace(html, F.lit("<article>"), F.lit(story + UNWANTED)))
+        .when(kind == 1, by_id)
+        .when(kind == 2, F.replace(html, F.lit("<article>"), F.lit(story + MARKED)))
+        .when(kind == 3, F.concat(F.lit('<div class="story"></div>'), F.replace(html, F.lit("<article>"), F.lit(story))))
+        .when(kind == 4, F.concat(F.lit('<div class="my story">' + "<p> t </p>" * 9 + "</div>"), F.replace(html, F.lit("<article>"), F.lit(story))))
+        .otherwise(html)
+    )
+    return pages(spark, sf_dir).withColumn("html", changed)
+
+
+def odd_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule for every https domain: containers named like a story, without promotions."""
+    return (
+        page_urls(spark, sf_dir)
+        .select(domain(F.col("url")).alias("domain"))
+        .where(F.col("domain") != "http:")
+        .distinct()
+        .select("domain", F.lit("story").alias("div_filter"), F.array(F.lit("promo")).alias("p_attr_exclusion"))
+    )
+
+
 def class_pager(html: Column) -> Column:
     """Each menu link as a pager by class; the last one counts."""
     return F.replace(html, F.lit('<li><a href="/'), F.lit('<li><a class="pager next" href="?page='))
