@@ -16,7 +16,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import ArrayType, StringType
 
-from .patterns import parse_once
+from .patterns import class_hit, hit, parse_once
 
 # Send these functions to the executors with the job, so that they need not
 # have the package installed.
@@ -172,12 +172,13 @@ TAG_TYPE = pa.list_(
             ("label", pa.string()),
             ("strings", pa.list_(pa.string())),
             ("values", pa.list_(pa.string())),
+            ("hit", pa.bool_()),
         ]
     )
 )
 
 
-def _tags_of(html: str | None) -> list[dict]:
+def _tags_of(html: str | None, rule: str | None) -> list[dict]:
     page = _Outline(html or "")
     return [
         {
@@ -187,6 +188,7 @@ def _tags_of(html: str | None) -> list[dict]:
             "label": attributes.get("aria-label"),
             "strings": _strings(attributes),
             "values": _values(attributes),
+            "hit": class_hit(rule, _classes(attributes)),
         }
         for name, attributes in zip(page.names, page.attributes)
         if "href" in attributes or "class" in attributes or "aria-label" in attributes
@@ -195,9 +197,9 @@ def _tags_of(html: str | None) -> list[dict]:
 
 @parse_once
 @arrow_udf(from_arrow_type(TAG_TYPE))
-def page_tags(html: pa.Array) -> pa.Array:
-    """Tags with an href, a class or an aria-label, in document order."""
-    return pa.array([_tags_of(text) for text in html.to_pylist()], TAG_TYPE)
+def page_tags(html: pa.Array, rule: pa.Array) -> pa.Array:
+    """Tags with an href, a class or an aria-label, in document order; ``hit`` by the page's class rule."""
+    return pa.array([_tags_of(text, r) for text, r in zip(html.to_pylist(), rule.to_pylist())], TAG_TYPE)
 
 
 def _hrefs_of(html: str | None) -> list[str]:
@@ -213,6 +215,17 @@ def page_hrefs(html: pa.Array) -> pa.Array:
     return pa.array([_hrefs_of(text) for text in html.to_pylist()], pa.list_(pa.string()))
 
 
+@parse_once
+@arrow_udf(ArrayType(StringType()))
+def wanted_hrefs(html: pa.Array, wanted: pa.Array, unwanted: pa.Array) -> pa.Array:
+    """The hrefs of each page that its pattern is found in, and none of its exclusions."""
+    rows = zip(html.to_pylist(), wanted.to_pylist(), unwanted.to_pylist())
+    return pa.array(
+        [[h for h in _hrefs_of(text) if hit(p, h) and not any(hit(x, h) for x in xs or ())] for text, p, xs in rows],
+        pa.list_(pa.string()),
+    )
+
+
 PARAGRAPH_TYPE = pa.list_(
     pa.struct(
         [

@@ -7,12 +7,11 @@ from __future__ import annotations
 
 import re
 import sys
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, BooleanType, StringType
+from pyspark.sql.types import BooleanType, StringType
 
 # Send this function to the executors with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -42,15 +41,24 @@ def first_error(patterns: pa.Array) -> pa.Array:
     return pa.array([_pattern_error(row or []) for row in patterns.to_pylist()], pa.string())
 
 
-@lru_cache(maxsize=10_000)
+#: Compiled patterns of a worker.  A plain dict, as a decorated function would
+#: be sent by its name and not be found where the package is not installed.
+_known: dict[str, re.Pattern | None] = {}
+MOST_KNOWN = 10_000
+
+
 def _compiled(pattern: str) -> re.Pattern | None:
-    try:
-        return re.compile(pattern)
-    except re.error:
-        return None
+    if pattern not in _known:
+        if len(_known) >= MOST_KNOWN:
+            _known.clear()
+        try:
+            _known[pattern] = re.compile(pattern)
+        except re.error:
+            _known[pattern] = None
+    return _known[pattern]
 
 
-def _hit(pattern: str | None, text: str | None) -> bool:
+def hit(pattern: str | None, text: str | None) -> bool:
     found = None if pattern is None or text is None else _compiled(pattern)
     return bool(found and found.search(text))
 
@@ -58,29 +66,17 @@ def _hit(pattern: str | None, text: str | None) -> bool:
 @arrow_udf(BooleanType())
 def pattern_hit(texts: pa.Array, patterns: pa.Array) -> pa.Array:
     """Whether the pattern of a row is found in its text; false without either."""
-    return pa.array([_hit(p, t) for t, p in zip(texts.to_pylist(), patterns.to_pylist())], pa.bool_())
+    return pa.array([hit(p, t) for t, p in zip(texts.to_pylist(), patterns.to_pylist())], pa.bool_())
 
 
 @arrow_udf(BooleanType())
 def any_pattern_hit(texts: pa.Array, patterns: pa.Array) -> pa.Array:
     """Whether one of the patterns of a row is found in its text."""
     return pa.array(
-        [any(_hit(p, t) for p in ps or []) for t, ps in zip(texts.to_pylist(), patterns.to_pylist())], pa.bool_()
+        [any(hit(p, t) for p in ps or []) for t, ps in zip(texts.to_pylist(), patterns.to_pylist())], pa.bool_()
     )
 
 
-def _class_hit(pattern: str | None, classes: list[str] | None) -> bool:
+def class_hit(pattern: str | None, classes: list[str] | None) -> bool:
     """A hit in one class name or in all of them side by side."""
-    return bool(classes) and (any(_hit(pattern, c) for c in classes) or _hit(pattern, " ".join(classes)))
-
-
-@arrow_udf(ArrayType(BooleanType()))
-def class_hits(tags: pa.Array, patterns: pa.Array) -> pa.Array:
-    """For each list of class names of a row, whether the row's pattern is found."""
-    return pa.array(
-        [
-            None if row is None else [_class_hit(pattern, classes) for classes in row]
-            for row, pattern in zip(tags.to_pylist(), patterns.to_pylist())
-        ],
-        pa.list_(pa.bool_()),
-    )
+    return bool(classes) and (any(hit(pattern, c) for c in classes) or hit(pattern, " ".join(classes)))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import class_hits
 from ..functions.urls import (
     canonical_link,
     excluded_link,
@@ -25,27 +24,35 @@ def site_listings(sites: DataFrame) -> DataFrame:
     return pages.select("domain", "page", listing_url(F.col("domain"), F.col("page")).alias("url"))
 
 
+def own_links(hrefs: DataFrame) -> DataFrame:
+    """``domain, url``, distinct, of the wanted hrefs (``domain, page, href``) that stay on their site.
+
+    Repeats are dropped map-side before the one shuffle, so a link that is on
+    every page costs no more than a rare one.
+    """
+    href, own = F.col("href"), F.col("domain")
+    kept = hrefs.where(~points_to_listing(href, listing_path(own, F.col("page"))) & ~off_domain(href, own))
+    return (
+        kept.select("domain", canonical_link(href, own).alias("url"))
+        .where(F.col("url").isNotNull())
+        .dropDuplicates(["domain", "url"])
+    )
+
+
 def canonical_links(hrefs: DataFrame, rules: DataFrame) -> DataFrame:
     """``domain, url``, distinct.
 
     ``hrefs`` is ``domain, page, href``; ``rules`` has ``domain, url_filter,
-    url_exclusion``.  Repeats are dropped map-side before the one shuffle, so
-    a link that is on every page costs no more than a rare one.
+    url_exclusion``.
     """
-    href, own = F.col("href"), F.col("domain")
+    href = F.col("href")
     ruled = hrefs.join(
         broadcast_if_small(rules.select("domain", "url_filter", "url_exclusion"), "domain"), "domain"
     )
-    kept = ruled.where(
-        wanted_link(href, F.col("url_filter"))
-        & ~excluded_link(href, F.col("url_exclusion"))
-        & ~points_to_listing(href, listing_path(own, F.col("page")))
-        & ~off_domain(href, own)
-    )
-    return (
-        kept.select("domain", canonical_link(href, own).alias("url"))
-        .where(F.col("url").isNotNull())
-        .dropDuplicates(["domain", "url"])
+    return own_links(
+        ruled.where(wanted_link(href, F.col("url_filter")) & ~excluded_link(href, F.col("url_exclusion"))).select(
+            "domain", "page", "href"
+        )
     )
 
 
@@ -67,13 +74,11 @@ def next_page_href(tags: Column, rule: Column) -> Column:
     """The raw next-page link of a listing; NULL when there is none.
 
     ``tags`` is the array of parsed tags with ``name, classes, href, label,
-    strings, values``.  Three tries: anchors by class (the last one that says
+    strings, values, hit``, the last by ``rule``.  Three tries: anchors by class (the last one that says
     next or more; if anchors match but none says so, there is no link),
     anchors by aria-label, any tag by class with a ``?`` in a string attribute.
     """
-    marked = F.arrays_zip(tags.alias("tag"), class_hits(tags["classes"], rule).alias("hit"))
-    hit = F.filter(marked, lambda m: (m["tag"]["name"] == "a") & m["hit"])
-    by_class = F.transform(hit, lambda m: m["tag"])
+    by_class = F.filter(tags, lambda t: (t["name"] == "a") & t["hit"])
     says_next = F.filter(by_class, lambda t: _any_word(t["values"], "next", "more"))
     by_label = F.filter(tags, lambda t: (t["name"] == "a") & (t["label"] == rule))
     exact = F.filter(tags, lambda t: _class_equals(t["classes"], rule))
@@ -86,13 +91,12 @@ def next_page_href(tags: Column, rule: Column) -> Column:
     )
 
 
-def next_pages(listings: DataFrame, rules: DataFrame) -> DataFrame:
+def next_pages(listings: DataFrame) -> DataFrame:
     """``domain, page, next_href, next_url`` for listings with a next page.
 
-    ``listings`` is ``domain, page, tags``.
+    ``listings`` is ``domain, page, pagin_filter, tags``.
     """
-    ruled = listings.join(broadcast_if_small(rules.select("domain", "pagin_filter"), "domain"), "domain")
-    linked = ruled.select(
+    linked = listings.select(
         "domain", "page", next_page_href(F.col("tags"), F.col("pagin_filter")).alias("next_href")
     ).where(F.length("next_href") > 0)
     listing = listing_path(F.col("domain"), F.col("page"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.markup import page_hrefs, page_tags
+from ..functions.markup import page_tags, wanted_hrefs
 from ..functions.patterns import first_error
 from ..operators.frontier import new_links
-from ..operators.links import canonical_links, next_pages
+from ..operators.links import next_pages, own_links
 from ..operators.sizing import broadcast_if_small
 from ..session import cut_lineage
 
@@ -24,18 +24,27 @@ def sound_rules(rules: DataFrame) -> DataFrame:
     return judged_rules(rules).where(F.col("error").isNull()).drop("error")
 
 
+def ruled_listings(pages: DataFrame, listings: DataFrame, rules: DataFrame, *patterns: str) -> DataFrame:
+    """``domain, page, html`` of the landed listing pages, with the named patterns of their site.
+
+    Rules are judged once per site and written.  Pages meet the listing urls
+    where they are read, when that list is small; no html is shuffled then.
+    """
+    sound = cut_lineage(sound_rules(rules).select("domain", *patterns))
+    ruled = listings.select("domain", "page", "url").join(broadcast_if_small(sound, "domain"), "domain")
+    landed = pages.select("url", "html").join(broadcast_if_small(ruled, "url"), "url")
+    return landed.select("domain", "page", *patterns, "html")
+
+
 def found_links(pages: DataFrame, listings: DataFrame, rules: DataFrame) -> DataFrame:
     """``domain, url``, distinct, over the landed listing pages.
 
-    ``listings`` is ``domain, page, url``.  Pages meet the listing urls where
-    they are read, when that list is small; no html is shuffled then.
+    ``listings`` is ``domain, page, url``.  The patterns of a site are run
+    inside the parse: only hrefs that they let through leave it.
     """
-    landed = pages.select("url", "html").join(
-        broadcast_if_small(listings.select("domain", "page", "url"), "url"), "url"
-    )
-    parsed = landed.select("domain", "page", page_hrefs("html").alias("hrefs"))
-    hrefs = parsed.select("domain", "page", F.explode("hrefs").alias("href"))
-    return canonical_links(hrefs, sound_rules(rules))
+    ruled = ruled_listings(pages, listings, rules, "url_filter", "url_exclusion")
+    hrefs = ruled.select("domain", "page", F.explode(wanted_hrefs("html", "url_filter", "url_exclusion")).alias("href"))
+    return own_links(hrefs)
 
 
 def discover(
@@ -92,7 +101,5 @@ def discover_errors(pages: DataFrame, listings: DataFrame, rules: DataFrame) ->
 
 def listing_next_pages(pages: DataFrame, listings: DataFrame, rules: DataFrame) -> DataFrame:
     """``domain, page, next_href, next_url`` of the landed listing pages."""
-    landed = pages.select("url", "html").join(
-        broadcast_if_small(listings.select("domain", "page", "url"), "url"), "url"
-    )
-    return next_pages(landed.select("domain", "page", page_tags("html").alias("tags")), sound_rules(rules))
+    ruled = ruled_listings(pages, listings, rules, "pagin_filter")
+    return next_pages(ruled.select("domain", "page", "pagin_filter", page_tags("html", "pagin_filter").alias("tags")))

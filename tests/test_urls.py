@@ -123,12 +123,54 @@ def test_found_links_and_errors(spark, rows):
     assert rows(discover.discover(pages, listings, rules, none, none, none)) == [("https://a.com/1",)]
 
 
-def test_udf_code_travels_with_the_job():
-    """Executors have no copy of the package; the UDF modules go by value."""
+BARE = """
+import pickle, sys
+assert not any("broadsheet" in m for m in sys.modules)
+try:
+    import broadsheet
+    raise SystemExit("the package is there")
+except ModuleNotFoundError:
+    pass
+import pyarrow as pa
+for name, args, wanted in pickle.load(sys.stdin.buffer):
+    found = pickle.loads(name)(*[pa.array(*a) for a in args]).to_pylist()
+    assert found == wanted, found
+"""
+
+
+def test_udf_code_runs_where_the_package_is_not(tmp_path):
+    """Functions are sent by value; a process without the package can run them."""
+    import pickle
+    import subprocess
+    import sys
+
     from pyspark import cloudpickle
 
-    sent = cloudpickle.cloudpickle.list_registry_pickle_by_value()
-    assert {"broadsheet.functions.markup", "broadsheet.functions.patterns"} <= sent
+    from broadsheet.functions import markup as m
+    from broadsheet.functions import patterns as p
+
+    html = '<a class="pg next" href="/a?x">n</a><a href="/b">m</a><article class="k">' + "<p>t</p>" * 2 + "</article>"
+    assert p.hit("^/a", "/a")  # a filled cache travels too
+    calls = [
+        (p.pattern_hit.func, [(["/a", None],), (["^/a", "x"],)], [True, False]),
+        (p.any_pattern_hit.func, [(["/a"],), ([["b", "a"]],)], [True]),
+        (p.first_error.func, [([["("], ["a"]],)], ["bad pattern '(': missing ), unterminated subpattern at position 0", None]),
+        (m.wanted_hrefs.func, [([html],), (["^/"],), ([["b$"]],)], [["/a?x"]]),
+        (m.page_hrefs.func, [([html],)], [["/a?x", "/b"]]),
+    ]
+    sent = [(cloudpickle.dumps(f), args, wanted) for f, args, wanted in calls]
+    for f in (m.page_tags.func, m.article_container.func):
+        sent.append((cloudpickle.dumps(f), [([html],), (["zz"],)], f(*[__import__("pyarrow").array(x) for x in ([html], ["zz"])]).to_pylist()))
+    done = subprocess.run([sys.executable, "-c", BARE], input=pickle.dumps(sent), cwd=tmp_path, env={}, capture_output=True)
+    assert done.returncode == 0, done.stderr.decode()[-800:]
+
+
+def test_links_take_one_python_node(spark):
+    pages = spark.createDataFrame([("https://www.a.com", '<a href="/1">x</a>')], "url string, html string")
+    listings = spark.createDataFrame([("a.com", "/", "https://www.a.com")], "domain string, page string, url string")
+    rules = spark.createDataFrame([("a.com", "/", ["x"], "pg")], RULES_SCHEMA)
+    for found in (discover.found_links(pages, listings, rules), discover.listing_next_pages(pages, listings, rules)):
+        assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
 
 
 BAD = ["[", "(?P<n>/x", "(?P<n>/x)(?P<n>/y)"]
