@@ -13,12 +13,19 @@ from ..plans.ingest import page_outcomes
 from ..schemas import PAGES
 from ..session import cut_lineage
 
-OUTCOME_SCHEMA = "url string, status string, reason string, scrape_date date, content string, batch bigint"
+OUTCOMES = "url string, status string, reason string, scrape_date date, content string"
+OUTCOME_SCHEMA = f"{OUTCOMES}, batch bigint, bucket int"
+#: Folders by url hash inside a batch.  A batch reads the urls of its own folders only.
+BUCKETS = 64
+
+
+def bucket_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(BUCKETS)).cast("int")
 
 
 def read_outcomes(spark: SparkSession, root: str) -> DataFrame:
     """One row per url: the outcome that settled it, else its last failed fetch."""
-    outcomes = spark.read.schema(OUTCOME_SCHEMA).parquet(f"{root}/outcomes")
+    outcomes = spark.read.schema(OUTCOME_SCHEMA).parquet(f"{root}/outcomes").drop("bucket")
     failed = F.col("status") == FETCH_ERROR
     settled = outcomes.where(~failed)
     # Failed fetches have no text, so only urls, dates and reasons move here.
@@ -33,6 +40,16 @@ def read_outcomes(spark: SparkSession, root: str) -> DataFrame:
     return settled.unionByName(last)
 
 
+def settled_before(spark: SparkSession, root: str, batch_id: int, outcomes: DataFrame) -> DataFrame:
+    """Urls that earlier batches settled, from the folders that urls of ``outcomes`` fall into."""
+    folders = [r["bucket"] for r in outcomes.select(bucket_of(F.col("url")).alias("bucket")).distinct().collect()]
+    written = spark.read.schema(OUTCOME_SCHEMA).parquet(f"{root}/outcomes")
+    # A failed fetch settles nothing: its url is read again when it lands.
+    return written.where(
+        F.col("bucket").isin(folders) & (F.col("batch") < batch_id) & (F.col("status") != FETCH_ERROR)
+    ).select("url")
+
+
 def ingest_new_pages(
     spark: SparkSession,
     landing: str,
@@ -46,24 +63,20 @@ def ingest_new_pages(
     """Settle every page file that landed since the last run, then stop.
 
     Each micro-batch writes a folder of its own, so a replay after a failure
-    overwrites the same folder and leaves no double rows.  A url that an
-    earlier batch stored or rejected is skipped; one that failed to fetch is
+    overwrites the same folder and leaves no double rows.  Outcomes lie by url
+    hash, so what a batch reads of earlier ones grows with the batch.  A url that
+    an earlier batch stored or rejected is skipped; one that failed to fetch is
     read again.  Progress is kept under ``root``.
     """
     day = F.current_date() if scrape_date is None else scrape_date
     # An empty first folder, so that the first batch has something to read.
-    spark.createDataFrame([], OUTCOME_SCHEMA.replace(", batch bigint", "")).write.mode("ignore").parquet(
-        f"{root}/outcomes/batch=-1"
-    )
+    spark.createDataFrame([], OUTCOMES).write.mode("ignore").parquet(f"{root}/outcomes/batch=-1/bucket=-1")
 
     def settle(batch: DataFrame, batch_id: int) -> None:
         outcomes = cut_lineage(page_outcomes(batch, sites, day, stop_words))
-        # A failed fetch settles nothing: its url is read again when it lands.
-        written = spark.read.schema(OUTCOME_SCHEMA).parquet(f"{root}/outcomes")
-        earlier = written.where((F.col("batch") < batch_id) & (F.col("status") != FETCH_ERROR))
-        without_stored(outcomes, earlier).write.mode("overwrite").parquet(
-            f"{root}/outcomes/batch={batch_id}"
-        )
+        new = without_stored(outcomes, settled_before(spark, root, batch_id, outcomes))
+        dealt = new.withColumn("bucket", bucket_of(F.col("url"))).repartition("bucket")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/outcomes/batch={batch_id}")
 
     landed = (
         spark.readStream.schema(PAGES)

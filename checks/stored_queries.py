@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from broadsheet.operators import postings, queue_log
-from broadsheet.plans import run
+from broadsheet.plans import categories, report_state, run
 from broadsheet.session import cut_lineage, shared_dir
 from broadsheet.sources import buckets, runs
 from broadsheet.sources import documents as landed
@@ -144,4 +144,32 @@ def run_frontier(spark, sf_dir):
     return run.stored(spark, _run(spark, sf_dir), "frontier")
 
 
+# -- reports from stored sums ------------------------------------------------
+
+
+def _state(spark, sf_dir):
+    """Sums of the corpus, added in two calls; the second finds half of the days new, a third none."""
+    root = _root(spark, "state")
+    articles, dictionary = fx.articles(spark, sf_dir), fx.dictionary(spark)
+    early = articles.where(F.dayofmonth("scrape_date") <= 15)
+    for part in (early, articles, articles.select("url", "scrape_date", F.lit("tion").alias("content"))):
+        report_state.add_days(spark, root, part, dictionary)
+    return root
+
+
+@_register
+def state_categories_by_date(spark, sf_dir):
+    return categories.categories_by_date(report_state.stored_cube(spark, _state(spark, sf_dir)))
+
+
+@_register
+def state_categories_by_domain(spark, sf_dir):
+    return categories.categories_by_domain(report_state.stored_cube(spark, _state(spark, sf_dir)))
+
+
+@_register
+def state_top_keywords(spark, sf_dir):
+    return report_state.stored_keyword_totals(spark, _state(spark, sf_dir), fx.dictionary(spark))
+
+
 __all__ = ["QUERIES"]

@@ -140,3 +140,56 @@ def test_stored_urls_stay_in_their_buckets(spark, tmp_path, rows):
     plan = new._jdf.queryExecution().executedPlan().toString()
     # One Exchange, of the found links; none between a stored scan and its join.
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("SelectedBucketsCount: 8 out of 8") == 2
+
+
+def test_second_day_adds_to_the_stored_sums(spark, tmp_path, rows):
+    import datetime
+
+    from broadsheet.operators.labelling import label_articles
+    from broadsheet.plans import categories, keywords, report_state
+
+    day = lambda d: datetime.date(2024, 1, d) if d else None
+    made = [(f"https://a{i % 3}.com/{i}", day(i % 4), ["tion tion", "on in x", "mit", ""][i % 4 if i % 5 else 3]) for i in range(40)]
+    articles = spark.createDataFrame(made, ARTICLES)
+    dictionary = spark.createDataFrame([("tion", "A", 1), ("on in", "B", 2), ("no no", "B", 3), ("zz", "C", 4)], "keyword string, category string, load_pos long")
+    root = str(tmp_path)
+    parts = [F.col("scrape_date") == day(1), F.coalesce(F.col("scrape_date") <= day(2), F.lit(False)), F.lit(True)]
+    assert [report_state.add_days(spark, root, articles.where(p), dictionary) for p in parts] == [1, 1, 2]
+    again = articles.withColumn("content", F.lit("tion tion tion"))
+    assert report_state.add_days(spark, root, again, dictionary) == 0
+    cube = categories.category_cube(label_articles(articles, dictionary))
+    assert rows(categories.categories_by_date(report_state.stored_cube(spark, root))) == rows(categories.categories_by_date(cube))
+    assert rows(categories.category_totals(report_state.stored_cube(spark, root))) == rows(categories.category_totals(cube))
+    assert rows(report_state.stored_keyword_totals(spark, root, dictionary)) == rows(keywords.keyword_totals(articles, dictionary))
+
+
+def test_added_days_read_their_folders_only(spark, tmp_path):
+    from broadsheet.plans import report_state
+    from broadsheet.sources import tables
+
+    articles = articles_of(spark, ["tion"] * 12)
+    dictionary = spark.createDataFrame([("tion", "A", 1)], "keyword string, category string, load_pos long")
+    tables.append_rows(articles.where("scrape_date = '2024-01-01'"), f"{tmp_path}/t", "articles")
+    stored = tables.read_table(spark, f"{tmp_path}/t", "articles")
+    assert report_state.add_days(spark, f"{tmp_path}/s", stored, dictionary) == 1
+    tables.append_rows(articles.where("scrape_date = '2024-01-02'"), f"{tmp_path}/t", "articles")
+    stored = tables.read_table(spark, f"{tmp_path}/t", "articles")
+    days = report_state.new_days(spark, f"{tmp_path}/s", stored)
+    assert "content" not in days._jdf.queryExecution().executedPlan().toString()
+    assert [str(r[0]) for r in days.collect()] == ["2024-01-02"]
+
+
+def test_a_batch_reads_the_folders_of_its_urls(spark, tmp_path):
+    from broadsheet.streaming import incremental
+
+    root = str(tmp_path)
+    old = spark.createDataFrame([(f"u{i}", "stored" if i % 2 else "fetch_error") for i in range(200)], "url string, status string")
+    old = old.withColumns({c: F.lit(None).cast(t) for c, t in (("reason", "string"), ("scrape_date", "date"), ("content", "string"))})
+    old.withColumn("bucket", incremental.bucket_of(F.col("url"))).write.partitionBy("bucket").parquet(f"{root}/outcomes/batch=0")
+    now = spark.createDataFrame([("u1",), ("u2",), ("new",)], "url string")
+    found = incremental.settled_before(spark, root, 1, now)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket[^\]]* IN ", plan)
+    folders = {r[0] for r in now.select(incremental.bucket_of(F.col("url"))).collect()}
+    got = {r["url"] for r in found.collect()}
+    assert "u1" in got and "u2" not in got and len(got) <= 200 * len(folders) / incremental.BUCKETS * 4
