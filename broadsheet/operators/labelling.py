@@ -83,17 +83,31 @@ def label_articles(
     """
     if zero_hit not in ("first", "null"):
         raise ValueError("zero_hit is 'first' or 'null'")
+    rows = rows_if_at_most(dictionary.select("keyword", "category", "load_pos"), INLINE_WORDS + INLINE_PHRASES) if inline else None
+    if rows is not None:
+        rows = [r for r in rows if r["keyword"] and r["category"] is not None]
+        words, phrases = split_terms({r["keyword"] for r in rows})
+        order = listed_order(rows)
+        if len(words) <= INLINE_WORDS and len(phrases) <= INLINE_PHRASES and len(order) <= INLINE_CATEGORIES:
+            return _label_in_place(articles, rows, order, zero_hit)
     terms = cut_lineage(usable_terms(dictionary))
     ranks = cut_lineage(ranked_categories(terms))
-    rows = rows_if_at_most(terms, INLINE_WORDS + INLINE_PHRASES) if inline else None
-    if rows is not None:
-        words, phrases = split_terms({row["keyword"] for row in rows})
-        order = rows_if_at_most(ranks, INLINE_CATEGORIES)
-        if len(words) <= INLINE_WORDS and len(phrases) <= INLINE_PHRASES and order is not None:
-            return _label_in_place(articles, rows, [r["category"] for r in sorted(order, key=lambda r: r["rank"])], zero_hit)
     return _label_by_grouping(articles, terms, ranks, zero_hit)
 
 
+def listed_order(rows: list[Row]) -> list[str]:
+    """The categories of a small dictionary by rank, as ``ranked_categories`` has them."""
+
+    def key(category: str) -> tuple:
+        own = [r for r in rows if r["category"] == category]
+        places = lambda found: [r["load_pos"] for r in found if r["load_pos"] is not None]
+        phrases = [r for r in own if " " in r["keyword"]]
+        first = min(places(phrases) or places(own), default=None)
+        return not phrases, first is None, first or 0, category.encode()
+
+    return sorted({r["category"] for r in rows}, key=key)
+
+
 def _label_in_place(articles: DataFrame, terms: list[Row], order: list[str], zero_hit: str) -> DataFrame:
     """The label as a column of the scan: no join, no shuffle."""
     if not terms:
@@ -107,7 +121,7 @@ def _label_in_place(articles: DataFrame, terms: list[Row], order: list[str], zer
     )
 
     def score(category: str) -> Column:
-        own = [row["keyword"] for row in terms if row["category"] == category]
+        own = sorted({row["keyword"] for row in terms if row["category"] == category})
         own_words, own_phrases = split_terms(own)
         total = F.lit(0).cast("long")
         if own_words:

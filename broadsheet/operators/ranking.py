@@ -130,7 +130,7 @@ def _numbered_by_key(
     whole = [F.col(c) for c in df.columns]
     if not rows:
         return placed.select(*whole, F.col("_place").alias(into), *([F.col("_previous").alias(previous[1])] if previous else []))
-    handed = StructType().add("_range", "int").add("_shift", "long").add("_before", kind)
+    handed = StructType().add("_range", IntegerType()).add("_shift", LongType()).add("_before", kind)
     shifted = placed.join(F.broadcast(df.sparkSession.createDataFrame(rows, handed)), "_range", "left")
     opens = F.col("_group") == 0
     numbered = F.col("_place") + F.when(opens, F.coalesce("_shift", F.lit(0))).otherwise(0)

@@ -32,11 +32,18 @@ def keyword_series(by_date: DataFrame, kw_1: str, kw_2: str | None = None) -> Da
     )
 
 
+OTHER = "other"
+
+
 def domain_matrix(by_domain: DataFrame, categories: Sequence[str]) -> DataFrame:
-    """One row per domain, one column per category, zeros filled in."""
+    """One row per domain, one column per category and ``other`` for all else, zeros filled in."""
+    if OTHER in categories:
+        raise ValueError(f"{OTHER!r} is the column of what is not listed")
+    listed = F.coalesce(F.col("category").isin(list(categories)), F.lit(False))
     return (
-        by_domain.groupBy("domain")
-        .pivot("category", list(categories))
+        by_domain.withColumn("category", F.when(listed, F.col("category")).otherwise(OTHER))
+        .groupBy("domain")
+        .pivot("category", [*categories, OTHER])
         .agg(F.sum("count"))
         .na.fill(0)
         .orderBy("domain")

@@ -21,16 +21,6 @@ EXTRA_NAMES = [
 NO_ISO3 = "NULL"
 
 
-def locale_codes(spark: SparkSession) -> DataFrame:
-    """``pos, iso2, name, iso3`` for all countries the Java locale data knows."""
-    locale = spark.sparkContext._jvm.java.util.Locale
-    rows = []
-    for pos, iso2 in enumerate(locale.getISOCountries()):
-        place = locale("", iso2)
-        rows.append((pos, iso2, place.getDisplayCountry(locale.ENGLISH), place.getISO3Country()))
-    return spark.createDataFrame(rows, "pos int, iso2 string, name string, iso3 string")
-
-
 def alias_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ALIASES, "alias string, name string")
 
@@ -61,9 +51,9 @@ def build_gazetteer(names: DataFrame, iso3_codes: DataFrame, aliases: DataFrame,
     )
 
 
-def world_gazetteer(spark: SparkSession) -> DataFrame:
-    """The gazetteer over the Java locale data with the fixed aliases."""
-    codes = locale_codes(spark)
+def world_gazetteer(codes: DataFrame) -> DataFrame:
+    """The gazetteer over a table ``pos, iso2, name, iso3`` of all countries, with the fixed aliases."""
+    spark = codes.sparkSession
     return build_gazetteer(
         codes.select("pos", "iso2", "name"),
         codes.select("iso2", "iso3"),

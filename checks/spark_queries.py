@@ -167,7 +167,7 @@ def category_share(spark, sf_dir):
 
 @_register
 def domain_category_pivot(spark, sf_dir):
-    names = sorted({category for _, category, _ in fx.DICTIONARY})
+    names = sorted({category for _, category, _ in fx.DICTIONARY} - {"dome"})
     return charts.domain_matrix(categories.categories_by_domain(_cube(spark, sf_dir)), names)
 
 
@@ -226,6 +226,15 @@ def country_mentions_per_name(spark, sf_dir):
     )
 
 
+@_register
+def vocabulary_countries(spark, sf_dir):
+    """Mentions of as many names as the benchmark has words and pairs, by the joined plan."""
+    listed = fx.benchmark_dictionary(spark, sf_dir).select(
+        F.col("keyword").alias("name"), F.lit(None).cast("string").alias("iso2"), F.upper("category").alias("iso3"), F.lit(None).cast("string").alias("canonical")
+    )
+    return countries.country_mentions(fx.articles(spark, sf_dir, "content"), listed, per_name=True)
+
+
 @_register
 def iso3_heat(spark, sf_dir):
     return charts.iso3_heat(country_mentions(spark, sf_dir))
