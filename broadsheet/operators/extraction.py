@@ -22,6 +22,9 @@ TOO_FEW = "The content of the requested <div> was not worth saving (too few para
 NO_RULE = "no site rule"
 NOT_FETCHED = "fetch error"
 
+#: Column of landed pages that tells their rows apart: file and row in it.
+PLACE = "landing_place"
+
 STORED, REJECTED, FETCH_ERROR = "stored", "rejected", "fetch_error"
 
 
@@ -29,27 +32,34 @@ def first_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The page that settles each url, and the urls whose page is there in exact copies.
 
     A page with html comes before one without, then the lowest ``page_id``
-    counts, then a hash of the html.  Ids may start anew in every landed
-    file, so a page is known by url and id together.  Repeats are found over
-    urls, ids and hashes; only the choices meet the pages, where they are
-    read, so no html is shuffled.  The first result still holds every copy
-    of the urls in the second.
+    counts, then the place in the landed files (``landing_place``, where the
+    pages were read with it), then a hash of the html.  Ids may start anew in
+    every landed file, so a page is known by url and id together.  Urls that
+    repeat are found without reading html; only theirs is looked at, and only
+    the choices meet the pages, where they are read, so no html is shuffled.
+    The first result still holds every copy of the urls in the second.
     """
-    this = F.struct(F.col("html").isNull().alias("unread"), F.col("page_id").alias("id"), F.xxhash64("html").alias("hash"))
-    ids = pages.select("url", this.alias("_this"))
-    repeated = (
-        ids.groupBy("url", "_this")
+    columns = [c for c in pages.columns if c != PLACE]
+    several = cut_lineage(pages.groupBy("url").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select(F.col("url").alias("_url")))
+    none = several.select(F.col("_url").alias("url"))
+    if several.isEmpty():
+        return pages.select(*columns), none
+    own = F.col("url").eqNullSafe(F.col("_url"))
+    last = F.col(PLACE) if PLACE in pages.columns else F.xxhash64("html")
+    this = F.struct(F.col("html").isNull().alias("unread"), F.col("page_id").alias("id"), last.alias("last"))
+    choices = cut_lineage(
+        pages.join(broadcast_if_small(several, "_url"), own, "left_semi")
+        .select("url", this.alias("_this"))
+        .groupBy("url", "_this")
         .agg(F.count("*").alias("_copies"))
-        .groupBy("url")
-        .agg(F.min(F.struct("_this", "_copies")).alias("_best"), F.sum("_copies").alias("_rows"))
-        .where(F.col("_rows") > 1)
-        .select(F.col("url").alias("_url"), "_best._this", "_best._copies")
+        .groupBy(F.col("url").alias("_url"))
+        .agg(F.min(F.struct("_this", "_copies")).alias("_best"))
+        .select("_url", "_best._this", "_best._copies")
     )
-    choices = cut_lineage(repeated)
     chosen = (
-        pages.join(broadcast_if_small(choices, "_url"), F.col("url").eqNullSafe(F.col("_url")), "left")
+        pages.join(broadcast_if_small(choices, "_url"), own, "left")
         .where(F.col("_this").isNull() | (F.col("_this") == this))
-        .select(*pages.columns)
+        .select(*columns)
     )
     return chosen, choices.where(F.col("_copies") > 1).select(F.col("_url").alias("url"))
 

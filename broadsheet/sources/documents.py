@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
+from ..schemas import PAGES
 from ..session import spread_small_input
 
 
@@ -44,3 +45,13 @@ def pages(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ("page_id",
     """Landed pages, read with only the columns asked for."""
     landed = spark.read.parquet(f"{sf_dir}/pages.parquet").select(*columns)
     return spread_small_input(landed) if "html" in columns else landed
+
+
+def landed_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Landed page files as ``page_id, url, html, landing_place``.
+
+    The place is the file and the row in it, from the file metadata, so that
+    exact copies of a page differ without a look at their html.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return spark.read.schema(PAGES).parquet(path).select("page_id", "url", "html", place.alias("landing_place"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from broadsheet.functions import formatting
 from broadsheet.functions import text as cleaning
 from broadsheet.operators import extraction
-from broadsheet.plans import charts, keywords, run, statistics
+from broadsheet.plans import charts, ingest, keywords, run, statistics
 from broadsheet.session import cut_lineage
 from broadsheet.sources import documents as landed
 from broadsheet.sources import tables
@@ -39,6 +39,16 @@ def extract_odd_pages(spark, sf_dir):
     return extraction.extract_articles(*_odd_pages(spark, sf_dir))
 
 
+@_register
+def landed_copies(spark, sf_dir):
+    """All pages landed three times, told apart by file and row; one outcome per url, no hash of html."""
+    root = _root(spark, "landed")
+    for _ in range(3):
+        landed.pages(spark, sf_dir).write.mode("append").parquet(root)
+    day = F.lit("2024-02-01").cast("date")
+    return ingest.page_outcomes(landed.landed_pages(spark, root), fx.sites(spark, sf_dir), day, fx.STOP_WORDS)
+
+
 # -- stored files ------------------------------------------------------------
 
 
