@@ -44,7 +44,8 @@ MIN_CONSTANT = 0.75
 FIELD = "<*>"
 
 KEYS = ("_no_id", "_id", "_hash")
-VARIANT = ("_leaf", "_line1", "_line2")
+#: A masked line by two hashes: of what leads to its leaf, and of all of it.
+VARIANT = ("_leaf", "_line1")
 
 
 def _keys(doc_id: str, text: str) -> list[Column]:
@@ -83,7 +84,6 @@ def _parsed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         .withColumn("_tokens", spaces + 1)
         .withColumn("_leaf", F.xxhash64("_tokens", F.substring_index("_masked", " ", DEPTH)))
         .withColumn("_line1", F.xxhash64("_masked"))
-        .withColumn("_line2", F.xxhash64(F.lit("line"), F.col("_masked")))
     )
 
 
@@ -101,8 +101,12 @@ TEMPLATE = ("_leaf", "_template1", "_template2")
 
 def generalised(lines: DataFrame, variants: DataFrame) -> DataFrame:
     """Variants and the template of each that has one, as ``VARIANT, _template1, _template2``."""
+    # A template is never in more documents than its whole leaf.
     leaves = written(
-        variants.where(F.col("_tokens") >= MIN_TOKENS).groupBy("_leaf").agg(F.count("*").alias("_variants")).where("_variants > 1"),
+        variants.where(F.col("_tokens") >= MIN_TOKENS)
+        .groupBy("_leaf")
+        .agg(F.count("*").alias("_variants"), F.sum("_documents").alias("_in"))
+        .where((F.col("_variants") > 1) & (F.col("_in") >= MIN_GENERALISED)),
         "lines-leaves",
     )
     wanted = leaves.select("_leaf")
@@ -258,8 +262,9 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
         F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_map"), F.max("_word").alias("_last")
     )
     dense = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda w: F.coalesce(F.element_at("_map", w), F.lit(0)))
-    # The row as one column: whatever its columns are called, none meets the names used here.
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(text).alias("_text"), *_keys(doc_id, text))
+    # Other columns as one: whatever they are called, none meets the names used here.
+    others = F.struct(*[F.col(f"`{c}`") for c in kept if c != text] or [F.lit(None)])
+    keyed = docs.select(others.alias("_row"), F.col(text).alias("_text"), *_keys(doc_id, text))
     joined = keyed.join(
         dropped.select(*[F.col(k).alias(f"_d{k}") for k in KEYS], dense.alias("_dense")),
         [F.col(k) == F.col(f"_d{k}") for k in KEYS],
