@@ -3,9 +3,11 @@
 A page becomes a list of blocks in page order.  A classifier gives every
 block a log-odds of being content: a logistic model of the block's text,
 trained here on a bounded sample of blocks whose place is unmistakable, plus
-the evidence of its markup.  Log-odds become capacities to the two terminals,
-neighbourhood and closeness in the DOM become smoothness edges, and the
-minimum cut, found by maximum flow, separates content from boilerplate.
+the evidence of its markup, summed over the elements around it.  No tag, class
+or attribute decides alone: what a word in a class name says against a block,
+its text and its neighbours may say for it.  Log-odds become capacities to the
+two terminals, neighbourhood and closeness in the DOM become smoothness edges,
+and the minimum cut, found by maximum flow, separates content from boilerplate.
 
 A block is the text between two block-level tags; line breaks are white
 space inside it.  Defined results: a NULL or empty page has an empty text.
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -39,7 +41,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr output q ruby rp rt s "
     "samp small span strike strong sub sup time tt u var wbr".split()
 )
-BOILER_TAGS = frozenset("nav footer aside form button dialog menu fieldset".split())
+BOILER_TAGS = frozenset("nav footer aside button dialog menu fieldset label legend select".split())
 CONTENT_TAGS = frozenset("article main".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -54,25 +56,33 @@ BOILER_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article content entry story post body main text maincontent".split())
 
-#: Log-odds of the markup: inside boilerplate, inside the article, beside an
-#: article, and on a page that marks no article; the last two lose by links.
-BOILER_ODDS, ARTICLE_ODDS, BESIDE_ODDS, OPEN_ODDS = -6.0, 3.0, -2.0, 1.5
+#: Log-odds of a block: in an article, beside one, and on a page that marks no article.
+ARTICLE_ODDS, BESIDE_ODDS, OPEN_ODDS = 3.0, -2.0, 0.5
+#: What elements around it add: a tag of the page's frame, a form, an attribute
+#: that hides, a name made of boilerplate words, and one that has such a word.
+TAG_ODDS, FORM_ODDS, HIDDEN_ODDS, NAME_ODDS, WORD_ODDS = -6.0, -2.5, -5.0, -4.5, -1.5
+LEAST_ODDS = -9.0
+#: Of the best block where all would be boilerplate.
+SOME_ODDS = 1.0
 LINK_ODDS = -4.0
-#: The trained part is kept within this range, so that markup outweighs it.
-TEXT_ODDS = 2.0
-#: Smoothness between neighbours; divided by one more than their steps apart in the DOM.
-NEIGHBOUR, SIBLING = 1.0, 0.5
+#: The trained part is kept within this range.
+TEXT_ODDS = 2.5
+#: Smoothness between neighbours, divided by one more than their steps apart in
+#: the DOM, and between blocks of one parent that follow one another in it.
+NEIGHBOUR, SIBLING = 3.0, 1.5
 #: Pages the classifier is trained on, about; and blocks of one page.
 SAMPLE_PAGES, SAMPLE_BLOCKS = 1_000, 40
 FEATURES = 7
 
+# Quotes count after an equals sign only; without a closing one they are letters.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|"
-    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])[^<>]*\Z",
+    rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+{_VALUE})*+)>""",
     re.DOTALL,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(rf"""([^\s"'>/=]++)(?:\s*+=\s*+({_VALUE}))?+""")
+_CUT_OFF = re.compile(r"<(?=/?[a-zA-Z])")
+_NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -81,10 +91,17 @@ class Element:
     name: str
     parent: int
     depth: int
-    boiler: bool
+    #: The nearest element around a text here that is not inline.
+    container: int
+    #: Evidence of this element and those around it, and whether one of them is the article.
+    odds: float
     content: bool
     unseen: bool
 
+    @property
+    def boiler(self) -> bool:
+        return self.odds <= NAME_ODDS
+
 
 @dataclass
 class Block:
@@ -93,31 +110,50 @@ class Block:
     linked: int
 
 
-def _evidence(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether the tag itself speaks for boilerplate, and for content."""
-    boiler, content = name in BOILER_TAGS, name in CONTENT_TAGS
-    if name in ("body", "html") or boiler or content:
-        return boiler, content
+def attributes_of(source: str) -> dict[str, str]:
+    """Attribute values by lower-case name; the first of a repeated name wins."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(source):
+        if value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1:
+            value = value[1:-1]
+        found.setdefault(name.lower(), value)
+    return found
+
+
+def _evidence(name: str, attributes: dict[str, str]) -> tuple[float, bool]:
+    """Log-odds that the tag itself adds, and whether it marks the article."""
+    odds = 0.0
+    hides = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
+    if hides or _NONE.search(attributes.get("style", "")):
+        odds += HIDDEN_ODDS
+    if name in BOILER_TAGS:
+        return odds + TAG_ODDS, False
+    if name == "form":
+        odds += FORM_ODDS
+    if name in ("body", "html") or name in CONTENT_TAGS:
+        return odds, name in CONTENT_TAGS
     words: set[str] = set()
-    for match in _NAMES.finditer(attributes):
-        value = next(v for v in match.groups() if v is not None)
-        value = re.sub(r"([a-z])([A-Z])", r"\1 \2", value)
-        words.update(_SPLIT.split(value.lower()))
-    bad, good = bool(words & BOILER_WORDS), bool(words & CONTENT_WORDS)
-    if bad and good:
-        # "post-header" belongs to the article; "comment-content" and "ad-text" do not.
-        strong = words & BOILER_WORDS - {"header", "tags", "notice", "related"}
-        return bool(strong) and name != "h1", False
-    return bad, good
+    for key in ("class", "id", "role"):
+        if key in attributes:
+            words.update(_SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", attributes[key]).lower()))
+    words.discard("")
+    bad, good = words & BOILER_WORDS, words & CONTENT_WORDS
+    if good:
+        bad -= {"header", "tags", "notice", "related"}  # "post-header" belongs to the article; "ad-text" does not
+    if not bad:
+        return odds, bool(good)
+    # A name of such words alone says more than one word in another name.
+    return odds + (NAME_ODDS if bad >= words - good else WORD_ODDS), False
 
 
 class Page:
     """Blocks and their elements, from one pass over the tags."""
 
     def __init__(self, html: str):
-        self.elements = [Element("", -1, 0, False, False, False)]
+        self.elements = [Element("", -1, 0, 0, 0.0, False, False)]
         self.blocks: list[Block] = []
         self.stack = [0]
+        self.open: Counter[str] = Counter()
         self.parts: list[str] = []
         self.linked = 0
         self.in_link = 0
@@ -127,15 +163,9 @@ class Page:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.blocks.append(Block(self._container(), text, min(self.linked, len(text))))
+                self.blocks.append(Block(self.elements[self.stack[-1]].container, text, min(self.linked, len(text))))
             self.parts, self.linked = [], 0
 
-    def _container(self) -> int:
-        for at in reversed(self.stack):
-            if self.elements[at].name not in INLINE:
-                return at
-        return 0
-
     def _text(self, raw: str) -> None:
         if raw and not self.elements[self.stack[-1]].unseen:
             text = unescape(raw) if "&" in raw else raw
@@ -144,43 +174,50 @@ class Page:
                 self.linked += len(text)
 
     def _close(self, name: str) -> None:
-        for at in range(len(self.stack) - 1, 0, -1):
-            if self.elements[self.stack[at]].name == name:
-                for gone in self.stack[at:]:
-                    self.in_link -= self.elements[gone].name == "a"
-                del self.stack[at:]
+        """Close the nearest open tag of that name, and what is open in it."""
+        if not self.open[name]:
+            return
+        while True:
+            gone = self.elements[self.stack.pop()].name
+            self.open[gone] -= 1
+            self.in_link -= gone == "a"
+            if gone == name:
                 return
 
-    def _open(self, name: str, attributes: str) -> None:
-        if name in CLOSES_P and any(self.elements[at].name == "p" for at in self.stack[1:]):
+    def _open(self, name: str, source: str) -> None:
+        if name in CLOSES_P:
             self._close("p")
         elif name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            top = self.elements[self.stack[-1]].name
-            if top == name:
+            if self.elements[self.stack[-1]].name == name:
                 self._close(name)
-        parent = self.elements[self.stack[-1]]
-        boiler, content = _evidence(name, attributes)
-        inside = parent.content and not parent.boiler
-        if name == "header":
-            boiler = boiler or not inside
-        hidden = bool(attributes) and bool(_HIDDEN.search(attributes))
+        at = self.stack[-1]
+        parent = self.elements[at]
+        odds, content = _evidence(name, attributes_of(source) if source else {})
+        if name == "header" and not (parent.content and not parent.boiler):
+            odds += TAG_ODDS
+        around = parent.odds
+        if content and not parent.content and around > NAME_ODDS:
+            around = 0.0  # an article in a form, or in an oddly named box, is an article
+        here = len(self.elements)
         self.elements.append(
             Element(
                 name,
-                self.stack[-1],
+                at,
                 parent.depth + 1,
-                parent.boiler or boiler,
+                parent.container if name in INLINE else here,
+                max(LEAST_ODDS, around + odds),
                 parent.content or content,
-                parent.unseen or name in UNSEEN or hidden,
+                parent.unseen or name in UNSEEN,
             )
         )
-        self.stack.append(len(self.elements) - 1)
+        self.stack.append(here)
+        self.open[name] += 1
         self.in_link += name == "a"
 
     def _read(self, html: str) -> None:
-        at = 0
+        at, end = 0, html.rfind(">") + 1
         while True:
-            match = _TOKEN.search(html, at)
+            match = _TOKEN.search(html, at, end)
             if match is None:
                 break
             self._text(html[at : match.start()])
@@ -195,16 +232,17 @@ class Page:
                 self._text(" ")
                 continue
             if match.group(1):
-                if name == "p" and all(self.elements[i].name != "p" for i in self.stack):
-                    continue
                 self._close(name)
             elif name not in VOID:
                 self._open(name, match.group(3) or "")
                 if name in RAW:
-                    end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(html, at)
-                    at = end.end() if end else len(html)
+                    close = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(html, at)
+                    at = close.end() if close else len(html)
                     self._close(name)
-        self._text(html[at:])
+        rest = html[at:]
+        # A tag that the page breaks off in is no text.
+        cut_off = _CUT_OFF.search(html, max(at, end))
+        self._text(html[at : cut_off.start()] if cut_off else rest)
         self._flush()
 
 
@@ -261,9 +299,9 @@ def train_blocks(pages: DataFrame, html: str = "html", sample_pages: int = SAMPL
                 rows = block_features(page)
                 for block, row in list(zip(page.blocks, rows))[:SAMPLE_BLOCKS]:
                     element = page.elements[block.element]
-                    if element.boiler != element.content:
+                    if element.boiler != (element.content and element.odds == 0.0):
                         features.append(row.tolist())
-                        labels.append(int(element.content))
+                        labels.append(int(not element.boiler))
             if labels:
                 yield {"features": features, "label": labels}
 
@@ -357,23 +395,36 @@ def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[
 
 def main_text(html: str | None, weights: np.ndarray = NEUTRAL) -> tuple[str, int, int]:
     """The content blocks joined by line breaks, and how many blocks of how many they are."""
+    blocks, content = labelled(html, weights)
+    chosen = [block.text for block, inside in zip(blocks, content) if inside]
+    return "\n".join(chosen), len(chosen), len(blocks)
+
+
+def labelled(html: str | None, weights: np.ndarray = NEUTRAL, smooth: bool = True) -> tuple[list[Block], list[bool]]:
+    """The blocks of a page and whether each is content; without ``smooth``, by the sign of its own log-odds."""
     if not html:
-        return "", 0, 0
+        return [], []
     page = Page(html)
     blocks, elements = page.blocks, page.elements
     if not blocks:
-        return "", 0, 0
+        return [], []
     learned = np.clip(block_features(page) @ weights[:-1] + weights[-1], -TEXT_ODDS, TEXT_ODDS)
     marked = any(elements[b.element].content and not elements[b.element].boiler for b in blocks)
     odds = []
     for block, text_odds in zip(blocks, learned.tolist()):
         element = elements[block.element]
-        if element.boiler:
-            odds.append(BOILER_ODDS + text_odds)
-        elif element.content:
-            odds.append(ARTICLE_ODDS + text_odds)
+        odd = element.odds + text_odds
+        if element.content:
+            odd += ARTICLE_ODDS
         else:
-            odds.append((BESIDE_ODDS if marked else OPEN_ODDS) + text_odds + LINK_ODDS * block.linked / len(block.text))
+            odd += (BESIDE_ODDS if marked else OPEN_ODDS) + LINK_ODDS * block.linked / len(block.text)
+        odds.append(odd)
+    free = [i for i, b in enumerate(blocks) if elements[b.element].odds == 0.0]
+    if free and max(odds) <= 0:
+        # A page has a main text: the best block that no markup speaks against is some of it.
+        shift = SOME_ODDS - max(odds[i] for i in free)
+        for i in free:
+            odds[i] += shift
     edges, last_of = [], {}
     for i, block in enumerate(blocks):
         if i:
@@ -382,9 +433,7 @@ def main_text(html: str | None, weights: np.ndarray = NEUTRAL) -> tuple[str, int
         if parent in last_of and last_of[parent] != i - 1:
             edges.append((last_of[parent], i, SIBLING))
         last_of[parent] = i
-    content = minimum_cut(odds, edges)
-    chosen = [block.text for block, inside in zip(blocks, content) if inside]
-    return "\n".join(chosen), len(chosen), len(blocks)
+    return blocks, minimum_cut(odds, edges) if smooth else [odd > 0 for odd in odds]
 
 
 def extract_main_text(pages: DataFrame, html: str = "html", weights: np.ndarray | None = None) -> DataFrame:

@@ -129,6 +129,70 @@ def test_main_text_of_pages(spark):
     assert html_extraction.extract_main_text(frame.limit(0)).count() == 0
 
 
+LONG = "A long paragraph of plain words, as articles have them, that ends with a stop."
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<article><p data-x=it's>One two.</p><p>Three.</p></article>", "One two.\nThree."),
+        ('<article><p title="x>One.</p><p>Two.</p></article>', "One.\nTwo."),
+        ('<article><p>See <a title="The hidden valley" href=x>this</a> now.</p></article>', "See this now."),
+        (f"<body><form id=aspnet><article><p>{LONG}</p></article><label>Name</label></form></body>", LONG),
+        (
+            f'<article><p>{LONG}</p><p class="share-price">Shares rose by ten.</p><div class="related-work"><p>{LONG}</p></div></article>',
+            f"{LONG}\nShares rose by ten.\n{LONG}",
+        ),
+        (f'<article><p>{LONG}</p><div class="share"><a href=x>Tweet</a></div><p hidden>Secret</p></article>', LONG),
+        (f"<article><p>{LONG}</p><p>{LONG}</p></article><p cla", f"{LONG}\n{LONG}"),
+        ("<article><p>a < b and c > d</p></article>", "a < b and c > d"),
+        (f'<article><p onclick="if (a > b) c()">{LONG}</p></article>', LONG),
+    ],
+)
+def test_odd_markup_is_read_and_judged(html, text):
+    assert html_extraction.main_text(html)[0] == text
+
+
+def test_broken_pages_take_no_square_time():
+    import time
+
+    start = time.time()
+    for html in ("<a '" * 250_000, "<a x=\"" * 100_000 + ">", "<div>x" * 50_000, "<b><i>" * 50_000 + "x", "<p>" * 200_000, "</b>" * 200_000):
+        html_extraction.main_text(html)
+    assert time.time() - start < 30
+
+
+def invented_pages(n, seed, marked):
+    """Menus, a notice, paragraphs with a list of short points between them, and a footer; with telling tags or without."""
+    rng = random.Random(seed)
+    nav, aside, article, footer = ("nav", "aside", "article", "footer") if marked else ("div",) * 4
+    sentence = lambda k: " ".join(rng.choice("lorem ipsum dolor sit amet elit sed".split()) for _ in range(k)).capitalize() + "."
+    for _ in range(n):
+        menu = "".join(f'<li><a href="/{k}">{sentence(2)[:-1]}</a></li>' for k in range(6))
+        body = [sentence(rng.randint(12, 40)) for _ in range(rng.randint(4, 9))]
+        points = [f"Point {k} of {rng.randint(10, 99)}" for k in range(rng.randint(1, 3))]
+        text = "".join(f"<p>{b}</p>" for b in body[:2]) + f"<ul>{''.join(f'<li>{x}' for x in points)}</ul>" + "".join(f"<p>{b}</p>" for b in body[2:])
+        html = (
+            f"<{nav}><ul>{menu}</ul></{nav}><{aside}>{sentence(rng.randint(3, 6))}</{aside}><{article}>{text if not marked else ''.join(f'<p>{b}</p>' for b in body)}"
+            f"</{article}><{footer}>&copy; {sentence(3)}</{footer}>"
+        )
+        yield html, {*body, *points}
+
+
+def test_the_cut_mends_what_blocks_alone_get_wrong(spark):
+    """Against the sign of each block's own log-odds, on pages whose markup says nothing."""
+    pages = [(html,) for html, _ in invented_pages(80, 1, True)]
+    weights = html_extraction.train_blocks(spark.createDataFrame(pages, "html string"))
+    wrong, changed = {True: 0, False: 0}, 0
+    for html, body in invented_pages(200, 2, False):
+        by = {}
+        for smooth in wrong:
+            blocks, by[smooth] = html_extraction.labelled(html, weights, smooth)
+            wrong[smooth] += sum((b.text in body) != inside for b, inside in zip(blocks, by[smooth]))
+        changed += by[True] != by[False]
+    assert changed > 50 and wrong[True] < 0.6 * wrong[False], (changed, wrong)
+
+
 # -- scoring -----------------------------------------------------------------
 
 
