@@ -532,3 +532,44 @@ def test_search_is_never_worse_than_best_fit(seed):
     lengths = Counter(min(2048, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(rng.choice([50, 500, 3_000])))
     count = lambda plan: sum(times for *_, times in plan)
     assert count(packing.plan_fillings(lengths)) <= count(packing._planned(lengths, 2048, 0))
+
+
+# -- the solver of the language pairs --------------------------------------------
+
+
+def svm_loss(w, x, y, penalty):
+    """Squared hinge loss with both classes weighing the same, and the ridge."""
+    share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+    return (share * np.maximum(0, 1 - y * (x @ w[:-1] + w[-1])) ** 2).sum() + 0.5 * penalty * w @ w
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_svm_against_a_plain_descent(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(60, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.where(x[:, 0] + 0.4 * rng.normal(size=60) > 0.2, 1.0, -1.0)
+    penalty = 1e-2
+    w = np.zeros(6)
+    for _ in range(20_000):
+        slack = np.maximum(0, 1 - y * (x @ w[:-1] + w[-1]))
+        share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+        w = w - 0.05 * (-2 * np.append((share * slack * y) @ x, (share * slack * y).sum()) + penalty * w)
+    found = language.fit_svm(x, y, penalty, steps=3_000)
+    assert svm_loss(found, x, y, penalty) <= svm_loss(w, x, y, penalty) + 1e-6
+    assert np.allclose(found, w, atol=1e-2)
+
+
+def test_languages_by_votes_of_their_pairs():
+    """Every pair's margin counts one win; the label with most wins is taken."""
+    rng = np.random.default_rng(5)
+    labels = ["a", "b", "c", "d"]
+    model = {("language", a, b): rng.normal(size=4) for a, b in itertools.combinations(labels, 2)}
+    x = rng.normal(size=(200, 3))
+    best, score = language.vote(labels, "language", model, x)
+    for row, at in zip(x, best):
+        wins = Counter()
+        for (_, a, b), w in model.items():
+            wins[b if row @ w[:-1] + w[-1] > 0 else a] += 1
+        assert wins[labels[at]] == max(wins.values())
+    assert ((score >= 0) & (score <= 1)).all()
