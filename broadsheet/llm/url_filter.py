@@ -22,11 +22,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .common import let
+
 #: Bits for each key of a level, and probes for each key.
 BITS_PER_KEY = 12
 PROBES = 6
-#: A cascade larger than this is refused: its bitmaps travel with the tasks.
-MAX_CASCADE_BYTES = 64 * 1024 * 1024
+#: A cascade larger than this, about eleven million keys, is refused: its
+#: bitmaps travel with the tasks, each as one value.
+MAX_CASCADE_BYTES = 16 * 1024 * 1024
 #: More levels than this mean that hashes do not separate the keys.
 MAX_LEVELS = 40
 DEFAULT_VERDICT = "allow"
@@ -37,16 +41,21 @@ class Level:
     """One Bloom filter: 64-bit words, addressed by seeded hashes."""
 
     seed: int
-    words: tuple[int, ...]
+    bits: int
+    #: ``word, set``, written: the words that are not zero.
+    words: DataFrame
+
+    def array(self) -> Column:
+        """All words as one array, by a subquery."""
+        dense = self.words.sparkSession.range(self.bits // 64).join(self.words, F.col("id") == F.col("word"), "left")
+        ordered = F.sort_array(F.collect_list(F.struct("id", F.coalesce("set", F.lit(0)).alias("set"))))
+        return dense.agg(ordered["set"].alias("words")).scalar()
 
-    def holds(self, key: Column) -> Column:
-        bits = len(self.words) * 64
-        words = F.lit(list(self.words)) if self.words else None
+    def holds(self, key: Column, words: Column) -> Column:
         tests = None
         for probe in range(PROBES):
-            at = F.pmod(F.xxhash64(F.lit(self.seed), F.lit(probe), key), F.lit(bits))
-            word = F.element_at(words, (F.shiftright(at, 6) + 1).cast("int"))
-            test = F.getbit(word, (at % 64).cast("int")) == 1
+            at = F.pmod(F.xxhash64(F.lit(self.seed), F.lit(probe), key), F.lit(self.bits))
+            test = F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1
             tests = test if tests is None else tests & test
         return tests
 
@@ -57,16 +66,20 @@ class Cascade:
 
     levels: tuple[Level, ...]
 
-    def member(self, key: Column) -> Column:
+    def arrays(self) -> Column:
+        """The words of all levels, to be selected as one column and used once."""
+        return F.struct(F.lit(0).alias("_"), *[level.array().alias(f"w{i}") for i, level in enumerate(self.levels)])
+
+    def member(self, key: Column, arrays: Column) -> Column:
         """Whether ``key`` is listed: decided by the first level that lacks it."""
         verdict = F.lit(len(self.levels) % 2 == 1)
-        for index in range(len(self.levels) - 1, -1, -1):
-            verdict = F.when(self.levels[index].holds(key), verdict).otherwise(F.lit(index % 2 == 1))
+        for i in range(len(self.levels) - 1, -1, -1):
+            verdict = F.when(self.levels[i].holds(key, arrays[f"w{i}"]), verdict).otherwise(F.lit(i % 2 == 1))
         return verdict
 
     @property
     def bytes(self) -> int:
-        return sum(8 * len(level.words) for level in self.levels)
+        return sum(level.bits // 8 for level in self.levels)
 
 
 def _level(keys: DataFrame, seed: int) -> Level | None:
@@ -84,15 +97,10 @@ def _level(keys: DataFrame, seed: int) -> Level | None:
             )
         ).alias("at")
     )
-    set_words = (
-        positions.groupBy(F.shiftright("at", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set"))
-        .collect()  # at most MAX_CASCADE_BYTES / 8 words
+    words = positions.groupBy(F.shiftright("at", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")
     )
-    words = [0] * (bits // 64)
-    for row in set_words:
-        words[row["word"]] = row["set"]
-    return Level(seed, tuple(words))
+    return Level(seed, bits, cut_lineage(words))
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 0) -> Cascade:
@@ -110,12 +118,12 @@ def build_cascade(listed: DataFrame, universe: DataFrame, seed: int = 0) -> Casc
         if level is None:
             return Cascade(tuple(levels))
         levels.append(level)
-        mistaken = others.where(level.holds(F.col("key")))
+        mistaken = others.where(level.holds(F.col("key"), level.array()))
         if len(levels) == 1:
             mistaken = mistaken.join(inside, "key", "left_anti")
         # A few of many keys; kept, so that no later level repeats the scan.
         holders, others = mistaken.checkpoint(), holders
-        size = sum(8 * len(level.words) for level in levels)
+        size = Cascade(tuple(levels)).bytes
         if size > MAX_CASCADE_BYTES:
             raise ValueError(f"the cascade takes {size} bytes, more than {MAX_CASCADE_BYTES}")
     raise ValueError("the cascade does not end")
@@ -184,10 +192,28 @@ def judge_urls(
     universe = parts.select(F.explode(keys).alias("key")).distinct()
     allowed = build_cascade(listed.where(F.col("verdict") == "allow"), universe, seed=1)
     blocked = build_cascade(listed.where(F.col("verdict") == "block"), universe, seed=1_000_001)
-    fits = F.filter(keys, lambda key: allowed.member(key) | blocked.member(key))
-    return parts.withColumn("rule", F.get(fits, F.lit(0))).withColumn(
-        "verdict",
-        F.when(F.col("rule").isNull(), F.lit(default))
-        .when(allowed.member(F.col("rule")), F.lit("allow"))
-        .otherwise(F.lit("block")),
+
+    # A subquery may not stand inside the expression that uses it; the optimizer
+    # puts it there, so that the words are not copied into the rows.
+    def first_fit(words: Column) -> Column:
+        judged = F.transform(
+            keys,
+            lambda key: F.struct(
+                key.alias("key"),
+                allowed.member(key, words["allowed"]).alias("allow"),
+                blocked.member(key, words["blocked"]).alias("block"),
+            ),
+        )
+        return F.get(F.filter(judged, lambda j: j["allow"] | j["block"]), 0)
+
+    words = F.struct(allowed.arrays().alias("allowed"), blocked.arrays().alias("blocked"))
+    found = parts.withColumn("_words", words).select(
+        *parts.columns, let(F.col("_words"), first_fit).alias("_fit")
+    )
+    return found.select(
+        *kept,
+        "host",
+        "path",
+        F.col("_fit.key").alias("rule"),
+        F.when(F.col("_fit").isNull(), F.lit(default)).when(F.col("_fit.allow"), "allow").otherwise("block").alias("verdict"),
     )
