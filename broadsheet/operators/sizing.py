@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType
 
-# A broadcast slice holds at most this many rows and this many bytes of key
-# text, whatever the table grows to.
+# A broadcast slice holds at most this many rows and this many bytes, whatever
+# the table grows to.
 SLICE_ROWS = 500_000
 SLICE_BYTES = 32 * 1024 * 1024
 
@@ -22,11 +23,22 @@ def rows_if_at_most(df: DataFrame, limit: int) -> list[Row] | None:
     return rows if len(rows) <= limit else None
 
 
+def _bytes(field: StructField) -> Column:
+    """About what one value of a column takes."""
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (StringType, BinaryType)):
+        size = F.octet_length(column)
+    elif isinstance(field.dataType, (ArrayType, MapType, StructType)):
+        size = F.octet_length(F.to_json(F.struct(column)))
+    else:
+        size = F.lit(8)
+    return F.coalesce(size, F.lit(0)).cast("long")
+
+
 def _measure(df: DataFrame, key: str) -> tuple[int, int]:
-    size = df.agg(
-        F.count("*").alias("rows"),
-        F.coalesce(F.sum(F.octet_length(F.col(key).cast("string"))), F.lit(0)).alias("bytes"),
-    ).first()
+    """Rows and bytes of all columns that would travel; ``key`` is one of them."""
+    width = reduce(lambda a, b: a + b, [_bytes(f) for f in df.schema], F.lit(0).cast("long"))
+    size = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
     return size["rows"], size["bytes"]
 
 
@@ -43,19 +55,3 @@ def broadcast_if_small(df: DataFrame, key: str) -> DataFrame:
     partitions of hot keys.
     """
     return F.broadcast(df) if is_small(df, key) else df
-
-
-def broadcast_slices(df: DataFrame, key: str) -> Iterator[DataFrame]:
-    """Disjoint slices of ``df``, each small enough to broadcast.
-
-    The table is measured first.  One slice comes out of any normal
-    dictionary; a larger one gives more slices and the caller unions the
-    per-slice results, so each broadcast keeps its bound.
-    """
-    rows, size = _measure(df, key)
-    slices = max(-(-rows // SLICE_ROWS), -(-size // SLICE_BYTES), 1)
-    if slices == 1:
-        yield df
-        return
-    for index in range(slices):
-        yield df.where(F.pmod(F.xxhash64(key), F.lit(slices)) == index)
