@@ -16,14 +16,20 @@ from broadsheet.operators.sizing import is_small
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or whose language stays unclear, go."""
+    """Documents without letters, or whose language stays unclear, go.
+
+    A NULL text goes; repeated rows and ids are judged each, equal texts alike;
+    an empty table stays empty.
+    """
     return language.keep_identified(docs, document_remainder("doc_id", 3) != 1)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document has go, and documents that have no word left by it.
 
-    ``n_chars`` is the length of the text that stays.
+    ``n_chars`` is the length of the text that stays.  A NULL or empty text and
+    rows without a repeated line pass as they are; of equal lines the smallest
+    id keeps its own, NULL last; an empty table stays empty.
     """
     cut = line_dedup.drop_repeated_lines(docs)
     emptied = (F.col("n_dropped") > 0) & (F.regexp_replace("text", f"{SPACE}+", "") == "")
@@ -46,12 +52,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's target asks for."""
+    """Every document as often as its source's target asks for.
+
+    A NULL text has no words and a NULL source is a source of its own; repeated
+    rows are drawn each, those with one id alike, as the draw is a hash of the
+    id; an empty table stays empty.
+    """
     return mixing.mix_sources(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces in sequences; ``row`` tells the copies of a document apart."""
+    """Places of all pieces in sequences; ``row`` tells the copies of a document apart.
+
+    A NULL text is empty and has the end token alone; rows with equal or NULL
+    ids are packed each; of pieces of one length any may come first; an empty
+    table gives no rows.
+    """
     return packing.pack_documents(docs, **tokenizer_files())
 
 
