@@ -72,6 +72,14 @@ def symbol(word: bytes) -> int:
     return 1 + zlib.crc32(word[-ENDING_BYTES:]) % ENDINGS * KINDS + zlib.crc32(word) % KINDS
 
 
+class Symbols(dict):
+    """Symbols of words, worked out when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = symbol(word)
+        return found
+
+
 def symbol_of(word: str) -> Column:
     """``symbol`` as a column."""
     tail = F.substring(word, -ENDING_BYTES, ENDING_BYTES)
@@ -137,28 +145,30 @@ def write_symbols(docs: DataFrame, learn_from: Column, text: str, vocabulary) ->
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         frequent = vocabulary.value.frequent
         logs = {w: float(np.log10(c + 1.0)) for w, c in frequent.items()}
-        known: dict[bytes, int] = {}
+        known = Symbols()
         row = TaskContext.get().partitionId() << 33
         for columns in batches:
             out: dict[str, list] = {name: [] for name in names[1:-1]}
             rare_words, rare_counts, offsets = [], [], [0]
             for content in columns[text]:
-                counted = Counter(words := lower_words(content))
+                words = lower_words(content)
                 words.append(END)
-                counted[END] += 1
-                for word in counted:
-                    if word not in known:
-                        known[word] = symbol(word)
-                rare = [w for w in counted if w not in logs]
+                sure, parts = 0, []
+                for word, n in Counter(words).items():
+                    log = logs.get(word)
+                    if log is None:
+                        rare_words.append(word)
+                        rare_counts.append(n)
+                    else:
+                        sure += n
+                        parts.append(log * n)
                 row += 1
                 out["symbols"].append(np.fromiter(map(known.__getitem__, words), "<i4", len(words)).tobytes())
                 out["n_tokens"].append(len(words))
-                out["n_known"].append(len(words) - sum(counted[w] for w in rare))
-                # In one order for equal texts, whatever came before in the task.
-                out["log_known"].append(math.fsum(logs[w] * n for w, n in counted.items() if w in logs))
+                out["n_known"].append(sure)
+                # Rounded once, so that equal texts get equal sums.
+                out["log_known"].append(math.fsum(parts))
                 out["row"].append(row)
-                rare_words += rare
-                rare_counts += [counted[w] for w in rare]
                 offsets.append(len(rare_words))
                 if len(known) > KNOWN_WORDS:
                     known.clear()
