@@ -8,7 +8,7 @@ Two plans give the same rows:
 * A larger dictionary is joined by equality.  A phrase is known by the number
   of its tokens, a hash of those inside it and the letters that its first token
   ends and its last begins with.  A text is scanned once, whatever the size of
-  the dictionary: at each of its tokens, the units that a bitmap of the
+  the dictionary, and once more for phrases that may overlap themselves: at each of its tokens, the units that a bitmap of the
   dictionary may hold go on, with the few tokens they are made of, and the join
   checks their letters.  What a scan passes on does not grow with the longest
   phrase, and the texts never move.
@@ -17,8 +17,9 @@ Two plans give the same rows:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.counting import count_bounded_phrase, count_phrase, tokens
@@ -119,33 +120,39 @@ def _literal_hits(
 
 def _joined_hits(articles: DataFrame, terms: DataFrame, keep: Sequence[str], bounded: bool) -> DataFrame:
     lookup = _lookup(terms)
-    # At most one row per token count and pair of anchor lengths.
-    shapes = (
-        lookup.groupBy("_size", "_before", "_after")
-        .agg(F.count("*").alias("rows"), F.max("_overlaps").alias("overlaps"))
-        .collect()
-    )
+    # At most two rows per token count and pair of anchor lengths.
+    shapes = lookup.groupBy("_overlaps", "_size", "_before", "_after").agg(F.count("*").alias("rows")).collect()
     if not shapes:
         return articles.limit(0).crossJoin(F.broadcast(terms.limit(0))).select(*keep, *terms.columns, F.lit(0).cast("long").alias("hits"))
-    set_bits, bits = bitmap(lookup, "_unit", sum(s["rows"] for s in shapes))
-    sizes = sorted({s["_size"] for s in shapes})
+    parts = [
+        _hits_of(articles, lookup.where(F.col("_overlaps") == overlaps), own, terms.columns, keep, bounded, overlaps)
+        for overlaps in (False, True)
+        if (own := [s for s in shapes if s["_overlaps"] == overlaps])
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
 
-    def pieces(tokens_: Column, known: Column, size: int) -> Column:
-        anchors = [(s["_before"], s["_after"]) for s in shapes if s["_size"] == size]
+def _hits_of(
+    articles: DataFrame, lookup: DataFrame, shapes: list[Row], names: Sequence[str], keep: Sequence[str], bounded: bool, overlaps: bool
+) -> DataFrame:
+    """The hits of terms that may overlap themselves, or of those that cannot, in one scan."""
+    set_bits, bits = bitmap(lookup, "_unit", sum(s["rows"] for s in shapes))
 
+    def pieces(tokens_: Column, known: Column, size: int, before: int, after: int) -> Column:
         def at(i: Column) -> Column:
-            piece = F.slice(tokens_, i, F.lit(size))
-            listed = F.filter(
-                F.array(*[_unit(tokens_, i, size, b, a) for b, a in anchors]), lambda u: may_hold(known, bits, u)
-            )
-            return F.transform(listed, lambda u: F.struct(u.alias("unit"), i.alias("at"), piece.alias("piece")))
+            """What starts at the 0-based token ``i``, if it may be listed."""
+            unit = _unit(tokens_, i, size, before, after)
+            piece = F.slice(tokens_, i + 1, F.lit(size))
+            found = lambda u: F.when(may_hold(known, bits, u), F.struct(u.alias("unit"), (i + 1).alias("at"), piece.alias("piece")))
+            return let(unit, found)
 
-        starts = F.sequence(F.lit(1), F.size(tokens_) - (size - 1))
-        return F.when(F.size(tokens_) >= size, F.flatten(F.transform(starts, at))).otherwise(_no_units())
+        starts = F.sequence(F.lit(0), F.size(tokens_) - size)
+        listed = F.filter(F.transform(starts, at), lambda u: u.isNotNull())
+        return F.when(F.size(tokens_) >= size, listed).otherwise(_no_units())
 
     def units(tokens_: Column, known: Column) -> Column:
         """Each unit that may be listed, with the place and the tokens it is made of."""
-        return F.concat(*[pieces(tokens_, known, size) for size in sizes])
+        return F.concat(*[pieces(tokens_, known, s["_size"], s["_before"], s["_after"]) for s in shapes])
 
     scanned = (
         articles.select(*keep, "content", set_bits.alias("_bits"))
@@ -165,18 +172,15 @@ def _joined_hits(articles: DataFrame, terms: DataFrame, keep: Sequence[str], bou
         met = met.withColumn("hits", F.when(F.col("_size") > 1, count_bounded_phrase(_in_place(), F.col("term"))).otherwise(one))
     else:
         met = met.withColumn("hits", one)
-    columns = [*keep, *terms.columns, "hits"]
-    if not any(s["overlaps"] for s in shapes):
+    columns = [*keep, *names, "hits"]
+    if not overlaps:
         return met.select(*columns)
-    # Matches of such a phrase are counted from the left, those of one text together, all in the one scan.
-    place = F.when(F.col("_overlaps") & (F.col("hits") > 0), F.struct(_start().alias("start"), _end().alias("end")))
+    # Matches of such a phrase are counted from the left, those of one text together.
     return (
-        met.withColumn("_place", place)
-        .groupBy(*keep, *terms.columns, "_row", "_overlaps")
-        .agg(F.sort_array(F.collect_list("_place")).alias("_places"), F.sum("hits").alias("_hits"))
-        .select(
-            *keep, *terms.columns, F.when(F.col("_overlaps"), _taken(F.col("_places"))).otherwise(F.col("_hits")).alias("hits")
-        )
+        met.where("hits > 0")
+        .groupBy(*keep, *names, "_row")
+        .agg(F.sort_array(F.collect_list(F.struct(_start().alias("start"), _end().alias("end")))).alias("_places"))
+        .select(*keep, *names, _taken(F.col("_places")).alias("hits"))
     )
 
 
@@ -184,16 +188,16 @@ def _no_units() -> Column:
     return F.array().cast("array<struct<unit:bigint,at:int,piece:array<string>>>")
 
 
-def _named(size: int, first: Column, inner: Column, last: Column, before: int, after: int) -> Column:
+def _unit(tokens_: Column, i: Column, size: int, before: int, after: int) -> Column:
+    """The name of ``size`` tokens of a text from the 0-based ``i`` on; too short ones name nothing listed."""
+    first = F.get(tokens_, i)
     if size == 1:
         return F.xxhash64(F.lit(1), first)
-    return F.xxhash64(F.lit(size * 16 + before * 4 + after), F.right(first, F.lit(before)), inner, F.left(last, F.lit(after)))
-
-
-def _unit(tokens_: Column, i: Column, size: int, before: int | None, after: int | None) -> Column:
-    """The name of ``size`` tokens of a text from the 1-based ``i`` on; too short ones name nothing listed."""
-    first, last = F.get(tokens_, i - 1), F.get(tokens_, i + (size - 2))
-    return _named(size, first, F.slice(tokens_, i + 1, F.lit(max(0, size - 2))), last, before or 0, after or 0)
+    shape = F.lit(size * 16 + before * 4 + after)
+    head, tail = F.substring(first, -before, before), F.substring(F.get(tokens_, i + (size - 1)), 1, after)
+    if size == 2:
+        return F.xxhash64(shape, head, tail)
+    return F.xxhash64(shape, head, F.slice(tokens_, i + 2, F.lit(size - 2)), tail)
 
 
 def _inner(tokens_: Column) -> Column:
@@ -265,5 +269,6 @@ def _lookup(terms: DataFrame) -> DataFrame:
         .drop("_words")
     )
     shape = size * 16 + F.col("_before") * 4 + F.col("_after")
-    phrase = F.xxhash64(shape, F.right("_first", F.col("_before")), F.col("_inner"), F.left("_last", F.col("_after")))
+    head, tail = F.right("_first", F.col("_before")), F.left("_last", F.col("_after"))
+    phrase = F.when(size == 2, F.xxhash64(shape, head, tail)).otherwise(F.xxhash64(shape, head, F.col("_inner"), tail))
     return cut_lineage(parted.withColumn("_unit", F.when(size == 1, F.xxhash64(F.lit(1), term)).otherwise(phrase)))
