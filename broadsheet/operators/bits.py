@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS_PER_VALUE = 128
+BITS_PER_VALUE = 16
 #: 8 KB, and 8 MB; a fuller bitmap lets more through and loses nothing.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 
