@@ -193,3 +193,9 @@ def test_a_batch_reads_the_folders_of_its_urls(spark, tmp_path):
     folders = {r[0] for r in now.select(incremental.bucket_of(F.col("url"))).collect()}
     got = {r["url"] for r in found.collect()}
     assert "u1" in got and "u2" not in got and len(got) <= 200 * len(folders) / incremental.BUCKETS * 4
+
+
+def test_marks_of_a_text_do_not_travel_with_each_of_its_parts(spark):
+    plan = postings.postings(articles_of(spark, ["a b-c d"]))._jdf.queryExecution().executedPlan().toString()
+    carried = re.findall(r"Generate posexplode\(.*\), \[([^\]]*)\], false", plan)
+    assert carried and all(re.sub(r"#\d+", "", c) == "url, scrape_date" for c in carried)

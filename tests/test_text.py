@@ -121,3 +121,11 @@ def test_formats(spark):
         .first()
     )
     assert tuple(row) == ("1.234.567", "2024-05-06 07:08:09", "2024-05-06 07:08")
+
+
+def test_strip_takes_the_spaces_that_texts_are_split_on(spark):
+    every = spark.range(0xFFFF).where("id < 55296 OR id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    odd = every.select("c", F.concat("c", "c", F.lit("x "), "c", F.lit("y"), "c").alias("t"))
+    slow = F.regexp_replace("t", f"^{text.WHITESPACE}|{text.WHITESPACE}$", "")
+    assert odd.where(text.strip(F.col("t")) != slow).count() == 0
+    assert "regexp" not in odd.select(text.strip(F.col("t")))._jdf.queryExecution().analyzed().toString()
