@@ -18,12 +18,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.counting import count_bounded_phrase, count_phrase, tokens
 from ..session import cut_lineage
-from .bits import bitmap, let, may_hold
+from .bits import bitmap, may_hold
 from .sizing import is_small, rows_if_at_most
 
 # Measured on local cores: beyond about this many phrases, one substring test
@@ -128,39 +128,10 @@ def _joined_hits(articles: DataFrame, terms: DataFrame, keep: Sequence[str], bou
     if not shapes:
         return articles.limit(0).crossJoin(F.broadcast(terms.limit(0))).select(*keep, *terms.columns, F.lit(0).cast("long").alias("hits"))
     set_bits, bits = bitmap(lookup, "_unit", sum(s["rows"] for s in shapes))
-    sizes = sorted({s["_size"] for s in shapes})
-
-    def pieces(tokens_: Column, known: Column, size: int) -> Column:
-        anchors = [(s["_before"], s["_after"]) for s in shapes if s["_size"] == size]
-
-        def at(i: Column) -> Column:
-            piece = F.slice(tokens_, i, F.lit(size))
-            listed = F.filter(
-                F.array(*[_unit(tokens_, i, size, b, a) for b, a in anchors]), lambda u: may_hold(known, bits, u)
-            )
-            return F.transform(listed, lambda u: F.struct(u.alias("unit"), i.alias("at"), piece.alias("piece")))
-
-        starts = F.sequence(F.lit(1), F.size(tokens_) - (size - 1))
-        return F.when(F.size(tokens_) >= size, F.flatten(F.transform(starts, at))).otherwise(_no_units())
-
-    def units(tokens_: Column, known: Column) -> Column:
-        """Each unit that may be listed, with the place and the tokens it is made of."""
-        return F.concat(*[pieces(tokens_, known, size) for size in sizes])
-
-    scanned = (
-        articles.select(*keep, "content", set_bits.alias("_bits"))
-        # Tokens and bits are named once; a column of them would be put in again at each use.
-        .select(
-            *keep,
-            F.monotonically_increasing_id().alias("_row"),
-            let(tokens(F.col("content")), lambda t: let(F.col("_bits"), lambda known: units(t, known))).alias("_units"),
-        )
-        .select(*keep, "_row", F.explode("_units").alias("_u"))
-        .select(*keep, "_row", F.col("_u.unit").alias("_unit"), F.col("_u.at").alias("_at"), F.col("_u.piece").alias("_piece"))
-    )
     side = lookup.drop("_before", "_after")
-    met = scanned.join(F.broadcast(side) if is_small(side, "term") else side, "_unit").where(_meets())
+    side = F.broadcast(side) if is_small(side, "term") else side
     one = F.lit(1).cast("long")
+    met = _listed_units(articles, shapes, set_bits, bits, keep).join(side, "_unit").where(_meets())
     if bounded:
         met = met.withColumn("hits", F.when(F.col("_size") > 1, count_bounded_phrase(_in_place(), F.col("term"))).otherwise(one))
     else:
@@ -168,32 +139,65 @@ def _joined_hits(articles: DataFrame, terms: DataFrame, keep: Sequence[str], bou
     columns = [*keep, *terms.columns, "hits"]
     if not any(s["overlaps"] for s in shapes):
         return met.select(*columns)
-    # Matches of such a phrase are counted from the left, those of one text together, all in the one scan.
-    place = F.when(F.col("_overlaps") & (F.col("hits") > 0), F.struct(_start().alias("start"), _end().alias("end")))
+    # Matches that may share letters are counted from the left, those of one text together; all others are
+    # summed where they are found, whatever their text.
+    shared = F.col("_overlaps") & F.col("_close")
+    place = F.when(shared & (F.col("hits") > 0), F.struct(_start().alias("start"), _end().alias("end")))
     return (
         met.withColumn("_place", place)
-        .groupBy(*keep, *terms.columns, "_row", "_overlaps")
+        .withColumn("_text_row", F.when(shared, F.col("_row")))
+        .groupBy(*keep, *terms.columns, "_text_row")
         .agg(F.sort_array(F.collect_list("_place")).alias("_places"), F.sum("hits").alias("_hits"))
         .select(
-            *keep, *terms.columns, F.when(F.col("_overlaps"), _taken(F.col("_places"))).otherwise(F.col("_hits")).alias("hits")
+            *keep, *terms.columns, F.when(F.col("_text_row").isNotNull(), _taken(F.col("_places"))).otherwise(F.col("_hits")).alias("hits")
         )
     )
 
 
-def _no_units() -> Column:
-    return F.array().cast("array<struct<unit:bigint,at:int,piece:array<string>>>")
-
+def _listed_units(articles: DataFrame, shapes: list[Row], set_bits: Column, bits: int, keep: Sequence[str]) -> DataFrame:
+    """``*keep, _row, _unit, _at, _piece, _close``: each unit that may be listed, its place and its tokens.
 
-def _named(size: int, first: Column, inner: Column, last: Column, before: int, after: int) -> Column:
-    if size == 1:
-        return F.xxhash64(F.lit(1), first)
-    return F.xxhash64(F.lit(size * 16 + before * 4 + after), F.right(first, F.lit(before)), inner, F.left(last, F.lit(after)))
+    Each token is a row of the scan, and the units that begin there are named
+    and looked up in the bitmap before anything is copied: by built-in
+    expressions that are compiled with the scan, the same ones for every shape,
+    so that their code stays short.  ``_close`` is false only where the same
+    unit does not begin less than its own length away.
+    """
+    tokens_, at, size, before, after = (F.col(c) for c in ("_tokens", "_at", "_length", "_left", "_right"))
+    kinds = [
+        F.struct(F.lit(s["_size"]).alias("_length"), F.lit(s["_before"]).alias("_left"), F.lit(s["_after"]).alias("_right"))
+        for s in shapes
+    ]
+    unit, last = F.col("_unit"), F.size(tokens_) - (size - 1)
+
+    def alike(i: Column) -> Column:
+        """Whether a unit of two tokens begins and ends like the one before ``i``."""
+        first, second, third = (F.get(tokens_, i + k) for k in (-2, -1, 0))
+        return (F.right(first, before) == F.right(second, before)) & (F.left(second, after) == F.left(third, after))
+
+    again = ((at > 1) & alike(at)) | ((at < last) & alike(at + 1))
+    return (
+        articles.select(*keep, F.monotonically_increasing_id().alias("_row"), tokens(F.col("content")).alias("_tokens"))
+        .select(*keep, "_row", "_tokens", F.posexplode_outer("_tokens").alias("_skipped", "_token"))
+        .select(*keep, "_row", "_tokens", (F.col("_skipped") + 1).alias("_at"), F.inline(F.array(*kinds)))
+        .where(at <= last)
+        # A row of its own keeps the name from being worked out again at each use.
+        .select("*", F.explode(F.array(_unit(tokens_, at, size, before, after))).alias("_unit"))
+        .where(may_hold(set_bits, bits, unit))
+        .select(*keep, "_row", "_unit", "_at", F.slice(tokens_, at, size).alias("_piece"), ((size > 2) | ((size > 1) & again)).alias("_close"))
+    )
 
 
-def _unit(tokens_: Column, i: Column, size: int, before: int | None, after: int | None) -> Column:
-    """The name of ``size`` tokens of a text from the 1-based ``i`` on; too short ones name nothing listed."""
-    first, last = F.get(tokens_, i - 1), F.get(tokens_, i + (size - 2))
-    return _named(size, first, F.slice(tokens_, i + 1, F.lit(max(0, size - 2))), last, before or 0, after or 0)
+def _unit(tokens_: Column, i: Column, size: Column, before: Column, after: Column) -> Column:
+    """The name of ``size`` tokens of a text from the 1-based ``i`` on."""
+    first, last = F.get(tokens_, i - 1), F.get(tokens_, i + size - 2)
+    phrase = F.xxhash64(
+        size * 16 + before * 4 + after,
+        F.right(first, before),
+        F.slice(tokens_, i + 1, F.greatest(size - 2, F.lit(0))),
+        F.left(last, after),
+    )
+    return F.when(size == 1, F.xxhash64(F.lit(1), first)).otherwise(phrase)
 
 
 def _inner(tokens_: Column) -> Column:

@@ -221,3 +221,15 @@ def test_long_phrases_and_overlaps_in_one_scan(spark, monkeypatch):
     for some in (many, listed):
         plan = matching.term_hits(make_articles(spark, contents), some)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Generate explode") == 1
+
+
+def test_matches_that_stand_alone_are_summed_over_texts(spark, monkeypatch):
+    """A phrase that may overlap itself, but nowhere does, leaves the scan as sums and not as rows of each text."""
+    for name in ("INLINE_WORDS", "INLINE_PHRASES"):
+        monkeypatch.setattr(matching, name, 0)
+    listed = spark.createDataFrame([("on no",), ("la la",), ("ab la la ab",)], "term string")
+    texts = ["on no x", "x on no y on no"] * 20 + ["la la la", "x ab la la ab la la ab", "a on noon no"]
+    hits = matching.term_hits(make_articles(spark, texts).coalesce(2), listed).collect()
+    totals = {t: sum(r["hits"] for r in hits if r["term"] == t) for t in ("on no", "la la", "ab la la ab")}
+    assert totals == {t: sum(plain_hits(c, t, False) for c in texts) for t in totals}
+    assert len([r for r in hits if r["term"] == "on no"]) == 2
