@@ -233,3 +233,15 @@ def test_matches_that_stand_alone_are_summed_over_texts(spark, monkeypatch):
     totals = {t: sum(r["hits"] for r in hits if r["term"] == t) for t in ("on no", "la la", "ab la la ab")}
     assert totals == {t: sum(plain_hits(c, t, False) for c in texts) for t in totals}
     assert len([r for r in hits if r["term"] == "on no"]) == 2
+
+
+def test_words_of_texts_are_taken_from_one_cleaning(spark, tmp_path):
+    from checks import fixtures as fx
+
+    rows = [(1, "One two. Two!", "en", "src1"), (2, "", "de", "src2"), (3, None, "es", "src3"), (4, "the of", "en", "src1")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    names, words = fx.place_names(spark, str(tmp_path)), fx.cleaned_words(spark, str(tmp_path))
+    assert sorted(map(tuple, names.collect())) == [(1, "1", "one"), (1, "1", "two"), (1, "1", "two")]
+    assert sorted(map(tuple, words.collect())) == [("one", 1), ("two", 1)]
+    for df in (names, words):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
