@@ -1,5 +1,8 @@
 """Url forms, link filters, next-page links."""
 
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +211,19 @@ def test_a_listing_that_is_there_several_times_is_read_as_one(spark, rows, monke
     monkeypatch.setattr(discover, "own_links", lambda hrefs: hrefs)
     # Each landed copy is parsed once.
     assert discover.found_links(pages, listings, rules).count() == 8
+
+
+@pytest.mark.parametrize(
+    ("parse", "wanted"),
+    [("page_hrefs", []), ("wanted_hrefs", ["/", []]), ("page_tags", ["x"]), ("article_container", ["x"])],
+)
+def test_a_batch_of_pages_is_not_held_as_strings(parse, wanted):
+    pages = pa.array([None, *["<a href='/x'>x</a>" + "word " * 10_000] * 499, ""])
+    function = getattr(markup, parse).func
+    rules = [pa.array([w] * len(pages), pa.list_(pa.string()) if isinstance(w, list) else pa.string()) for w in wanted]
+    tracemalloc.start()
+    found = function(pages, *rules)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(pages) and len(function(pages[:0], *(r[:0] for r in rules))) == 0
+    assert peak < pages.nbytes / 2
