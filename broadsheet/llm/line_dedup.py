@@ -27,10 +27,12 @@ gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.sizing import is_small
+from ..operators.sizing import broadcast_if_small
 from .common import let, written
 
 #: Leading tokens that lead to a leaf, and tokens of a line that has templates.
@@ -110,7 +112,7 @@ def generalised(lines: DataFrame, variants: DataFrame) -> DataFrame:
         "lines-leaves",
     )
     wanted = leaves.select("_leaf")
-    taken = lines.join(F.broadcast(wanted) if is_small(wanted, "_leaf") else wanted, "_leaf")
+    taken = lines.join(broadcast_if_small(wanted, "_leaf"), "_leaf")
     distinct = taken.groupBy(*VARIANT, "_tokens").agg(F.first("_masked").alias("_masked"))
     tokens = written(
         distinct.select(*VARIANT, "_tokens", F.posexplode(F.split("_masked", " ")).alias("_place", "_token")), "lines-tokens"
@@ -134,27 +136,35 @@ def generalised(lines: DataFrame, variants: DataFrame) -> DataFrame:
     )
     of_variant = first.select(*VARIANT, "_template1", "_template2")
     templates = first.groupBy(*TEMPLATE, "_tokens").agg(F.first("_places").alias("_places"))
+    # Templates meet inside their leaf only: a leaf in which nothing moved is done, and not looked at again.
+    done = []
     while True:
         templates = written(templates, "lines-templates")
         moved = written(merged(templates), "lines-merged")
-        if moved.isEmpty():
+        leaves = written(moved.select("_leaf").distinct(), "lines-moving")
+        moving = broadcast_if_small(leaves, "_leaf")
+        with_field = templates.where(F.exists("_places", lambda p: p["_known"] == FIELD)).select(*TEMPLATE)
+        fields = written(with_field.join(moving, "_leaf", "left_anti"), "lines-fields")
+        done.append(of_variant.join(broadcast_if_small(fields, "_leaf"), list(TEMPLATE)))
+        if leaves.isEmpty():
             break
         # What is named anew keeps its variants; templates that meet become one.
+        names = broadcast_if_small(moved.drop("_tokens", "_places"), "_leaf")
         of_variant = written(
-            of_variant.join(moved.drop("_tokens", "_places"), list(TEMPLATE), "left").select(
+            of_variant.join(moving, "_leaf", "left_semi").join(names, list(TEMPLATE), "left").select(
                 *VARIANT, *[F.coalesce(f"_new{i}", f"_template{i}").alias(f"_template{i}") for i in (1, 2)]
             ),
             "lines-general",
         )
         renamed = moved.select("_leaf", F.col("_new1").alias("_template1"), F.col("_new2").alias("_template2"), "_tokens", "_places")
         templates = (
-            templates.join(moved.select(*TEMPLATE), list(TEMPLATE), "left_anti")
+            templates.join(moving, "_leaf", "left_semi")
+            .join(names.select(*TEMPLATE), list(TEMPLATE), "left_anti")
             .unionByName(renamed)
             .groupBy(*TEMPLATE, "_tokens")
             .agg(F.first("_places").alias("_places"))
         )
-    with_field = templates.where(F.exists("_places", lambda p: p["_known"] == FIELD)).select(*TEMPLATE)
-    return of_variant.join(with_field, list(TEMPLATE)).select(*VARIANT, "_template1", "_template2")
+    return reduce(DataFrame.unionByName, done).select(*VARIANT, "_template1", "_template2")
 
 
 def merged(templates: DataFrame) -> DataFrame:
@@ -178,7 +188,8 @@ def merged(templates: DataFrame) -> DataFrame:
         .groupBy(*TEMPLATE)
         .agg(F.collect_list("_place").alias("_opened"))
     )
-    opened = templates.join(fields, list(TEMPLATE)).withColumn(
+    fields = written(fields, "lines-opened")
+    opened = templates.join(broadcast_if_small(fields, "_leaf"), list(TEMPLATE)).withColumn(
         "_places",
         F.transform(
             "_places",
@@ -217,7 +228,7 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     template = list(TEMPLATE)
     recurring = (
         lines.select(*KEYS, *VARIANT)
-        .join(F.broadcast(general) if is_small(general, "_leaf") else general, list(VARIANT))
+        .join(broadcast_if_small(general, "_leaf"), list(VARIANT))
         .select(*template, *KEYS)
         .distinct()
         .groupBy(*template)

@@ -191,6 +191,22 @@ def test_templates_recur_whatever_their_leaf_holds(spark, docs_of, templates):
     assert found.where("n_dropped > 0").count() >= 99 * templates
 
 
+def test_leaves_in_which_nothing_moves_are_looked_at_once(spark, docs_of, monkeypatch):
+    moving = [f"a b c {x} d e f {y} g h i j" for x in "xyz" for y in "mno"]
+    still = [f"p q r once{'abcdef'[i]} s t u v" for i in range(6)]
+    made = list(enumerate(moving + still))
+    looked_at = []
+
+    def merged(templates, of=line_dedup.merged):
+        looked_at.append(templates.select("_tokens").distinct().collect())
+        return of(templates)
+
+    monkeypatch.setattr(line_dedup, "merged", merged)
+    found = line_dedup.drop_repeated_lines(docs_of(made)).select("doc_id", "text").collect()
+    assert sorted(tuple(r) for r in found) == sorted(plain_line_dedup(made))
+    assert [sorted(r[0] for r in tokens) for tokens in looked_at] == [[8, 12], [12]]
+
+
 def test_short_lines_recur_from_ten_documents_on(spark, docs_of):
     made = [(i, f"All rights reserved.\nWords of document {chr(97 + i)} alone" + ("\nYes." if i < 9 else "")) for i in range(12)]
     left = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs_of(made)).collect()}
