@@ -23,7 +23,8 @@ from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ DIMENSIONS = 2048
 SAMPLE_PER_LANGUAGE = 1_000
 #: Code points of one text that are turned into n-grams at a time; the sums of all pieces count.
 PIECE_CHARS = 1 << 18
+#: Rows of a classifier's sample that are turned into 64-bit numbers at a time.
+BLOCK_ROWS = 64
 UNDETERMINED = "und"
 #: Texts of a lower score count as unidentified when rows are filtered.
 LEAST_SCORE = 0.2
@@ -80,14 +83,25 @@ def ngram_vector(text: str) -> np.ndarray:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 150) -> np.ndarray:
-    """Weights and bias of a linear SVM (squared hinge loss), by accelerated gradient steps."""
-    rows = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
+    """Weights and bias of a linear SVM (squared hinge loss), by accelerated gradient steps.
+
+    ``x`` stays as it is; each step goes over it in blocks, so that only one
+    block at a time is there in 64 bits.
+    """
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    rate = 1.0 / (4.0 + penalty)  # rows have squared length 2, shares sum to 1
-    weights, ahead, t = np.zeros(rows.shape[1]), np.zeros(rows.shape[1]), 1.0
+    rate = 1.0 / (4.0 + penalty)  # rows with their bias have squared length 2, shares sum to 1
+    buffer = np.empty((min(BLOCK_ROWS, len(x)), x.shape[1]), np.float64)
+    weights, ahead, t = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), 1.0
     for _ in range(steps):
-        slack = np.maximum(0.0, 1.0 - y * (rows @ ahead))
-        gradient = -2.0 * ((share * slack * y) @ rows) + penalty * ahead
+        gradient = penalty * ahead
+        for start in range(0, len(x), BLOCK_ROWS):
+            at = slice(start, start + BLOCK_ROWS)
+            rows = buffer[: len(x[at])]
+            rows[:] = x[at]
+            slack = np.maximum(0.0, 1.0 - y[at] * (rows @ ahead[:-1] + ahead[-1]))
+            pull = 2.0 * share[at] * slack * y[at]
+            gradient[:-1] -= pull @ rows
+            gradient[-1] -= pull.sum()
         new = ahead - rate * gradient
         t_new = (1.0 + np.sqrt(1.0 + 4.0 * t * t)) / 2.0
         ahead = new + (t - 1.0) / t_new * (new - weights)
@@ -143,17 +157,21 @@ def train(
             if out:
                 yield dict(zip(("task", "label", "vector"), zip(*out)))
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+    def fit(rows: pa.Table) -> pa.Table:
         # A fixed order of rows gives the same sums in every run.
-        rows = rows.sort_values(["label", "vector"])
-        x = np.stack([np.frombuffer(v, np.float16) for v in rows["vector"]]).astype(np.float32)
-        weights = fit_svm(x, rows["label"].to_numpy(np.float64))
-        return pd.DataFrame({"task": [int(rows["task"].iloc[0])], "weights": [weights.tolist()]})
+        order = pc.sort_indices(rows, [("label", "ascending"), ("vector", "ascending")]).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        x = np.empty((len(order), DIMENSIONS), np.float32)
+        for at, vector in zip(place, rows["vector"]):
+            x[at] = np.frombuffer(vector.as_buffer(), np.float16)
+        weights = fit_svm(x, rows["label"].to_numpy()[order].astype(np.float64))
+        return pa.table({"task": rows["task"][:1], "weights": pa.array([weights], pa.list_(pa.float64()))})
 
     fitted = (
         map_batches(sample, features, "task int, label int, vector binary")
         .groupBy("task")
-        .applyInPandas(fit, "task int, weights array<double>")
+        .applyInArrow(fit, "task int, weights array<double>")
         .collect()  # one vector per pair of labels
     )
     return langs, {pairs[r["task"]]: np.asarray(r["weights"], np.float64) for r in fitted}

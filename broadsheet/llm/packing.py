@@ -22,6 +22,7 @@ import zlib
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 from pyspark import cloudpickle
 import numpy as np
@@ -53,13 +54,12 @@ class ChunkEncoder:
     line break, when no other white space touches it.  Texts are cut there and
     ids remembered by chunk; a text with other white space there, or with the
     special token, is encoded as one.  With the same vocabulary as ranks, and
-    its split pattern, chunks are encoded from those, which is quicker.
+    its split pattern, chunks are encoded from those, which is quicker; the
+    tokenizer itself is then read once a text has the special token.
     """
 
     def __init__(self, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(tokenizer_path)
+        self.tokenizer_path = tokenizer_path
         self.by_ranks = None
         if ranks_path is not None:
             import tiktoken
@@ -73,6 +73,12 @@ class ChunkEncoder:
         self.marks = {mark: self._ids(mark) for mark in ".,"}
         self.size = 0
 
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.tokenizer_path)
+
     def _ids(self, text: str) -> bytes:
         if self.by_ranks is not None and SPECIAL not in text:
             return array("I", self.by_ranks.encode_ordinary(text)).tobytes()

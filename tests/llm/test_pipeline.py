@@ -6,12 +6,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from test_native import plain_line_dedup, water_level
 from test_tasks import invented, plain_near
 
 import corpus_pipeline
 from broadsheet.llm import mixing
 from broadsheet.llm.queries import tokenizer_files
+from broadsheet.session import ARROW_BYTES
 
 LANGS = ["en", "de", "fr", "es"]
 
@@ -97,3 +99,25 @@ def test_near_duplicates_go_by_row_not_by_id(spark, docs_of, tmp_path):
     left = corpus_pipeline.drop_near_duplicates(spark, docs_of(made), str(tmp_path))
     found = Counter((r["doc_id"], r["text"]) for r in left.collect())
     assert found == Counter([(3, a), (5, b), (None, c), (8, d), (9, None), (9, None), (None, "")])
+
+
+def test_texts_go_to_python_in_bounded_batches(spark, docs_of, tmp_path):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    texts = spark.range(0, 6_000, 1, 1).selectExpr("repeat(cast(id % 10 as string), 4000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": [batch.nbytes]})
+
+    try:
+        for stage in (corpus_pipeline.identify_language, corpus_pipeline.drop_near_duplicates, corpus_pipeline.pack_sequences):
+            spark.conf.unset(name)
+            stage(spark, docs_of([(1, "a few words")]), str(tmp_path))
+            found = [r["size"] for r in texts.mapInArrow(sizes, "size long").collect()]
+            assert len(found) > 1 and max(found) < ARROW_BYTES + 100_000 and sum(found) > 24_000_000
+            spark.conf.set(name, 1_000)  # a lower bound of the session's own stays
+            stage(spark, docs_of([(1, "a few words")]), str(tmp_path))
+            assert spark.conf.get(name) == "1000"
+    finally:
+        spark.conf.set(name, before)

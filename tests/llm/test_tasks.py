@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -523,6 +524,14 @@ def test_ids_of_any_white_space(by_ranks):
         )
         text = fixed[k] if k < len(fixed) else text
         assert encoder.encode(text) == np.asarray(encoder.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_tokenizer_is_read_for_special_tokens_only():
+    encoder = packing.ChunkEncoder(*tokenizer_files().values())
+    plain = encoder.encode("some words, 12 of them\nand\t other  white space")
+    assert plain and "whole" not in vars(encoder)
+    text = "a <|endoftext|> b"
+    assert encoder.encode(text) == np.asarray(encoder.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     assert encoder.size < packing.CACHE_BYTES + 1_000
 
 
@@ -560,6 +569,18 @@ def test_svm_against_a_plain_descent(seed):
     assert np.allclose(found, w, atol=1e-2)
 
 
+def test_svm_holds_its_rows_once():
+    x = np.random.default_rng(5).random((3_000, 256), np.float32)
+    y = np.where(np.arange(len(x)) % 2, 1.0, -1.0)
+    tracemalloc.start()
+    try:
+        language.fit_svm(x, y, steps=3)
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert peak < x.nbytes / 2
+
+
 def test_languages_by_votes_of_their_pairs():
     """Every pair's margin counts one win; the label with most wins is taken."""
     rng = np.random.default_rng(5)
