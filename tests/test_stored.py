@@ -199,3 +199,36 @@ def test_marks_of_a_text_do_not_travel_with_each_of_its_parts(spark):
     plan = postings.postings(articles_of(spark, ["a b-c d"]))._jdf.queryExecution().executedPlan().toString()
     carried = re.findall(r"Generate posexplode\(.*\), \[([^\]]*)\], false", plan)
     assert carried and all(re.sub(r"#\d+", "", c) == "url, scrape_date" for c in carried)
+
+
+def test_index_is_made_where_the_texts_are_read(spark, tmp_path):
+    articles = articles_of(spark, ["a b-c d a", "b c"])
+    index = postings.laid_out(postings.postings(articles))
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    found = {(r["part"], r["url"]): r["places"] for r in index.collect()}
+    assert found == {("a", "u0"): [0, 16], ("b", "u0"): [6], ("c", "u0"): [9], ("d", "u0"): [12], ("b", "u1"): [0], ("c", "u1"): [4]}
+
+
+def test_articles_that_share_a_url_have_one_row_for_a_part(spark, rows):
+    texts = [("u", "a b"), ("u", "c b c"), (None, "a b"), (None, "a b"), ("v", "a b")]
+    articles = spark.createDataFrame([(u, None, t) for u, t in texts], ARTICLES)
+    index = postings.postings(articles)
+    assert rows(index.select("part", "url", "places")) == [
+        ("a", "u", [0]), ("a", "v", [0]), ("a", None, [0, 0]),
+        ("b", "u", [4, 4]), ("b", "v", [4]), ("b", None, [4, 4]), ("c", "u", [0, 8]),
+    ]
+    found = postings.indexed_hits(index, terms_of(spark, ["a b", "c b", "b", "b c"]))
+    assert rows(found.select("term", "url", "hits")) == [
+        ("a b", "u", 1), ("a b", "v", 1), ("a b", None, 1), ("b c", "u", 1), ("b", "u", 2), ("b", "v", 1), ("b", None, 2), ("c b", "u", 1),
+    ]
+
+
+def test_common_parts_move_once_however_many_phrases_have_them(spark):
+    index = postings.postings(articles_of(spark, ["a b", "a c"]))
+    found = postings.indexed_hits(index, terms_of(spark, ["a b", "a c", "a d", "b a"]))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Index rows go by article, before they meet the phrases.
+    assert re.findall(r"Exchange hashpartitioning\((?:url|term#\d+, n)[^)]*", plan) == re.findall(r"Exchange hashpartitioning\(url#\d+, scrape_date#\d+[^)]*", plan)
+    assert plan.count("Exchange hashpartitioning(url") == 1
+    assert sorted((r["term"], r["url"], r["hits"]) for r in found.collect()) == [("a b", "u0", 1), ("a c", "u1", 1)]
