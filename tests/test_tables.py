@@ -337,3 +337,29 @@ def test_verdicts_agree_with_one_request_after_the_other(spark, stored, large, r
     assert order(map(tuple, terms.check_new_categories(names, stored[0]).collect())) == order(want)
     new = terms.add_categories(names, stored[0]).where("id > 3").collect()
     assert sorted(r["category"] for r in new) == sorted(t for _, t, v in want if v == "added")
+
+
+def _exchanged(df):
+    """The shuffles of a plan, as it is before it runs."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+
+
+@pytest.mark.parametrize("slice_rows", [0, 100])
+def test_keyword_verdicts_of_odd_requests(spark, stored, rows, monkeypatch, slice_rows):
+    monkeypatch.setattr(sizing, "SLICE_ROWS", slice_rows)
+    cats, kws = stored
+    kws = kws.unionByName(spark.createDataFrame([("4x4", 1, 11), (None, 1, 12)], kws.schema))
+    asked = requests(
+        spark, ("9", "new"), ("1", "New "), ("2", "new"), ("1", "4x4"), ("1", "5x5"), ("1", None), ("nope", None), (None, "new"),
+        (" ", "new"), ("1", " "), ("1", "goal"), ("empty", "other"), ("1", "other"),
+    )
+    asked = asked.unionByName(asked.where("request_id = 1")).unionByName(asked.where("request_id = 11").withColumn("request_id", F.lit(None).cast("long")))
+    verdicts = terms.check_new_keywords(asked, cats, kws)
+    assert rows(verdicts.select("request_id", "keyword", "status")) == sorted(
+        [(0, "new", "no such category"), (1, "new", "added"), (1, "new", "added"), (2, "new", "exists"), (3, "4x4", "exists"),
+         (4, "5x5", "invalid"), (6, None, "no such category"), (7, "new", "no such category"), (8, "new", "cancelled"),
+         (9, "", "cancelled"), (10, "goal", "exists"), (11, "other", "added"), (None, "other", "exists"), (12, "other", "exists")], key=repr
+    )
+    # Requests do not meet at the keyword that they share.
+    if slice_rows:
+        assert not [x for x in _exchanged(verdicts) if "keyword" in x]
