@@ -344,6 +344,23 @@ def _exchanged(df):
     return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
 
 
+@pytest.mark.parametrize("slice_rows", [0, 100])
+def test_requests_that_name_nothing_are_not_shuffled(spark, stored, rows, monkeypatch, slice_rows):
+    monkeypatch.setattr(sizing, "SLICE_ROWS", slice_rows)
+    cats, kws = stored
+    asked = requests(spark, ("1", "2"), (" SPORTS ", "Free Kick"), ("nope", "goal"), (None, "goal"), ("1", "goal "), ("2", "goal"), ("1", None), ("1", "9"))
+    asked = asked.unionByName(asked.where("request_id = 0")).withColumn("request_id", F.expr("nullif(request_id, 5)"))
+    resolved = terms.resolve_category(asked, cats)
+    picked = terms.resolve_keyword(resolved, cats, kws)
+    assert rows(picked.select("request_id", "category", "keyword")) == sorted(
+        [(0, "sports", "goal"), (0, "sports", "goal"), (1, "sports", "free kick"), (2, None, None), (3, None, None),
+         (4, "sports", "goal"), (None, "empty", None), (6, "sports", None), (7, "sports", None)], key=repr
+    )
+    # Both tables of answers have a branch that no join is in.
+    joins = 1 if slice_rows else 2
+    assert picked._jdf.queryExecution().optimizedPlan().toString().count("Union") >= joins
+
+
 @pytest.mark.parametrize("slice_rows", [0, 100])
 def test_keyword_verdicts_of_odd_requests(spark, stored, rows, monkeypatch, slice_rows):
     monkeypatch.setattr(sizing, "SLICE_ROWS", slice_rows)
